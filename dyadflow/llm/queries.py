@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import digest_documents
 from .common import read
+from .licenses import scan_licenses
 from .minhash import near_duplicates
+from .mixing import mix_counts
 from .quality import quality_rules
+from .rans import decode_corpus, encode_corpus
+
+#: Folder of the public tokenizer files; None asks the package that brings them.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +34,23 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup)}
+def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = encode_corpus(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 50257)
+    return decode_corpus(file, digest=True)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(read(spark, sf_dir, "documents"))
+
+
+def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op7_license_scan, op8_source_mix, op9_bpe_rank_array)}
 
 SQL: dict[str, str] = {}
