@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_documents
 from .common import read
+from .digest import fingerprints
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_counts
@@ -51,6 +52,10 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op7_license_scan, op8_source_mix, op9_bpe_rank_array)}
+def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
 
 SQL: dict[str, str] = {}
