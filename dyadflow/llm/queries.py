@@ -12,6 +12,7 @@ from .digest import fingerprints
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_counts
+from .pii import find_pii
 from .quality import quality_rules
 from .rans import decode_corpus, encode_corpus
 
@@ -40,6 +41,10 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(file, digest=True)
 
 
+def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,6 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
 
 SQL: dict[str, str] = {}
