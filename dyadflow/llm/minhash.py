@@ -13,8 +13,14 @@ from pyspark.sql import types as T
 
 from .common import codes, hash_values, materialise, mix64, slices, split_words, strings
 
-#: 40 bands of 5 minima: a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7.
-BANDS, ROWS, BITS = 40, 5, 4
+#: 80 bands of 8 minima: a pair at similarity 0.8 shares no band with probability (1 - 0.8**8)**80 = 4e-7.
+BANDS, ROWS, BITS = 80, 8, 2
+#: How far below the limit an estimate may lie for the pair to be looked at whole: six standard deviations at 0.8.
+MARGIN = 0.115
+#: Least similarity to a hub at which a set without links is covered through it.
+RELATED = 0.6
+#: Turns in which a bucket's sets are compared with a leader before those left apart are compared with each other.
+TURNS = 2
 SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.ArrayType(T.LongType()))])
 
 
@@ -121,7 +127,7 @@ def estimate(a: Column, b: Column) -> Column:
     low -= (1 << 64) * (low >> 63)
 
     def differing(x: Column) -> Column:
-        for shift in (1, 2):
+        for shift in [1 << i for i in range(BITS.bit_length() - 1)]:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         return F.bit_count(x.bitwiseAND(F.lit(low)))
 
@@ -154,8 +160,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Documents link where 100 * intersection >= percent * union of their word-shingle sets; a component's id is its least
     doc_id, and that document is kept. Equal sets are collapsed first. In a band bucket each set is compared with the
-    bucket's least; sets that stay in other components than a bucket-mate are then compared with it, so every candidate
-    pair is either compared or already connected. Null texts, and texts without words, have empty sets and link with
+    bucket's leader, in TURNS turns with another leader; sets that stay in other components than a bucket-mate are then
+    compared with it, so every candidate pair is either compared or already connected. Null texts, and texts without words, have empty sets and link with
     nothing. Rows with a null doc_id come back with a null component and kept = true; repeated rows come back as often."""
     docs = docs.select("doc_id", "text")
     signed = docs.withColumn("_s", signer(shingle_words)("text")).select("doc_id", "_s.*")
@@ -164,33 +170,112 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     reps = signed.select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"]).join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = materialise(reps, "reps")
     buckets = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("member").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialise(buckets.join(shared, "bucket"), "buckets")
-    links = _linked(shared.filter("member <> leader").select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), reps, docs, shingle_words, percent)
-    first = components(links.select("a", "b"))
-    # Buckets that still hold several components: compare what lies outside the bucket's main component with the rest.
-    placed = shared.filter("size > 2").join(first, F.col("member") == F.col("node"), "left").select("bucket", "member", "leader", F.coalesce("component", "member").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
-    placed = materialise(placed.join(open_, "bucket", "left_semi").filter("member <> leader"), "open")
-    main = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    strays = placed.join(main, "bucket").filter("component <> main").select("bucket", F.col("member").alias("x"), F.col("component").alias("cx"))
-    more = placed.join(strays, "bucket").filter("component <> cx").select(F.least("x", "member").alias("a"), F.greatest("x", "member").alias("b")).distinct()
-    more = _linked(more, reps, docs, shingle_words, percent)
-    second = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialise(buckets.join(sizes, "bucket"), "buckets")
+    # A set that shares its buckets with many others is likely the one that its copies were made from: it leads.
+    rank = F.struct(F.col("weight"), -F.col("member"))
+    left = shared.join(shared.groupBy("member").agg(F.sum("size").alias("weight")), "member").drop("size").withColumns({"component": F.col("member"), "hub": F.lit(None).cast("long")})
+    known = links = None
+    for _ in range(TURNS):
+        if known is not None:
+            left = _placed(left, known)
+        lead = left.groupBy("bucket").agg(F.max_by(F.struct("member", "component"), rank).alias("lead"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket", "lead")
+        led = materialise(left.join(lead, "bucket"), "led")
+        pairs = led.filter("component <> lead.component").select(F.col("lead.member").alias("a"), F.col("member").alias("b")).distinct()
+        found = _linked(pairs, reps, docs, shingle_words, percent)
+        links = found if links is None else links.unionByName(found)
+        known = _merged(known, found)
+        left = led.filter("member <> lead.member").withColumn("hub", F.coalesce("hub", "lead.member")).drop("lead")
+    more = _apart(_placed(left, known), known, links, reps, docs, shingle_words, percent)
+    second = _merged(known, more)
     rep_of = sets.join(second, F.col("rep") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(rep_of, ["n_shingles", "set_a", "set_b"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _placed(left: DataFrame, known: DataFrame) -> DataFrame:
+    """Bucket members with their components as now known."""
+    return left.drop("component").join(known, F.col("member") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "member"))
+
+
+def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Further links in buckets (bucket, member, component, hub) that hold several components.
+
+    Sets outside a bucket's main component (strays) are held against the centres of the others: links (a, b) give each
+    linked set b a centre a, and a set without links has its bucket's hub if it is at least RELATED to it, or is its own.
+    If stray x links to y, x is at most 1 - limit less similar to y's centre c than y is, by the triangle inequality of the
+    Jaccard distance. For such x and c, all members y of c's star are covered without listing pairs: the common part of x and y lies in c or outside it. Either both x and y have enough in c for the link, which
+    their counts show, or they share a shingle outside c, which is a join on that shingle; those are rare where copies differ."""
+    open_ = left.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
+    # Of a set's centres the one with most links counts, so that few centres stand for many sets.
+    fame = materialise(links.groupBy("a").agg(F.count(F.lit(1)).alias("fame")), "fame")
+    leads = fame.select(F.col("a").alias("node"), F.col("a").alias("centre"), "fame")
+    linked = links.join(fame, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), "fame").unionByName(leads)
+    linked = linked.groupBy("node").agg(F.max_by("centre", F.struct("fame", -F.col("centre"))).alias("centre"))
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
+    alone = left.join(open_, "bucket", "left_semi").select("member", "hub").distinct().join(linked.select(F.col("node").alias("member")), "member", "left_anti")
+    near = estimate(F.col("sig_member"), F.col("sig_hub"))
+    alone = alone.join(side("member"), "member").join(side("hub"), "hub").filter(near >= RELATED).join(fame, F.col("hub") == F.col("a"), "left")
+    alone = alone.groupBy("member").agg(F.max_by("hub", F.struct(F.coalesce("fame", F.lit(0)), -F.col("hub"))).alias("centre"))
+    centres = materialise(linked.unionByName(alone.withColumnRenamed("member", "node")), "centres")
+    now = left.join(open_, "bucket", "left_semi").join(centres, F.col("member") == F.col("node"), "left").select("bucket", "member", "component", F.coalesce("centre", "member").alias("centre"))
+    now = materialise(now, "open")
+    main = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    strays = now.join(main, "bucket").filter("component <> main").select("bucket", F.col("member").alias("x"), F.col("component").alias("cx")).join(side("x"), "x")
+    targets = now.groupBy("bucket", F.col("centre").alias("c"), "component").agg(F.max(F.col("centre") != F.col("member")).alias("star")).join(side("c"), "c")
+    limit = F.when(F.col("star"), F.lit(RELATED - (1 - percent / 100) - 2 * MARGIN)).otherwise(F.lit(percent / 100 - MARGIN))
+    held = strays.join(targets, "bucket").filter((F.col("component") != F.col("cx")) & (estimate(F.col("sig_x"), F.col("sig_c")) >= limit))
+    held = materialise(held.groupBy("x", "c").agg(F.max("star").alias("star")), "held")
+    stars = centres.filter("node <> centre").join(held.filter("star").select(F.col("c").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("c"), F.col("node").alias("y"))
+    wanted = held.select(F.explode(F.array("x", "c")).alias("doc_id")).unionByName(stars.select(F.col("y").alias("doc_id"))).distinct()
+    full = _full_sets(docs, wanted, k)
+    outside = lambda df, c: (
+        df.join(full.select(F.col("doc_id").alias(c), F.col("full").alias("own")), c)
+        .join(full.select(F.col("doc_id").alias("c"), F.col("full").alias("mid")), "c")
+        .select(*df.columns, F.array_except("own", "mid").alias(f"out_{c}"), F.size("own").alias(f"n_{c}"), F.size("mid").alias(f"mid_{c}"))
+        .withColumn(f"in_{c}", F.col(f"n_{c}") - F.size(f"out_{c}"))
+        .join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        .withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    )
+    x, y = materialise(outside(held, "x"), "strays"), materialise(outside(stars, "y"), "stars")
+    straight = x.filter((100 + percent) * F.col("in_x") >= percent * (F.col("n_x") + F.col("mid_x"))).select(F.col("c").alias("a"), F.col("x").alias("b"))
+    each = lambda df, c: df.select("c", c, f"of_{c}", F.explode(f"out_{c}").alias("shingle"))
+    rare = each(x.filter("star"), "x").join(each(y, "y"), ["c", "shingle"]).filter("of_x <> of_y").select("x", "y").distinct()
+    enough = lambda c: (100 + percent) * F.col(f"in_{c}") >= percent * (F.col("n_x") + F.col("n_y"))
+    inner = x.filter("star").select("c", "x", "of_x", "n_x", "in_x").join(y.select("c", "y", "of_y", "n_y", "in_y"), "c").filter(enough("x") & enough("y") & (F.col("of_x") != F.col("of_y"))).select("x", "y")
+    pairs = materialise(rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "apart")
+    return straight.unionByName(_confirmed(pairs, docs, k, percent))
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, full) for the wanted doc_ids."""
+    return materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", setter(k)("text").alias("full")), "full")
+
+
+def _merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b)."""
+    if known is not None:
+        links = known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links)
+    return components(links)
+
+
+def _likely(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and signatures allow a pair to link."""
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate(a, b) >= percent / 100 - MARGIN)
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A pair goes on to the full sets if its estimate is within
-    six standard deviations (0.2) of the limit."""
+    """The pairs (a, b) that their signatures make likely and their full sets confirm."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - 0.2)
-    likely = materialise(pairs.join(side("b"), "b").join(side("a"), "a").filter(sized).select("a", "b"), "likely")
+    likely = pairs.join(side("b"), "b").join(side("a"), "a").filter(_likely(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"), percent))
+    return _confirmed(materialise(likely.select("a", "b"), "likely"), docs, k, percent)
+
+
+def _confirmed(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", setter(k)("text").alias("full")), "full")
+    full = _full_sets(docs, wanted, k)
     at = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"full_{c}"))
     both = likely.join(at("b"), "b").join(at("a"), "a").withColumn("common", F.size(F.array_intersect("full_a", "full_b")))
     union = F.size("full_a") + F.size("full_b") - F.col("common")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .arc import convert_pages
 from .bpe import digest_documents
 from .common import read
 from .digest import fingerprints
@@ -41,6 +42,10 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(file, digest=True)
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read(spark, sf_dir, "documents"))
 
@@ -61,6 +66,19 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op5_arc_to_warc, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
+
+SQL: dict[str, str] = {
+    "op5_arc_to_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d),
+        bits AS (SELECT *, array_to_string(list_transform(range(40), lambda i: right(bin(('0x' || substr(hex, CAST(i + 1 AS INT), 1))::INT + 16), 4)), '') AS bin FROM f)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                + 16 * substr(bin, CAST(5 * i + 1 AS INT), 1)::INT + 8 * substr(bin, CAST(5 * i + 2 AS INT), 1)::INT + 4 * substr(bin, CAST(5 * i + 3 AS INT), 1)::INT
+                + 2 * substr(bin, CAST(5 * i + 4 AS INT), 1)::INT + substr(bin, CAST(5 * i + 5 AS INT), 1)::INT AS INT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM bits""",
+}
