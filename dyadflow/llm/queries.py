@@ -16,6 +16,7 @@ from .mixing import mix_counts
 from .pii import find_pii
 from .quality import quality_rules
 from .rans import decode_corpus, encode_corpus
+from .xent import score_documents
 
 #: Folder of the public tokenizer files; None asks the package that brings them.
 TOKENIZERS: str | None = None
@@ -42,6 +43,10 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(file, digest=True)
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -66,7 +71,7 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op5_arc_to_warc, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op4_cross_entropy_difference, op5_arc_to_warc, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
 
 SQL: dict[str, str] = {
     "op5_arc_to_warc": """
