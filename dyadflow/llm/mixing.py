@@ -78,7 +78,9 @@ def slots(plan: DataFrame, cap: float, block_words: int, shard_slots: int, seed:
     last = F.col("hi") >= F.col("n") * (1 - 1e-12)
     counts = shards.withColumn("count", F.when(last, drawn).otherwise(below(F.col("hi"))) - below(F.col("lo"))).filter("count > 0")
     first = F.coalesce(F.sum("count").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    each = counts.withColumn("first", first).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    # The counts are few rows that stand for many slots, so they are dealt out before they unfold.
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = counts.withColumn("first", first).repartition(parts, "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     each = each.filter(F.col("slot") < F.col("blocks") * F.lit(float(cap)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     block = permuted(F.col("slot") - turn * F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("sid"), turn))
@@ -110,7 +112,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...], cap: float, block_words:
     return rows, slots(by, cap, block_words, shard_slots, seed), pieces(rows, block_words)
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_words: int = 32, shard_slots: int = 1 << 16, seed: int = 17) -> DataFrame:
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_words: int = 32, shard_slots: int = 1 << 14, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for each row of docs.
 
     Null texts have size 0 and are never taken; null sources are one source, the last; repeated rows count each; other
@@ -121,7 +123,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
     return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_words: int = 512, shard_slots: int = 1 << 16, seed: int = 17) -> DataFrame:
+def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_words: int = 512, shard_slots: int = 1 << 14, seed: int = 17) -> DataFrame:
     """The mixed corpus, a row for each taken block, with the columns of documents: doc_id numbers the output, text is the
     block's words joined by blanks, lang is that of its first document, source the block's source. A null language stays
     null. Blocks are whole; only a source's last one may be shorter."""
