@@ -90,12 +90,12 @@ def slots(plan: DataFrame, cap: float, block_words: int, shard_slots: int, seed:
 def pieces(rows: DataFrame, block_words: int) -> DataFrame:
     """(sid, block, row, doc_id, start, length, at): the words start.. of a row that lie in a block, at that place of it.
 
-    A source's rows are dealt by hash into PARTS parts and ordered by part and row: running counts within a part, and the
+    A source's rows are dealt by a hash of doc_id into PARTS parts and ordered by part and doc_id (repeated ids as read): running counts within a part, and the
     sums of the parts before it, give every row's place in its source."""
-    rows = rows.filter("size > 0").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    rows = rows.filter("size > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    run = F.sum("size").over(W.partitionBy("sid", "part").orderBy("row"))
+    run = F.sum("size").over(W.partitionBy("sid", "part").orderBy("doc_id", "row"))
     placed = rows.withColumn("run", run).join(sums, ["sid", "part"]).withColumn("begin", F.col("base") + F.col("run") - F.col("size"))
     b = F.lit(block_words)
     cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b))))
