@@ -1,4 +1,4 @@
 """Registered queries: each applies an operator to a view of the driver tables, with the SQL that checks it."""
 
-from . import documents, events, posterior  # noqa: F401
+from . import conflict, documents, events, lexicon, posterior  # noqa: F401
 from .views import QUERIES, SQL  # noqa: F401
