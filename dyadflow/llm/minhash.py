@@ -167,26 +167,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     signed = docs.withColumn("_s", signer(shingle_words)("text")).select("doc_id", "_s.*")
     signed = materialise(signed, "signed")
     sets = materialise(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    reps = signed.select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"]).join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = materialise(reps, "reps")
-    buckets = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
+    chosen = sets.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b").dropDuplicates(["doc_id"])
+    wide = signed.join(chosen, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi")
+    reps = materialise(wide.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]), "reps")
+    buckets = wide.select("doc_id", "bands").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = materialise(buckets.join(sizes, "bucket"), "buckets")
     # A set that shares its buckets with many others is likely the one that its copies were made from: it leads.
     rank = F.struct(F.col("weight"), -F.col("member"))
     left = shared.join(shared.groupBy("member").agg(F.sum("size").alias("weight")), "member").drop("size").withColumns({"component": F.col("member"), "hub": F.lit(None).cast("long")})
     known = links = None
+    full = FullSets(docs, shingle_words)
     for _ in range(TURNS):
         if known is not None:
             left = _placed(left, known)
         lead = left.groupBy("bucket").agg(F.max_by(F.struct("member", "component"), rank).alias("lead"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket", "lead")
         led = materialise(left.join(lead, "bucket"), "led")
         pairs = led.filter("component <> lead.component").select(F.col("lead.member").alias("a"), F.col("member").alias("b")).distinct()
-        found = _linked(pairs, reps, docs, shingle_words, percent)
+        found = _linked(pairs, reps, full, percent)
         links = found if links is None else links.unionByName(found)
         known = _merged(known, found)
         left = led.filter("member <> lead.member").withColumn("hub", F.coalesce("hub", "lead.member")).drop("lead")
-    more = _apart(_placed(left, known), known, links, reps, docs, shingle_words, percent)
+    more = _apart(_placed(left, known), known, links, reps, full, percent)
     second = _merged(known, more)
     rep_of = sets.join(second, F.col("rep") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(rep_of, ["n_shingles", "set_a", "set_b"], "left")
@@ -199,7 +201,7 @@ def _placed(left: DataFrame, known: DataFrame) -> DataFrame:
     return left.drop("component").join(known, F.col("member") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "member"))
 
 
-def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """Further links in buckets (bucket, member, component, hub) that hold several components.
 
     Sets outside a bucket's main component (strays) are held against the centres of the others: links (a, b) give each
@@ -208,18 +210,19 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
     Jaccard distance. For such x and c, all members y of c's star are covered without listing pairs: the common part of x and y lies in c or outside it. Either both x and y have enough in c for the link, which
     their counts show, or they share a shingle outside c, which is a join on that shingle; those are rare where copies differ."""
     open_ = left.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
+    left = materialise(left.join(open_, "bucket", "left_semi"), "left")
     # Of a set's centres the one with most links counts, so that few centres stand for many sets.
     fame = materialise(links.groupBy("a").agg(F.count(F.lit(1)).alias("fame")), "fame")
     leads = fame.select(F.col("a").alias("node"), F.col("a").alias("centre"), "fame")
     linked = links.join(fame, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), "fame").unionByName(leads)
     linked = linked.groupBy("node").agg(F.max_by("centre", F.struct("fame", -F.col("centre"))).alias("centre"))
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
-    alone = left.join(open_, "bucket", "left_semi").select("member", "hub").distinct().join(linked.select(F.col("node").alias("member")), "member", "left_anti")
+    alone = left.select("member", "hub").distinct().join(linked.select(F.col("node").alias("member")), "member", "left_anti")
     near = estimate(F.col("sig_member"), F.col("sig_hub"))
     alone = alone.join(side("member"), "member").join(side("hub"), "hub").filter(near >= RELATED).join(fame, F.col("hub") == F.col("a"), "left")
     alone = alone.groupBy("member").agg(F.max_by("hub", F.struct(F.coalesce("fame", F.lit(0)), -F.col("hub"))).alias("centre"))
     centres = materialise(linked.unionByName(alone.withColumnRenamed("member", "node")), "centres")
-    now = left.join(open_, "bucket", "left_semi").join(centres, F.col("member") == F.col("node"), "left").select("bucket", "member", "component", F.coalesce("centre", "member").alias("centre"))
+    now = left.join(centres, F.col("member") == F.col("node"), "left").select("bucket", "member", "component", F.coalesce("centre", "member").alias("centre"))
     now = materialise(now, "open")
     main = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     strays = now.join(main, "bucket").filter("component <> main").select("bucket", F.col("member").alias("x"), F.col("component").alias("cx")).join(side("x"), "x")
@@ -229,7 +232,7 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
     held = materialise(held.groupBy("x", "c").agg(F.max("star").alias("star")), "held")
     stars = centres.filter("node <> centre").join(held.filter("star").select(F.col("c").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("c"), F.col("node").alias("y"))
     wanted = held.select(F.explode(F.array("x", "c")).alias("doc_id")).unionByName(stars.select(F.col("y").alias("doc_id"))).distinct()
-    full = _full_sets(docs, wanted, k)
+    full = full_sets.of(wanted)
     outside = lambda df, c: (
         df.join(full.select(F.col("doc_id").alias(c), F.col("full").alias("own")), c)
         .join(full.select(F.col("doc_id").alias("c"), F.col("full").alias("mid")), "c")
@@ -245,12 +248,22 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
     enough = lambda c: (100 + percent) * F.col(f"in_{c}") >= percent * (F.col("n_x") + F.col("n_y"))
     inner = x.filter("star").select("c", "x", "of_x", "n_x", "in_x").join(y.select("c", "y", "of_y", "n_y", "in_y"), "c").filter(enough("x") & enough("y") & (F.col("of_x") != F.col("of_y"))).select("x", "y")
     pairs = materialise(rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "apart")
-    return straight.unionByName(_confirmed(pairs, docs, k, percent))
+    return straight.unionByName(_confirmed(pairs, full_sets, percent))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, full) for the wanted doc_ids."""
-    return materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", setter(k)("text").alias("full")), "full")
+class FullSets:
+    """Whole shingle sets of documents, each made once: later requests read the texts of new documents only."""
+
+    def __init__(self, docs: DataFrame, k: int):
+        self.docs, self.k, self.have = docs, k, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, full) for at least the wanted doc_ids."""
+        wanted = wanted.select("doc_id").distinct()
+        new = wanted if self.have is None else wanted.join(self.have.select("doc_id"), "doc_id", "left_anti")
+        made = materialise(self.docs.join(new, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", setter(self.k)("text").alias("full")), "full")
+        self.have = made if self.have is None else self.have.unionByName(made)
+        return self.have
 
 
 def _merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -265,17 +278,17 @@ def _likely(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Colum
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """The pairs (a, b) that their signatures make likely and their full sets confirm."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     likely = pairs.join(side("b"), "b").join(side("a"), "a").filter(_likely(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"), percent))
-    return _confirmed(materialise(likely.select("a", "b"), "likely"), docs, k, percent)
+    return _confirmed(materialise(likely.select("a", "b"), "likely"), full_sets, percent)
 
 
-def _confirmed(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(likely: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = _full_sets(docs, wanted, k)
+    full = full_sets.of(wanted)
     at = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"full_{c}"))
     both = likely.join(at("b"), "b").join(at("a"), "a").withColumn("common", F.size(F.array_intersect("full_a", "full_b")))
     union = F.size("full_a") + F.size("full_b") - F.col("common")
