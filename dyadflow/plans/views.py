@@ -63,7 +63,8 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A statement over views and tables as a DataFrame; tables are read where Spark finds them."""
     sql = with_views(sql)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
-    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **tables)
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **tables) if tables else spark.sql(sql.replace("{{", "{").replace("}}", "}"))
 
 
 def query(sql: str | None = None, name: str | None = None):
