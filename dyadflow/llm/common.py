@@ -31,10 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation."""
+#: Intermediate tables written so far, for discard().
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. For callers that have written the results that read them."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation. With keep
+    discard() leaves the table alone."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -133,9 +133,9 @@ def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
     rows = rows.join(by.select("sid", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     parts = pieces(rows, block_words).groupBy("row").agg(F.collect_list(F.struct("sid", "block", "start", "length", "at")).alias("parts"))
     words = docs.join(parts, "row").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    cut = words.select("row", "lang", "words", F.explode("parts").alias("p")).select("p.sid", "p.block", F.struct("p.at", F.slice("words", F.col("p.start").cast("int") + 1, F.col("p.length").cast("int")).alias("words"), "lang").alias("piece"))
+    cut = words.select("row", "lang", "words", F.explode("parts").alias("p")).select("p.sid", "p.block", F.struct("p.at", F.array_join(F.slice("words", F.col("p.start").cast("int") + 1, F.col("p.length").cast("int")), " ").alias("words"), "lang").alias("piece"))
     blocks = cut.groupBy("sid", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    blocks = blocks.select("sid", "block", F.array_join(F.flatten(F.col("pieces.words")), " ").alias("text"), F.col("pieces")[0]["lang"].alias("lang"))
+    blocks = blocks.select("sid", "block", F.array_join(F.col("pieces.words"), " ").alias("text"), F.col("pieces")[0]["lang"].alias("lang"))
     mixed = slots(by, cap, block_words, shard_slots, seed).join(blocks, ["sid", "block"]).join(by.select("sid", "source"), "sid")
     # A slot's number, spread over its source, numbers the output.
     number = F.col("slot") * F.lit(1 << 20) + F.col("sid")
