@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadflow.functions.lineage import cut
+
 #: Coarse classes of Penn Treebank tags; a tag that isn't here stays as it is.
 COARSE = {
     "ADJ": "JJ JJR JJS", "ADP": "IN", "ADV": "RB RBR RBS WRB", "CONJ": "CC", "DET": "DT EX PDT WDT", "NOUN": "NN NNP NNPS NNS",
@@ -104,7 +106,7 @@ def promote_head(mentions: DataFrame, edges: DataFrame, tokens: DataFrame) -> Da
 def annotate_mentions(tokens: DataFrame, edges: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """(doc, start, end, code, head, top): mentions of names; code --- is dropped, ### voids the sentence, and the first mention
     of each head counts."""
-    found = match_names(name_candidates(tokens, names, longest))
+    found = cut(match_names(name_candidates(tokens, names, longest)))
     void = found.filter("code = '###'").select("doc").distinct()
     kept = found.filter("code <> '---'").join(void, "doc", "left_anti")
     headed = promote_head(kept.join(phrase_head(kept, edges, longest), ["doc", "start", "end"]), edges, tokens)
@@ -139,6 +141,8 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4) -> Data
         hop = (first if k == 0 else later).withColumnRenamed("a", "at")
         walk = walk.withColumn("at", F.element_at("nodes", -1)).join(hop, ["doc", "at"]).filter(~F.array_contains("nodes", F.col("b")))
         walk = walk.select("doc", "src", "dst", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("arcs", F.array("arc")).alias("arcs"))
+        # Each walk is used twice; without a cut the plan would double with every hop.
+        walk = cut(walk)
         here = walk.filter(F.element_at("nodes", -1) == F.col("dst")).groupBy("doc", "src", "dst").agg(F.min(F.struct("arcs", "nodes")).alias("p")).select("doc", "src", "dst", "p.nodes", "p.arcs", F.lit(k + 1).alias("length"))
         found = here if found is None else found.unionByName(here)
         walk = walk.join(here.select("doc", "src", "dst"), ["doc", "src", "dst"], "left_anti")
@@ -178,7 +182,7 @@ def path_keys(paths: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def extract_tuples(tokens: DataFrame, edges: DataFrame, names: DataFrame, max_len: int = 4) -> DataFrame:
     """(doc, n, src_code, rec_code, path) of all strict pairs of mentions; n is given before governed paths go, so it has gaps."""
-    m = annotate_mentions(tokens, edges, names)
+    m = cut(annotate_mentions(tokens, edges, names))
     side = lambda s: m.select("doc", F.col("top").alias(s), F.col("code").alias(f"{s}_code"))
     pairs = side("src").join(side("dst"), "doc").filter("src < dst AND src_code <> dst_code").distinct()
     strict = strict_paths(shortest_paths(pairs, edges, max_len)).withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("src", "dst")) - 1)
@@ -230,8 +234,9 @@ def nearest_nominal(starts: DataFrame, edges: DataFrame, tokens: DataFrame, max_
     for k in range(max_len):
         hop = (first if k == 0 else later).withColumnRenamed("a", "at").distinct()
         front = front.join(hop, ["doc", "at"]).select("doc", "i", F.col("b").alias("at")).distinct().join(seen, ["doc", "i", "at"], "left_anti")
+        front = cut(front)
         here = front.join(nouns, ["doc", "at"]).groupBy("doc", "i").agg(F.min("at").alias("nominal"))
         found = here if found is None else found.unionByName(here)
-        front = front.join(here.select("doc", "i"), ["doc", "i"], "left_anti")
+        front = cut(front.join(here.select("doc", "i"), ["doc", "i"], "left_anti"))
         seen = seen.unionByName(front)
     return starts.join(found, ["doc", "i"], "left").withColumn("nominal", F.coalesce("nominal", F.lit(-1)))
