@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,9 +217,11 @@ def train(docs: DataFrame, sample: int = 20_000, steps: int = 300) -> Field:
 
     got = docs.select("text").mapInArrow(rows, "key long, features string, label int, after int, twin int").orderBy("key", "features", "label", "after", "twin").limit(sample).collect()
     k = len(KINDS) + 1
-    names = sorted({f for r in got for f in r.features.split("\t")})
+    often = Counter(f for r in got for f in r.features.split("\t"))
+    # A feature that is seen once or twice would only learn its own example by heart.
+    names = sorted(f for f, n in often.items() if n >= 5)
     number = {f: i for i, f in enumerate(names)}
-    where = [[number[f] for f in r.features.split("\t")] for r in got]
+    where = [[number[f] for f in r.features.split("\t") if f in number] for r in got]
     row, col = np.repeat(np.arange(len(got)), [len(w) for w in where]), np.array([i for w in where for i in w], int)
     gold = np.eye(k)[[r.label for r in got]] if got else np.zeros((0, k))
     w, square = np.zeros((len(names), k)), np.full((len(names), k), 1e-8)
