@@ -1,4 +1,4 @@
 """Registered queries: each applies an operator to a view of the driver tables, with the SQL that checks it."""
 
-from . import conflict, documents, events, extract, lexicon, posterior, sources  # noqa: F401
+from . import coding, conflict, documents, events, extract, lexicon, model, posterior, sources  # noqa: F401
 from .views import QUERIES, SQL  # noqa: F401
