@@ -6,51 +6,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.llm.bpe import encode_documents
-from dyadflow.llm.common import discard, materialise, read
+from dyadflow.llm.common import WRITTEN, discard, materialise, read
 from dyadflow.llm.minhash import near_duplicates
 from dyadflow.llm.mixing import mix_blocks
 from dyadflow.llm.pii import redact_pii
 from dyadflow.llm.quality import COUNTS, MEASURES, judge, limits, measure, sketches
 from dyadflow.llm.queries import tokenizer_file
 
+#: Intermediate tables of the stage that ran last.
+OWN: list[str] = []
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(f):
+    """A stage begins when its predecessor's result has been written, so it first deletes that one's intermediate tables."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, OWN)
+        before = len(WRITTEN)
+        out = f(spark, docs, sf_dir)
+        OWN.extend(WRITTEN[before:])
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the limits of their language and source."""
-    discard(spark)
     measured = materialise(measure(docs.select(*COLUMNS)), "measured")
     by = limits(sketches(measured.filter(~F.col("base_failed")).select("lang", "source", *MEASURES, *COUNTS.names)))
     return judge(measured, by).filter("kept").select(*COLUMNS)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    discard(spark)
     verdict = near_duplicates(docs, shingle_words=5, percent=80)
     return docs.select(*COLUMNS).join(verdict.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced by its kind."""
-    discard(spark)
     return redact_pii(docs.select(*COLUMNS))
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus, a row for each block that the target weights take."""
-    discard(spark)
     return mix_blocks(docs.select(*COLUMNS))
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The blocks as token ids: doc_id, source, n_tokens, and ids as little-endian unsigned 32-bit integers."""
-    discard(spark)
     encoded = encode_documents(docs.select("doc_id", "source", "text"), tokenizer_file("word_bpe_49k.json"))
     return encoded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-#: A stage begins when its predecessor's result has been written, and so first deletes that one's intermediate tables.
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("tokens", tokens)]
 #: SQL has no word for the connected components, the field of personal data, the hashes of the mix or the tokens.
 ORACLE_SQL = None
@@ -59,6 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+    for name, one in STAGES[:-1]:
+        docs = materialise(one(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,20 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Intermediate tables written so far, for discard().
+#: Intermediate tables written so far.
 WRITTEN: list[str] = []
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far. For callers that have written the results that read them."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these intermediate tables. For callers that have written the results that read them."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation. With keep
-    discard() leaves the table alone."""
+    the table isn't an intermediate one."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not keep:

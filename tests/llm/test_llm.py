@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadflow.llm import arc, bpe, digest, minhash, mixing, pii, quality, queries, rans, xent
-from dyadflow.llm.common import strings
+from dyadflow.llm.common import materialise, strings
 from dyadflow.llm.licenses import scan_licenses
 
 SF = "/root/testdata/sf0.001"
@@ -315,6 +315,6 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
+        docs = materialise(stage(spark, docs, SF), name, keep=True)
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
     assert corpus_pipeline.run(spark, SF).filter("n_tokens > 0").count() > 0
