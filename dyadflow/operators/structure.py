@@ -42,7 +42,7 @@ def structural_grep(facts: DataFrame, terms: list[tuple[str, str, str]]) -> Data
 def highlight(tokens: DataFrame, solutions: DataFrame) -> DataFrame:
     """(doc, text): sentences with the tokens that any solution binds marked."""
     names = [c for c in solutions.columns if c != "doc"]
-    marked = solutions.select("doc", F.explode(F.array(*names)).cast("int").alias("i")).distinct().withColumn("_m", F.lit(True))
+    marked = solutions.select("doc", F.explode(F.array(*names)).alias("i")).withColumn("i", F.col("i").cast("int")).distinct().withColumn("_m", F.lit(True))
     word = F.when(F.col("_m"), F.concat(F.lit("["), F.col("word"), F.lit("]"))).otherwise(F.col("word"))
     rows = tokens.join(solutions.select("doc").distinct(), "doc", "left_semi").join(marked, ["doc", "i"], "left")
     return rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", word.alias("w"))))["w"], " ").alias("text"))

@@ -177,7 +177,7 @@ def g1_parse_facts(v):
     return facts(v).groupBy("doc", "pred").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"))
 
 
-TERMS = [("nsubj", "V", "S"), ("dobj", "V", "O"), ("rpos", "V", "VBD"), ("neq", "S", "O")]
+TERMS = [("nsubj", "V", "S"), ("dobj", "V", "O"), ("pos", "V", "vbd"), ("neq", "S", "O")]
 GREP = "SELECT DISTINCT s.doc, CAST(o.child AS STRING) AS \"O\", CAST(s.child AS STRING) AS \"S\", CAST(s.gov AS STRING) AS \"V\" FROM deps s JOIN deps o ON o.doc = s.doc AND o.gov = s.gov AND o.rel = 'dobj' AND o.child <> s.child JOIN toks t ON t.doc = s.doc AND t.i = s.gov AND t.pos = 'VBD' WHERE s.rel = 'nsubj'"
 
 
