@@ -1,13 +1,15 @@
 """License scans over a positional rare-token index; DataFrame operations only.
 
-Each text keeps the positions of its licence words. Its highest-IDF ones look up the templates' postings; postings that
-agree in relative position make a candidate alignment, which must show the template's mandatory key phrase in the text."""
+Each text keeps the positions of its licence words. Each template is looked up by the highest-IDF words of its mandatory key
+phrase; where all of them agree in relative position there is a candidate alignment, which must show the whole key phrase in
+the text. As an alignment can't be verified without these words, no other text of the template needs to be looked at."""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -42,6 +44,11 @@ def vocabulary() -> list[str]:
     return sorted({w for _, key, text in TEMPLATES for w in _words(f"{text} {key}")}.union(*[p.split() for p, _ in PHRASES]) - STOP)
 
 
+def key_words() -> list[str]:
+    """The indexed words of the templates' key phrases."""
+    return sorted({w for _, key, _ in TEMPLATES for w in _words(key)} - STOP)
+
+
 def postings(spark: SparkSession) -> DataFrame:
     """(template, label, tpos, word, mandatory): a row for each indexed word of each template; a table of fixed size."""
     rows = []
@@ -83,6 +90,7 @@ def phrase_starts(phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, rare_words: int = 8, least: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of docs (doc_id, text).
 
+    Each template is looked up by up to `rare_words` of its own key words, however many other words a text has.
     n_base counts the places of the base phrases; labels adds those of templates found by the index with at least `least`
     of their IDF weight in place; score is the best such share, 0 if none. A null text is empty: no words, null places,
     empty labels. Repeated rows each get a row; other columns are ignored; an empty table gives none."""
@@ -94,15 +102,12 @@ def scan_licenses(docs: DataFrame, rare_words: int = 8, least: float = 0.6) -> D
     n = index.agg(F.count(F.lit(1)).alias("n_docs"))
     posted = postings(spark).join(df, "word", "left").join(F.broadcast(n), F.lit(True), "left").withColumn("idf", F.log((F.col("n_docs") + 2) / (F.coalesce("df", F.lit(0)) + 1)))
     posted = F.broadcast(materialise(posted.select("template", "label", "tpos", "word", "mandatory", "idf"), "postings"))
-    idf = F.broadcast(posted.groupBy().agg(F.map_from_entries(F.collect_set(F.struct("word", "idf"))).alias("idf_of")))
-    known = some.join(idf, F.lit(True))
-    weights = F.sort_array(F.transform(F.array_distinct(F.filter(F.col("hits.word"), lambda w: F.map_contains_key("idf_of", w))), lambda w: F.col("idf_of")[w]), asc=False)
-    known = known.withColumn("cut", F.coalesce(F.get(weights, F.lit(rare_words - 1)), F.lit(0.0)))
-    rare = known.select("row", F.explode(F.filter("hits", lambda x: F.coalesce(F.col("idf_of")[x["word"]] >= F.col("cut"), F.lit(False)))).alias("hit")).select("row", F.col("hit.pos").alias("pos"), F.col("hit.word").alias("word"))
-    aligned = rare.join(posted, "word").select("row", "template", (F.col("pos") - F.col("tpos")).alias("offset")).groupBy("row", "template", "offset").agg(F.count(F.lit(1)).alias("agree"))
-    # An alignment needs two rare words in place before its text is looked at again.
+    order = W.partitionBy("template").orderBy(F.desc("idf"), "tpos")
+    anchors = F.broadcast(posted.filter("mandatory").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rare_words).select("template", "tpos", "word", F.max("rank").over(W.partitionBy("template")).alias("needed")))
+    rare = some.select("row", F.explode(F.filter("hits", lambda x: x["word"].isin(key_words()))).alias("hit")).select("row", F.col("hit.pos").alias("pos"), F.col("hit.word").alias("word"))
+    aligned = rare.join(anchors, "word").select("row", "template", "needed", (F.col("pos") - F.col("tpos")).alias("offset")).groupBy("row", "template", "needed", "offset").agg(F.count(F.lit(1)).alias("agree"))
     whole = F.broadcast(posted.groupBy("template", "label").agg(F.collect_list(F.struct("tpos", "word", "mandatory", "idf")).alias("wanted"), F.sum("idf").alias("total")))
-    shown = aligned.filter("agree >= 2").join(some.select("row", "hits"), "row").join(whole, "template")
+    shown = aligned.filter("agree = needed").drop("agree", "needed").join(some.select("row", "hits"), "row").join(whole, "template")
     here = F.map_from_entries("hits")
     matched = F.filter("wanted", lambda x: F.coalesce(F.col("here")[x["tpos"] + F.col("offset")] == x["word"], F.lit(False)))
     shown = shown.withColumn("here", here).withColumn("matched", matched)
