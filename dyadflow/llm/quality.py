@@ -14,13 +14,16 @@ from pyspark.sql import types as T
 
 from .common import codes, slices, split_words, strings
 
-COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
+#: The counts in the result; n_lines only shapes a measure.
+SHOWN = [n for n in COUNTS.names if n != "n_lines"]
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 #: The measured quantities: each is a share or a mean of the counts.
 MEASURES = ("word_len", "symbol_share", "dup_line_share", "repeat_share")
-#: Least interquartile range used for each: a share of the median for word lengths, absolute for the others.
-LEAST_RANGE = {"word_len": 0.125, "symbol_share": 0.01, "dup_line_share": 0.02, "repeat_share": 0.125}
+#: Least interquartile range used for each: a share of the median for word lengths, absolute for the others. With a spread of
+#: four, shares of repeated lines up to 0.2 and of repeated windows up to 0.1 over the third quartile stay.
+LEAST_RANGE = {"word_len": 0.125, "symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.025}
 
 
 def _count(text: pa.Array) -> list[np.ndarray]:
@@ -50,12 +53,12 @@ def _count(text: pa.Array) -> list[np.ndarray]:
     line_row = line_row[some.to_numpy(zero_copy_only=False)]
     distinct = pd.unique(line_row * max(1, len(names)) + line) // max(1, len(names))
     chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    return [total(row), total(row, chars), np.diff(sums[offsets - offsets[0]]), total(line_row) - total(distinct.astype(np.int64)), total(row, covered)]
+    return [total(row), total(row, chars), np.diff(sums[offsets - offsets[0]]), total(line_row) - total(distinct.astype(np.int64)), total(row, covered), total(line_row)]
 
 
 @F.arrow_udf(COUNTS)
 def text_counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Word, symbol, repeated-line and repeated-window counts of whole texts; null is empty."""
+    """Word, symbol, repeated-line, repeated-window and line counts of whole texts; null is empty."""
     for col in texts:
         col = strings(col)
         parts = [_count(col.slice(a, b - a)) for a, b in slices(col)]
@@ -67,7 +70,7 @@ def measures() -> dict[str, Column]:
     return {
         "word_len": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
     }
 
@@ -120,7 +123,7 @@ def limits(sketch: DataFrame, resolution: int = 50, spread: float = 4.0, min_doc
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with the five counts, the measures and base_failed added."""
+    """docs with the counts, the measures and base_failed added."""
     counted = docs.withColumn("_counts", text_counts("text"))
     for name in COUNTS.names:
         counted = counted.withColumn(name, F.col(f"_counts.{name}"))
@@ -147,4 +150,4 @@ def quality_rules(docs: DataFrame, spread: float = 4.0, min_docs: int = 100) ->
 
     measured = materialise(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
     by = limits(sketches(measured.filter(~F.col("base_failed"))), spread=spread, min_docs=min_docs)
-    return judge(measured, by).select("doc_id", *COUNTS.names, "base_failed", "kept", *MEASURES)
+    return judge(measured, by).select("doc_id", *SHOWN, "base_failed", "kept", *MEASURES)
