@@ -41,9 +41,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    verdict = near_duplicates(docs, shingle_words=5, percent=80)
-    return docs.select(*COLUMNS).join(verdict.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Rows are told apart by a number of their own, so repeated rows leave one, and rows with a null doc_id are documents like
+    others. A group keeps its least doc_id, one with a null doc_id only if it has no other. All texts without words stay."""
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "numbered")
+    verdict = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), shingle_words=5, percent=80)
+    groups = verdict.select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", "doc_id"), "row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    return numbered.join(first.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 @stage
