@@ -17,8 +17,8 @@ from .common import codes, hash_values, materialise, mix64, slices, split_words,
 BANDS, ROWS, BITS = 80, 8, 2
 #: How far below the limit an estimate may lie for the pair to be looked at whole: six standard deviations at 0.8.
 MARGIN = 0.115
-#: Least similarity to a hub at which a set without links is covered through it.
-RELATED = 0.6
+#: Least similarity to a centre at which a set is covered through it. It decides how many centres there are, not what is found.
+RELATED = 0.3
 #: Turns in which a bucket's sets are compared with a leader before those left apart are compared with each other.
 TURNS = 2
 SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.ArrayType(T.LongType()))])
@@ -159,25 +159,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Documents link where 100 * intersection >= percent * union of their word-shingle sets; a component's id is its least
-    doc_id, and that document is kept. Equal sets are collapsed first. In a band bucket each set is compared with the
-    bucket's leader, in TURNS turns with another leader; sets that stay in other components than a bucket-mate are then
-    compared with it, so every candidate pair is either compared or already connected. Null texts, and texts without words, have empty sets and link with
-    nothing. Rows with a null doc_id come back with a null component and kept = true; repeated rows come back as often."""
+    doc_id, and the rows with that id are kept. Equal sets are collapsed first, and each distinct set is a node with a number
+    of its own, so documents that share a doc_id but not their text all link. In a band bucket each set is compared with the
+    bucket's leader, in TURNS turns with another leader; what stays apart is then held against the centres of the others
+    (`_apart`), so every candidate pair is either compared or already connected.
+
+    Null texts, and texts without words, have empty sets and link with nothing. A row with a null doc_id links like others;
+    its group's component_id is the least id of the others, and it is kept only where there is none. Repeated rows come back
+    as often. Other columns are ignored; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
-    signed = docs.withColumn("_s", signer(shingle_words)("text")).select("doc_id", "_s.*")
-    signed = materialise(signed, "signed")
-    sets = materialise(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    chosen = sets.select(F.col("rep").alias("doc_id"), "n_shingles", "set_a", "set_b").dropDuplicates(["doc_id"])
-    wide = signed.join(chosen, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi")
-    reps = materialise(wide.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]), "reps")
-    buckets = wide.select("doc_id", "bands").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
+    docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "text_hash": F.xxhash64("text")})
+    signed = materialise(docs.withColumn("_s", signer(shingle_words)("text")).select("doc_id", "id", "text_hash", "_s.*"), "signed")
+    key = ["n_shingles", "set_a", "set_b"]
+    sets = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("id", "text_hash")).alias("at"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    reps = sets.select("node", "n_shingles", "signature")
+    buckets = sets.select(F.col("node").alias("member"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = materialise(buckets.join(sizes, "bucket"), "buckets")
     # A set that shares its buckets with many others is likely the one that its copies were made from: it leads.
     rank = F.struct(F.col("weight"), -F.col("member"))
     left = shared.join(shared.groupBy("member").agg(F.sum("size").alias("weight")), "member").drop("size").withColumns({"component": F.col("member"), "hub": F.lit(None).cast("long")})
     known = links = None
-    full = FullSets(docs, shingle_words)
+    full = FullSets(docs.select("id", "text_hash", "text"), sets.select("node", "at.*"), shingle_words)
     for _ in range(TURNS):
         if known is not None:
             left = _placed(left, known)
@@ -188,12 +192,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         links = found if links is None else links.unionByName(found)
         known = _merged(known, found)
         left = led.filter("member <> lead.member").withColumn("hub", F.coalesce("hub", "lead.member")).drop("lead")
-    more = _apart(_placed(left, known), known, links, reps, full, percent)
-    second = _merged(known, more)
-    rep_of = sets.join(second, F.col("rep") == F.col("node"), "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(rep_of, ["n_shingles", "set_a", "set_b"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    known = _merged(known, _apart(_placed(left, known), known, links, reps, full, percent))
+    placed = sets.select("node", "doc_id", *key).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = placed.join(least, "component").select(*key, "component_id")
+    out = signed.select("doc_id", *key).join(of, key, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def _placed(left: DataFrame, known: DataFrame) -> DataFrame:
@@ -201,67 +205,86 @@ def _placed(left: DataFrame, known: DataFrame) -> DataFrame:
     return left.drop("component").join(known, F.col("member") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "member"))
 
 
+def _centres(left: DataFrame, known: DataFrame, links: DataFrame, side) -> DataFrame:
+    """(node, centre): one centre for each member of the open buckets, as few different ones as may be.
+
+    The centre of a component's member is the component's head, the set with most links; that of a set without links is the
+    head of its hub's component, or the hub. A member less than RELATED to it keeps the centre that it links with, or is its own."""
+    fame = materialise(links.groupBy("a").agg(F.count(F.lit(1)).alias("fame")), "fame")
+    heads = known.join(fame, F.col("node") == F.col("a")).groupBy("component").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("head"), F.max("fame").alias("fame"))
+    headed = materialise(known.join(heads, "component").select("node", "head", "fame"), "heads")
+    members = materialise(left.select("member", "hub").distinct(), "members")
+    own = members.select("member").distinct().join(headed.withColumnRenamed("node", "member"), "member")
+    lone = members.join(headed.select(F.col("node").alias("member")), "member", "left_anti").join(headed, F.col("hub") == F.col("node"), "left")
+    lone = lone.select("member", F.coalesce("head", "hub").alias("head"), F.coalesce("fame", F.lit(0)).alias("fame")).filter("head IS NOT NULL").distinct()
+    may = own.select("member", "head", "fame").unionByName(lone).join(side("member"), "member").join(side("head"), "head")
+    near = may.filter(estimate(F.col("sig_member"), F.col("sig_head")) >= RELATED).groupBy("member").agg(F.max_by("head", F.struct("fame", -F.col("head"))).alias("near"))
+    linked = links.join(fame, "a").groupBy("b").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("linked"))
+    out = members.select("member").distinct().join(near, "member", "left").join(linked, F.col("member") == F.col("b"), "left")
+    return materialise(out.select(F.col("member").alias("node"), F.coalesce("near", "linked", "member").alias("centre")), "centres")
+
+
 def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """Further links in buckets (bucket, member, component, hub) that hold several components.
 
-    Sets outside a bucket's main component (strays) are held against the centres of the others: links (a, b) give each
-    linked set b a centre a, and a set without links has its bucket's hub if it is at least RELATED to it, or is its own.
-    If stray x links to y, x is at most 1 - limit less similar to y's centre c than y is, by the triangle inequality of the
-    Jaccard distance. For such x and c, all members y of c's star are covered without listing pairs: the common part of x and y lies in c or outside it. Either both x and y have enough in c for the link, which
-    their counts show, or they share a shingle outside c, which is a join on that shingle; those are rare where copies differ."""
+    Sets outside a bucket's main component (strays) are held against the centres of the others. The members of a centre's
+    star are covered without listing pairs: what a stray x and a member y have in common lies in the centre c or outside it.
+    Either they share a shingle outside c, which is a join on that shingle, and those are rare where copies differ; or both
+    have enough in c for the link, which bounds the size of each by a number of the other, and few pass the bounds of a star."""
     open_ = left.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
     left = materialise(left.join(open_, "bucket", "left_semi"), "left")
-    # Of a set's centres the one with most links counts, so that few centres stand for many sets.
-    fame = materialise(links.groupBy("a").agg(F.count(F.lit(1)).alias("fame")), "fame")
-    leads = fame.select(F.col("a").alias("node"), F.col("a").alias("centre"), "fame")
-    linked = links.join(fame, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), "fame").unionByName(leads)
-    linked = linked.groupBy("node").agg(F.max_by("centre", F.struct("fame", -F.col("centre"))).alias("centre"))
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
-    alone = left.select("member", "hub").distinct().join(linked.select(F.col("node").alias("member")), "member", "left_anti")
-    near = estimate(F.col("sig_member"), F.col("sig_hub"))
-    alone = alone.join(side("member"), "member").join(side("hub"), "hub").filter(near >= RELATED).join(fame, F.col("hub") == F.col("a"), "left")
-    alone = alone.groupBy("member").agg(F.max_by("hub", F.struct(F.coalesce("fame", F.lit(0)), -F.col("hub"))).alias("centre"))
-    centres = materialise(linked.unionByName(alone.withColumnRenamed("member", "node")), "centres")
-    now = left.join(centres, F.col("member") == F.col("node"), "left").select("bucket", "member", "component", F.coalesce("centre", "member").alias("centre"))
-    now = materialise(now, "open")
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
+    centres = _centres(left, known, links, side)
+    now = materialise(left.join(centres, F.col("member") == F.col("node")).select("bucket", "member", "component", "centre"), "open")
     main = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    strays = now.join(main, "bucket").filter("component <> main").select("bucket", F.col("member").alias("x"), F.col("component").alias("cx")).join(side("x"), "x")
-    targets = now.groupBy("bucket", F.col("centre").alias("c"), "component").agg(F.max(F.col("centre") != F.col("member")).alias("star")).join(side("c"), "c")
-    limit = F.when(F.col("star"), F.lit(RELATED - (1 - percent / 100) - 2 * MARGIN)).otherwise(F.lit(percent / 100 - MARGIN))
-    held = strays.join(targets, "bucket").filter((F.col("component") != F.col("cx")) & (estimate(F.col("sig_x"), F.col("sig_c")) >= limit))
-    held = materialise(held.groupBy("x", "c").agg(F.max("star").alias("star")), "held")
+    strays = now.join(main, "bucket").filter("component <> main").select("bucket", F.col("member").alias("x"), F.col("component").alias("cx"))
+    targets = now.groupBy("bucket", F.col("centre").alias("c")).agg(F.max(F.col("centre") != F.col("member")).alias("star"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    held = strays.join(targets, "bucket").filter("c1 <> cx OR c2 <> cx").groupBy("x", "c").agg(F.max("star").alias("star")).filter("x <> c")
+    likely = F.col("star") | _likely(F.col("n_x"), F.col("n_c"), F.col("sig_x"), F.col("sig_c"), percent)
+    held = materialise(held.join(side("x"), "x").join(side("c"), "c").filter(likely).select("x", "c", "star"), "held")
     stars = centres.filter("node <> centre").join(held.filter("star").select(F.col("c").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("c"), F.col("node").alias("y"))
-    wanted = held.select(F.explode(F.array("x", "c")).alias("doc_id")).unionByName(stars.select(F.col("y").alias("doc_id"))).distinct()
+    wanted = held.select(F.explode(F.array("x", "c")).alias("node")).unionByName(stars.select(F.col("y").alias("node"))).distinct()
     full = full_sets.of(wanted)
     outside = lambda df, c: (
-        df.join(full.select(F.col("doc_id").alias(c), F.col("full").alias("own")), c)
-        .join(full.select(F.col("doc_id").alias("c"), F.col("full").alias("mid")), "c")
+        df.join(full.select(F.col("node").alias(c), F.col("full").alias("own")), c)
+        .join(full.select(F.col("node").alias("c"), F.col("full").alias("mid")), "c")
         .select(*df.columns, F.array_except("own", "mid").alias(f"out_{c}"), F.size("own").alias(f"n_{c}"), F.size("mid").alias(f"mid_{c}"))
         .withColumn(f"in_{c}", F.col(f"n_{c}") - F.size(f"out_{c}"))
+        # The largest set that a link with this one allows if all they share lies in the centre.
+        .withColumn(f"most_{c}", F.col(f"in_{c}") * (100 + percent) / percent - F.col(f"n_{c}"))
         .join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
         .withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
     )
     x, y = materialise(outside(held, "x"), "strays"), materialise(outside(stars, "y"), "stars")
     straight = x.filter((100 + percent) * F.col("in_x") >= percent * (F.col("n_x") + F.col("mid_x"))).select(F.col("c").alias("a"), F.col("x").alias("b"))
     each = lambda df, c: df.select("c", c, f"of_{c}", F.explode(f"out_{c}").alias("shingle"))
-    rare = each(x.filter("star"), "x").join(each(y, "y"), ["c", "shingle"]).filter("of_x <> of_y").select("x", "y").distinct()
-    enough = lambda c: (100 + percent) * F.col(f"in_{c}") >= percent * (F.col("n_x") + F.col("n_y"))
-    inner = x.filter("star").select("c", "x", "of_x", "n_x", "in_x").join(y.select("c", "y", "of_y", "n_y", "in_y"), "c").filter(enough("x") & enough("y") & (F.col("of_x") != F.col("of_y"))).select("x", "y")
-    pairs = materialise(rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "apart")
-    return straight.unionByName(_confirmed(pairs, full_sets, percent))
+    # Few outside shingles are on both sides; only their rows get signatures.
+    x_out, y_out = each(x.filter("star"), "x"), each(y, "y")
+    x_out, y_out = x_out.join(y_out, ["c", "shingle"], "left_semi").join(side("x"), "x"), y_out.join(x_out, ["c", "shingle"], "left_semi").join(side("y"), "y")
+    may_link = (F.col("of_x") != F.col("of_y")) & _likely(F.col("n_x"), F.col("n_y"), F.col("sig_x"), F.col("sig_y"), percent)
+    rare = x_out.join(y_out, ["c", "shingle"]).filter(may_link).select("x", "y").distinct()
+    bound = lambda df, c: df.groupBy("c").agg(F.min(f"n_{c}").alias(f"least_{c}"), F.max(f"most_{c}").alias(f"bound_{c}"))
+    low_x = x.filter("star").join(bound(y, "y"), "c").filter((F.col("most_x") >= F.col("least_y")) & (F.col("n_x") <= F.col("bound_y"))).select("c", "x", "of_x", "n_x", "most_x")
+    low_y = y.join(bound(low_x, "x"), "c").filter((F.col("most_y") >= F.col("least_x")) & (F.col("n_y") <= F.col("bound_x"))).select("c", "y", "of_y", "n_y", "most_y")
+    inner = low_x.join(low_y, "c").filter((F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & (F.col("of_x") != F.col("of_y"))).select("x", "y")
+    pairs = rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+    return straight.unionByName(_linked(materialise(pairs, "apart"), reps, full_sets, percent))
 
 
 class FullSets:
-    """Whole shingle sets of documents, each made once: later requests read the texts of new documents only."""
+    """Whole shingle sets of nodes (node, id, text_hash), each made once: later requests read the texts of new ones only. A
+    node's text is told by its doc_id and its hash, as a doc_id may stand for several texts."""
 
-    def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k, self.have = docs, k, None
+    def __init__(self, texts: DataFrame, nodes: DataFrame, k: int):
+        self.texts, self.nodes, self.k, self.have = texts, nodes, k, None
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        """(doc_id, full) for at least the wanted doc_ids."""
-        wanted = wanted.select("doc_id").distinct()
-        new = wanted if self.have is None else wanted.join(self.have.select("doc_id"), "doc_id", "left_anti")
-        made = materialise(self.docs.join(new, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", setter(self.k)("text").alias("full")), "full")
+        """(node, full) for at least the wanted nodes."""
+        wanted = wanted.select("node").distinct()
+        new = wanted if self.have is None else wanted.join(self.have.select("node"), "node", "left_anti")
+        # Repeated rows are dropped where the join has dealt them, so a text moves once.
+        once = self.texts.join(self.nodes.join(new, "node"), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+        made = materialise(once.select("node", setter(self.k)("text").alias("full")), "full")
         self.have = made if self.have is None else self.have.unionByName(made)
         return self.have
 
@@ -280,16 +303,16 @@ def _likely(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Colum
 
 def _linked(pairs: DataFrame, reps: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """The pairs (a, b) that their signatures make likely and their full sets confirm."""
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     likely = pairs.join(side("b"), "b").join(side("a"), "a").filter(_likely(F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b"), percent))
     return _confirmed(materialise(likely.select("a", "b"), "likely"), full_sets, percent)
 
 
 def _confirmed(likely: DataFrame, full_sets: FullSets, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     full = full_sets.of(wanted)
-    at = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"full_{c}"))
+    at = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"full_{c}"))
     both = likely.join(at("b"), "b").join(at("a"), "a").withColumn("common", F.size(F.array_intersect("full_a", "full_b")))
     union = F.size("full_a") + F.size("full_b") - F.col("common")
     return materialise(both.filter(100 * F.col("common") >= percent * union).select("a", "b"), "linked")
