@@ -31,21 +31,42 @@ BITS, LANES, INTERVAL, BLOCK, LOW = 18, 2048, 128, 1 << 20, 1 << 31
 #: stream words, checksum of the ids, checksum of the table.
 HEAD = struct.Struct("<4sBBIIIQIIQII")
 #: Pieces that a worker remembers before it begins a new generation; the one before stays for those still in use.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Bytes of text that are split into pieces at once: the more, the fewer distinct pieces there are to look up.
+PART_BYTES = 16 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in byte-level models: printable ones stand for themselves, others count on from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+#: What stands before a piece, if not a blank (0).
+FIRST, LINE_END = 1, 2
 
 
 class Pieces:
-    """A tokenizer of byte-level pieces. A blank before anything but white space always begins a piece, so a text is cut
-    there and each distinct cut is encoded once; texts with other white space after blanks, or special tokens, go whole."""
+    """A tokenizer of byte-level pieces. A blank before anything but white space always begins a piece, and a line end between
+    other characters is one by itself, so a text is cut there and each distinct cut is encoded once; texts with more white
+    space together, or with special tokens, go whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = dict(zip(",.", self._lists([",", "."]), strict=True))
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.line_end = np.array([self.line], "<u4").tobytes()
+        # The same model, for pieces that are one word each and already spelled in the model's letters for bytes.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Split(BYTE_LETTERS[10], "isolated")
 
     def _lists(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,10 +74,21 @@ class Pieces:
     def _learn(self, keys: list[str]) -> None:
         """Encode new pieces. Those without line ends go many to a call, on lines of their own: a line end between two
         pieces that don't end in white space is one token by itself."""
-        lined = [k for k in keys if "\n" not in k and k and not k[-1].isspace()]
-        for at in range(0, len(lined), 500):
-            group = lined[at : at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0].ids, "<u4")
+        words, lined = [], []
+        for k in keys:
+            if k[k[:1] == " " :].isalpha():
+                words.append(k)
+            elif "\n" not in k and k and not k[-1].isspace():
+                lined.append(k)
+        self._learn_lines(self.words, words, lambda x: x.encode().decode("latin-1").translate(BYTE_LETTERS))
+        self._learn_lines(self.tokenizer, lined, lambda x: x)
+        rest = [k for k in keys if k not in self.known]
+        self.known.update(zip(rest, self._lists(rest), strict=True))
+
+    def _learn_lines(self, tokenizer, keys: list[str], spelled) -> None:
+        for at in range(0, len(keys), 500):
+            group = keys[at : at + 500]
+            ids = np.array(tokenizer.encode_batch_fast([spelled("\n".join(group))], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.line)
             if len(ends) != len(group) - 1:
                 self.known.update(zip(group, self._lists(group), strict=True))
@@ -64,47 +96,67 @@ class Pieces:
             raw = ids.tobytes()
             for key, i, j in zip(group, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
                 self.known[key] = raw[4 * i : 4 * j]
-        rest = [k for k in keys if k not in self.known]
-        self.known.update(zip(rest, self._lists(rest), strict=True))
 
-    def _encoded(self, keys: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: pa.Array) -> list[bytes]:
         """Ids of distinct pieces. A comma or full stop after a letter is always a token of its own."""
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
-        tails = [k[-1] if k[-1:] in self.marks and k[-2:-1].isalpha() else "" for k in keys]
-        bases = [k[:-1] if t else k for k, t in zip(keys, tails, strict=True)]
-        new = []
-        for k in bases:
-            if k not in self.known:
+        tailed = pc.match_substring_regex(pieces, r"\pL[,.]$")
+        tails = pc.if_else(tailed, pc.utf8_slice_codeunits(pieces, -1), pa.scalar("", pieces.type)).to_numpy(zero_copy_only=False).tolist()
+        bases = pc.if_else(tailed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.known.get, bases)]
+        missing = {bases[i]: None for i, ids in enumerate(found) if ids is None}
+        if missing:
+            new = []
+            for k in missing:
                 if (ids := self.old.get(k)) is None:
                     new.append(k)
                 else:
                     self.known[k] = ids
-        self._learn(list(dict.fromkeys(new)))
-        return [self.known[k] + self.marks[t] if t else self.known[k] for k, t in zip(bases, tails, strict=True)]
+            self._learn(new)
+            found = [*map(self.known.__getitem__, bases)]
+        return [ids + self.marks[t] if t else ids for ids, t in zip(found, tails, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
+        lines = pc.split_pattern(texts, "\n")
+        per_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(lines.flatten(), " ")
         count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(texts)), count)
-        first = np.zeros(len(row), bool)
-        first[np.cumsum(count) - count] = True
+        row = np.repeat(np.repeat(np.arange(len(texts)), per_text), count)
+        # What stands before a piece: a blank, nothing as it is the text's first, or a line end.
+        lead = np.zeros(len(row), np.int64)
+        lead[np.cumsum(count) - count] = LINE_END
+        lead[np.flatnonzero(np.diff(row, prepend=-1))] = FIRST
         coded = lists.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        marked = np.fromiter((any(s in p for s in self.special) for p in pieces), bool, len(pieces))
-        blank = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
-        whole = np.bincount(row, marked[code] | (blank[code] & ~first), minlength=len(texts)) > 0
-        kind = 2 * code + first
-        used, kind = np.unique(kind[~whole[row]], return_inverse=True)
-        chunks = self._encoded([pieces[u >> 1] if u & 1 else " " + pieces[u >> 1] for u in used.tolist()])
-        alone = np.flatnonzero(whole)
-        chunks += self._lists([texts[int(i)].as_py() for i in alone])
-        every = np.concatenate([kind, np.arange(len(used), len(chunks))])
-        at = np.concatenate([row[~whole[row]], alone])
-        every = every[np.argsort(at, kind="stable")]
+        code, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        whole = np.zeros(len(texts), bool)
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        # White space as Python knows it. Pieces with it at an end, or none between two blanks, would join what stands before.
+        space = r"[\s\x0B\x1C-\x1F\x85\pZ]"
+        blank = pc.match_substring_regex(pieces, f"^($|{space})|{space}$").to_numpy(zero_copy_only=False)[code]
+        empty = pc.equal(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False)[code]
+        last = np.diff(row, append=-1) != 0
+        whole |= np.bincount(row, blank & ~(empty & ((lead == FIRST) | (lead == LINE_END) & last)), minlength=len(texts)) > 0
+        kind, split = 3 * code + lead, ~whole[row]
+        seen = np.bincount(kind[split], minlength=3 * len(pieces)) > 0
+        used, kind = np.flatnonzero(seen), (np.cumsum(seen) - 1)[kind[split]]
+        plain, lead = pieces.take(pa.array(used // 3)), used % 3
+        led = pc.binary_join_element_wise(*[pa.scalar(x, plain.type) if isinstance(x, str) else x for x in (" ", plain, "")])
+        chunks = self._encoded(pc.if_else(pa.array(lead == 0), led, plain))
+        for i in np.flatnonzero(lead == LINE_END).tolist():
+            chunks[i] = self.line_end + chunks[i]
+        every, at = kind, row[split]
+        if whole.any():
+            alone = np.flatnonzero(whole)
+            every = np.concatenate([kind, np.arange(len(alone)) + len(chunks)])
+            at = np.concatenate([at, alone])
+            chunks += self._lists([texts[int(i)].as_py() for i in alone])
+            order = np.argsort(at, kind="stable")
+            every, at = every[order], at[order]
         size = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
         flat = np.frombuffer(b"".join(chunks), "<u4")
-        n = np.bincount(at, size[np.concatenate([kind, np.arange(len(used), len(chunks))])], minlength=len(texts)).astype(np.int64)
+        n = np.bincount(at, size[every], minlength=len(texts)).astype(np.int64)
         return gather(flat, np.cumsum(size) - size, size, every), n
 
 
@@ -194,7 +246,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
         kind = "<u2" if pieces.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for col in texts:
             col, out = strings(col), []
-            for a, b in slices(col):
+            for a, b in slices(col, PART_BYTES):
                 ids, n = pieces.encode(col.slice(a, b - a))
                 ids, ends = ids.astype(kind), np.cumsum(n)
                 out += [pack.compress(ids[s:e].tobytes() + bytes(np.dtype(kind).itemsize)) for s, e in zip(ends - n, ends, strict=True)]
