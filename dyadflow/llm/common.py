@@ -54,7 +54,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = Fals
 
 
 def strings(col: pa.Array) -> pa.Array:
-    """Text with null as empty."""
+    """Text with null as empty. For whole columns: what this makes of a slice with an offset misleads later functions."""
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 

@@ -1,4 +1,9 @@
-"""Scores by cross-entropy difference between a target and a background n-gram model over one vocabulary."""
+"""Scores by cross-entropy difference between a target and a background n-gram model over one vocabulary.
+
+The models are tables of counts of all words and all pairs of neighbouring words, in both collections, spread over the
+cluster. Texts are dealt into parts of a bounded size; a part's keys and counts are summed before the shuffle, so a frequent
+word counts once a part, and travel by ranges of keys. A range sums what all parts sent and answers each with the totals of
+its own keys, with which the part is scored."""
 
 from __future__ import annotations
 
@@ -7,148 +12,167 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, materialise, slices, split_words, strings
+from .common import codes, hash_values, materialise, mix64, split_words, strings
 
-#: Bytes of text counted together; counts leave the worker once for each such part.
-PART_BYTES = 4 << 20
+#: Bytes of text in a part; a longer text is a part of its own.
+PART_BYTES = 8 << 20
+#: The key of the mark before a text's first word, which is the word before it.
+MARK = np.uint64(0x6D61726B | 1)
+#: Parts whose keys one bucket may hold.
+BUCKET_PARTS = 8
 
 
-def _lower(batch: pa.RecordBatch, i: int) -> Iterator[pa.Array]:
-    col = pc.ascii_lower(strings(batch.column(i)))
-    for a, b in slices(col, PART_BYTES):
-        yield col.slice(a, b - a)
+def parts_of(docs: DataFrame, target_ids: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(part, doc_id, text, target): a row for each part, with lists of its rows' doc_ids, texts, and whether each is a target."""
+    chosen = target_ids.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
+    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts: partial counts, to be summed."""
+        def row() -> pa.RecordBatch:
+            lists = [pa.array([[x for piece in held for x in piece[j]]], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.string(), pa.bool_()))]
+            return pa.RecordBatch.from_arrays([pa.array([part]), *lists], names=["part", "doc_id", "text", "target"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _lower(batch, 0):
-                code, names = codes(split_words(part)[0])
-                yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(np.bincount(code, minlength=len(names)).astype(np.int64))], names=["word", "n"])
+            cols = [batch.column(j).to_pylist() for j in range(3)]
+            each = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            at = 0
+            for i, k in enumerate(each):
+                if size and size + k > part_bytes:
+                    held.append([c[at:i] for c in cols])
+                    yield row()
+                    part, held, size, at = part + 1, [], 0, i
+                size += k
+            held.append([c[at:] for c in cols])
+        if any(piece[0] for piece in held):
+            yield row()
 
-    return docs.select("text").mapInArrow(count, "word string, n long")
+    return materialise(marked.mapInArrow(deal, "part long, doc_id array<long>, text array<string>, target array<boolean>"), "parts")
 
 
-class Numbers:
-    """The shared vocabulary: listed words have their place, others one number more, and a text begins with a mark."""
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each word, of its pair with the word before it, and its row. Words have odd keys and pairs even ones."""
+    words, row = split_words(pc.ascii_lower(text))
+    code, names = codes(words)
+    word = (hash_values(names) | np.uint64(1))[code] if len(code) else np.empty(0, np.uint64)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[np.flatnonzero(np.diff(row, prepend=-1))] = MARK
+    pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + word) & ~np.uint64(1)
+    return word, pair, row
 
-    def __init__(self, words: list[str]):
-        self.of = {w: i for i, w in enumerate(words)}
-        self.other, self.mark, self.size = len(words), len(words) + 1, len(words) + 2
 
-    def pairs(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's predecessor, the word, and its row."""
-        words, row = split_words(text)
-        code, names = codes(words)
-        number = np.fromiter((self.of.get(w, self.other) for w in names.to_pylist()), np.int64, len(names))[code] if len(code) else code
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[np.flatnonzero(np.diff(row, prepend=-1))] = self.mark
-        return before, number, row
+def counts_of(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, how often each occurs, and how often in the target."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, minlength=len(found)), np.bincount(at, target, minlength=len(found)).astype(np.int64)
 
 
-def pair_counts(docs: DataFrame, numbers) -> DataFrame:
-    """(pair, n): partial counts of neighbouring words."""
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in few bytes: their bytes by place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=0), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = numbers.value
-        for batch in batches:
-            for part in _lower(batch, 0):
-                before, number, _ = own.pairs(part)
-                pair, n = np.unique(before * own.size + number, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    return docs.select("text").mapInArrow(count, "pair long, n long")
-
-
-def _both(background: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """(key, nb, nt): counts in both collections, summed before and after the shuffle."""
-    marked = background.select(key, F.col("n").alias("nb"), F.lit(0).cast("long").alias("nt")).unionByName(target.select(key, F.lit(0).cast("long").alias("nb"), F.col("n").alias("nt")))
-    return marked.groupBy(key).agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
-
-
-def _most(counts: DataFrame, most: int, least: int) -> DataFrame:
-    """The rows with the highest background counts, all of a count or none, `most` at the most: the model's size is bounded,
-    while the counts are of the whole corpus. There are few distinct counts, so no row is sorted."""
-    by = counts.filter(F.col("nb") >= least).groupBy("nb").agg(F.count(F.lit(1)).alias("rows")).collect()
-    total, limit = 0, None
-    for r in sorted(by, key=lambda r: -r.nb):
-        total += r.rows
-        if total > most:
-            break
-        limit = r.nb
-    return counts.filter(F.col("nb") >= limit) if limit is not None else counts.filter(F.lit(False))
-
-
-class Models:
-    """Both models: word probabilities with add-`alpha`, and those of listed pairs interpolated with weight `weight`."""
-
-    def __init__(self, words: list[tuple[int, int]], rest: tuple[int, int], texts: tuple[int, int], pairs: np.ndarray, alpha: float, weight: float):
-        counts = np.array([*words, rest, texts], np.float64).reshape(-1, 2)
-        inside = counts[:-1]
-        self.single = (inside + alpha) / (inside.sum(0) + alpha * len(inside))
-        order = np.argsort(pairs[:, 0], kind="stable") if len(pairs) else np.empty(0, int)
-        self.pair = pairs[order, 0] if len(pairs) else np.empty(0, np.int64)
-        before = counts[self.pair // len(counts)] if len(pairs) else np.empty((0, 2))
-        # A word that a model hasn't seen as a predecessor has no pairs there.
-        self.given = weight * np.divide(pairs[order, 1:], before, out=np.zeros_like(before), where=before > 0) if len(pairs) else before
-        self.rest = 1 - weight
-
-    def losses(self, before: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
-        """Minus log probability of each word in the background and in the target."""
-        p = self.rest * self.single[number]
-        if len(self.pair):
-            key = before * size + number
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            hit = self.pair[at] == key
-            p[hit] += self.given[at[hit]]
-        return -np.log(p)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, words: int, pairs: int, alpha: float, weight: float) -> tuple[Numbers, Models]:
-    """Both models: the background is all of docs, the target those whose doc_id is in target_ids."""
-    spark = docs.sparkSession
-    # The texts of the target cross the network once, and are read from there by both passes over them.
-    chosen = materialise(docs.join(target_ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text"), "target")
-    counts = materialise(_both(word_counts(docs), word_counts(chosen), "word"), "word-counts")
-    listed = sorted((r.word, r.nb, r.nt) for r in _most(counts, words, 2).collect())
-    total = counts.agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")).first()
-    texts = (docs.filter("text IS NOT NULL").count(), chosen.filter("text IS NOT NULL").count())
-    numbers = Numbers([w for w, _, _ in listed])
-    shared = spark.sparkContext.broadcast(numbers)
-    found = materialise(_both(pair_counts(docs, shared), pair_counts(chosen, shared), "pair"), "pair-counts")
-    kept = _most(found, pairs, 2).toPandas().to_numpy(np.int64).reshape(-1, 3)
-    rest = (int(total.nb or 0) - sum(b for _, b, _ in listed), int(total.nt or 0) - sum(t for _, _, t in listed))
-    return numbers, Models([(b, t) for _, b, t in listed], rest, texts, kept, alpha, weight)
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 16, pairs: int = 1 << 19, alpha: float = 0.1, weight: float = 0.5) -> DataFrame:
-    """doc_id, n_tokens, ce_background, ce_target and score (target minus background, nats a word; lower is more like the
-    target) for every row of docs (doc_id, text).
 
-    All texts are counted; the shared vocabulary has the `words` most frequent words and the models `pairs` pairs at most.
-    Texts without words, null ones too, have 0 tokens and null scores; repeated rows each count and get a row; other columns
-    are ignored; empty tables give no rows; without targets both models are smoothed alike, the target to equal shares."""
-    docs = docs.select("doc_id", "text")
-    numbers, models = fit(docs, target_ids, words, pairs, alpha, weight)
-    shared = docs.sparkSession.sparkContext.broadcast((numbers, models))
+def own_counts(text: pa.Array, target: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """words_of the texts; the distinct keys of words, pairs and the mark; and their counts in both collections."""
+    word, pair, row = words_of(text)
+    keys, nb, nt = counts_of(np.concatenate([word, pair]), np.concatenate([target[row], target[row]]))
+    some = np.unique(row)
+    if len(some):
+        at = int(np.searchsorted(keys, MARK))
+        keys, nb, nt = np.insert(keys, at, MARK), np.insert(nb, at, len(some)), np.insert(nt, at, int(target[some].sum()))
+    return (word, pair, row), keys, np.stack([nb, nt], 1).astype(np.int64)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = shared.value
+
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of keys in order begins, and the end. A bucket is a range of keys."""
+    first = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
+
+
+def counted(parts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, part, keys, counts): a part's distinct keys in each bucket, in order, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _lower(batch, 1):
-                before, number, row = own.pairs(part)
-                loss = model.losses(before, number, own.size) if len(number) else np.zeros((0, 2))
-                n = np.bincount(row, minlength=len(part))
-                ce = [np.bincount(row, loss[:, i], minlength=len(part)) / np.maximum(n, 1) for i in (0, 1)]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.array(ce[0], mask=none), pa.array(ce[1], mask=none), pa.array(ce[1] - ce[0], mask=none)], names=["doc_id", "n_tokens", "ce_background", "ce_target", "score"])
-                at += len(part)
-
-    return docs.mapInArrow(score, "doc_id long, n_tokens long, ce_background double, ce_target double, score double")
+            for i in range(len(batch)):
+                text, target = _of(batch, i)
+                _, keys, own = own_counts(text, target)
+                at = bounds(keys, buckets)
+                used = np.flatnonzero(np.diff(at))
+                cut = [slice(at[k], at[k + 1]) for k in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch.column(0)[i].as_py())), pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([packed(own[c].astype(np.uint32)) for c in cut], pa.binary())], names=["bucket", "part", "keys", "counts"])
+
+    return parts.select("part", "text", "target").mapInArrow(run, "bucket long, part long, keys binary, counts binary")
+
+
+def _of(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and target marks of a part."""
+    return strings(pa.array(batch["text"][i].as_py(), pa.string())), np.array(batch["target"][i].as_py(), bool)
+
+
+def totals(bucket: pa.Table) -> pa.Table:
+    """(bucket, part, totals): for each part's keys of a bucket, in order, their counts over all parts; and in a row without
+    part the vocabulary's words of this bucket and their occurrences."""
+    keys = [np.cumsum(unpacked(k.as_py(), np.uint64), dtype=np.uint64) for k in bucket["keys"]]
+    counts = [unpacked(c.as_py(), np.uint32).reshape(-1, 2) for c in bucket["counts"]]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.concatenate(counts)
+    total = np.stack([np.bincount(at, every[:, j], minlength=len(found)) for j in (0, 1)], 1).astype(np.int64)
+    word = (found & np.uint64(1)).astype(bool) & (found != MARK)
+    cut = np.cumsum([0, *map(len, keys)])
+    rows = [packed(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rows.append(np.array([word.sum(), *total[word].sum(0)], "<i8").tobytes())
+    number = bucket["bucket"][0].as_py()
+    return pa.table([pa.array([number] * len(rows), pa.int64()), pa.array([*bucket["part"].to_pylist(), None], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "part", "totals"])
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = 0.1, weight: float = 0.5, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ce_background, ce_target and score (target minus background, nats a word; lower is more like the
+    target) for every row of docs (doc_id, text). The background is all of docs, the target the rows whose doc_id is in
+    target_ids (doc_id); both models have every word and every pair of the corpus.
+
+    A word's probability is that of the word, counted with `alpha` more of each of the vocabulary's words, interpolated with
+    its share after the word before it, which has `weight`. Texts without words, null ones too, have 0 tokens and null
+    scores; repeated rows each count and get a row; a null doc_id is never a target; other columns are ignored; empty tables
+    give no rows; without targets the target model gives each word an equal share."""
+    parts = parts_of(docs, target_ids, part_bytes)
+    # A bucket's keys are those of BUCKET_PARTS parts at most, and a hot key has one row in each part.
+    buckets = max(1, -(-parts.count() // BUCKET_PARTS))
+    replies = materialise(counted(parts, buckets).groupBy("bucket").applyInArrow(totals, "bucket long, part long, totals binary"), "totals")
+    # Three numbers a bucket: the size of the vocabulary and of both collections.
+    sizes = np.array([np.frombuffer(r.totals, "<i8") for r in replies.filter("part IS NULL").select("totals").toLocalIterator()], np.int64).reshape(-1, 3).sum(0)
+    vocabulary, total = max(1, int(sizes[0])), sizes[1:].astype(np.float64)
+
+    def score(part: pa.Table, replied: pa.Table) -> pa.Table:
+        text, target = _of(part, 0)
+        (word, pair, row), keys, own = own_counts(text, target)
+        order = np.argsort(replied["bucket"].to_numpy())
+        if len(order):
+            own = np.concatenate([unpacked(replied["totals"][int(i)].as_py(), np.int64).reshape(-1, 2) for i in order])
+        n = np.bincount(row, minlength=len(text))
+        loss = np.zeros((len(word), 2))
+        if len(word):
+            of = lambda k: own[np.searchsorted(keys, k)].astype(np.float64)
+            single = of(word)
+            before = np.empty_like(single)
+            before[1:] = single[:-1]
+            before[np.flatnonzero(np.diff(row, prepend=-1))] = of(np.array([MARK]))
+            share = np.divide(of(pair), before, out=np.zeros_like(before), where=before > 0)
+            loss = -np.log((1 - weight) * (single + alpha) / (total + alpha * vocabulary) + weight * share)
+        none = n == 0
+        ce = [np.bincount(row, loss[:, i], minlength=len(text)) / np.maximum(n, 1) for i in (0, 1)]
+        return pa.table([pa.array(part["doc_id"][0].as_py(), pa.int64()), pa.array(n.astype(np.int64)), pa.array(ce[0], mask=none), pa.array(ce[1], mask=none), pa.array(ce[1] - ce[0], mask=none)], names=["doc_id", "n_tokens", "ce_background", "ce_target", "score"])
+
+    return parts.groupBy("part").cogroup(replies.filter("part IS NOT NULL").groupBy("part")).applyInArrow(score, "doc_id long, n_tokens long, ce_background double, ce_target double, score double")
