@@ -105,7 +105,7 @@ def record_id(url: str, page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
 
 
-def write_warc(record: Record, refers_to: int | None) -> bytes:
+def write_warc(record: Record, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """The WARC record of an ARC record; a revisit if refers_to is a page's id, and then without payload."""
     http, payload = http_payload(record.content)
     digest, page_id, url = base32_sha1(payload), page_of(http), record.header["url"]
@@ -121,7 +121,7 @@ def write_warc(record: Record, refers_to: int | None) -> bytes:
         "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
     }
     if refers_to is not None:
-        header |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": str(refers_to), "X-Payload-Length": str(len(payload))}
+        header |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(_word(refers_url), refers_to), "WARC-Refers-To-Target-URI": _word(refers_url), "X-Refers-To-Page": str(refers_to), "X-Payload-Length": str(len(payload))}
     header |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     return b"WARC/1.1" + BREAK + b"".join(f"{k}: {v}".encode() + BREAK for k, v in header.items()) + BREAK + block + BREAK * 2
 
@@ -144,32 +144,32 @@ def read_warc(data: bytes) -> Iterator[Record]:
 
 
 def legacy(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to, arc): ARC archives of batches of pages (page_id, url, html, refers_to), the last column carried
-    beside each archive's records in order."""
+    """(arc, refers_to, refers_url): ARC archives of batches of pages (page_id, url, html, refers_to, refers_url), the last two
+    columns carried beside each archive's records in order."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = 0
         for batch in batches:
-            ids, urls, html, refers = (batch.column(i).to_pylist() for i in range(4))
+            ids, urls, html, refers, whose = (batch.column(i).to_pylist() for i in range(5))
             for a in range(0, len(ids), BATCH):
                 cut = slice(a, a + BATCH)
                 arc = write_arc([(i, u, (h or "").encode()) for i, u, h in zip(ids[cut], urls[cut], html[cut], strict=True)], 1 + k % 2)
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([arc], pa.binary()), pa.array([refers[cut]], pa.list_(pa.int64()))], names=["arc", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array([arc], pa.binary()), pa.array([refers[cut]], pa.list_(pa.int64())), pa.array([whose[cut]], pa.list_(pa.string()))], names=["arc", "refers_to", "refers_url"])
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(pack, "arc binary, refers_to array<long>")
+    return pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(pack, "arc binary, refers_to array<long>, refers_url array<string>")
 
 
 def convert(archives: DataFrame) -> DataFrame:
-    """(warc): a WARC archive for each ARC archive (arc, refers_to), record by record."""
+    """(warc): a WARC archive for each ARC archive (arc, refers_to, refers_url), record by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for arc, refers in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                made = b"".join(write_warc(r, to) for r, to in zip(read_arc(arc.as_buffer().to_pybytes()), refers, strict=True))
+            for arc, refers, whose in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                made = b"".join(write_warc(r, to, url) for r, to, url in zip(read_arc(arc.as_buffer().to_pybytes()), refers, whose, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["warc"])
 
-    return archives.select("arc", "refers_to").mapInArrow(run, "warc binary")
+    return archives.select("arc", "refers_to", "refers_url").mapInArrow(run, "warc binary")
 
 
 def records(warcs: DataFrame) -> DataFrame:
@@ -197,15 +197,19 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) as WARC by way of ARC, to the shared folder, and return what is read back.
 
     Of records with equal payloads of at least `least_bytes` bytes, that with the least page_id is the response and the
-    others revisit it; smaller ones are all responses. A null html is an empty payload; a null url is written as -; a null
-    page_id never refers to another page nor is referred to; repeated page_ids with equal payloads are all responses if
-    theirs is the least; an empty table gives no records; other columns are ignored."""
+    others revisit it; smaller ones are all responses. A null html is an empty payload; a null url is written as -; a record
+    with a null page_id revisits one with the same payload that has an id, and is a response if there is none; records of one
+    page_id with equal payloads are all responses if theirs is the least, and those with equal urls share a record id; a page_id
+    may have several payloads, each of which is judged by itself; an html of any length is one record; an empty table gives
+    no records; other columns are ignored."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("bytes"))
     # Small rows only: copies are counted on both sides of the shuffle, and a hot payload is one row a task.
-    firsts = pages.filter((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last")
-    again = pages.select("page_id", "sha").join(firsts, "sha").filter("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct()
-    marked = pages.select("page_id", "url", "html").join(again, "page_id", "left")
+    first = F.min(F.struct("page_id", "url"))
+    firsts = pages.filter((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(first["page_id"].alias("refers_to"), first["url"].alias("refers_url"))
+    again = pages.select("page_id", "sha").distinct().join(firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = again.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to", "refers_url")
+    marked = pages.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to", "refers_url")
     return records(materialise(convert(legacy(marked)), "warc", "zstd"))
 
 

@@ -23,6 +23,8 @@ from .common import mix64, slices, strings
 WINDOW, NEIGHBOURS, WINS = 64, 64, 16
 #: Entropy levels told apart; windows below the least level are too plain to be features.
 LEVELS, LEAST_LEVEL = 1024, 100
+#: Bytes of text in a range of doc_ids.
+RANGE_BYTES = 32 << 20
 #: Bits of a filter, features it holds, bits set for each.
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 
@@ -83,7 +85,8 @@ def features(data: np.ndarray, level: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 def filters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The chained Bloom filters of the features that begin at the given places; a row of bits each."""
-    if len(data) < WINDOW:
+    if not len(at):
+        # A text that is too short for a window, or too plain for a feature, is one feature as a whole.
         hashes = np.array([int.from_bytes(hashlib.sha1(data.tobytes()).digest()[:8], "little")], np.uint64) if len(data) else np.empty(0, np.uint64)
     else:
         parts = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at].reshape(-1, WINDOW // 8, 8).copy().view(np.uint64)[:, :, 0]
@@ -161,8 +164,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """(bucket, doc_id, text, extra): docs in ranges of doc_id, each range with the first row of the next one as an extra
     row at its end; the last range gets the first row of all. Null ids come first. A text crosses the network once."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Ranges of RANGE_BYTES of text, whatever the table's size.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-size // RANGE_BYTES))
     # Range limits only: as many numbers as there are ranges.
     limits = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] or []
     limits = sorted(set(limits))
@@ -187,7 +192,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of docs (doc_id, text) and of its edited text: the last half of its code points replaced
     by as many of the next document's first ones (ascending doc_id, equal ids by text; the first follows the last).
 
-    A null text is empty, and has an empty fingerprint; a text of fewer than WINDOW bytes is one feature. Repeated rows
+    A null text is empty, and has an empty fingerprint; a text of fewer than WINDOW bytes, or without a window of some
+    entropy, is one feature, so only equal ones are alike. Repeated rows
     follow each other; other columns are ignored; an empty table gives none. A worker holds two texts at a time."""
     rank = rarity(docs)
 

@@ -6,7 +6,7 @@ permutations of its block indices, one permutation an epoch, and blocks are join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,8 +14,10 @@ from .common import WORD, materialise
 
 #: The weights of the sources, in code-point order of their names, repeating; null is the last source.
 WEIGHTS = (5, 2, 1)
-#: Parts into which each source is dealt for its running word count, so that no source is summed in one task.
-PARTS = 256
+#: Rows of a part for the running word counts: there are more parts, not larger ones, in a larger table.
+PART_ROWS = 50_000
+#: Shards whose counts are summed together before the sums of such groups.
+GROUP_SHARDS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -55,33 +57,57 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 24) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
 
 
+def draws(shards: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(sid, shard, count): each of the `drawn` slots of a shard draws a source by a hashed uniform number, with odds `want`;
+    so a shard's counts are multinomial.
+
+    The sources lie end to end on 0..n, cut into cells of equal length, and a draw meets the one or two that lie in its cell."""
+    run = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
+    # One row per source.
+    at = plan.withColumns({"hi": F.sum("want").over(run), "n": F.sum("want").over(W.partitionBy()), "cells": F.count(F.lit(1)).over(W.partitionBy()) * 4})
+    # Ends are on a grid of 2**40, on which the numbers are drawn; the last source ends at its end.
+    ticks = 1 << 40
+    end = lambda c: F.when(c >= F.col("n") * (1 - 1e-12), F.lit(ticks)).otherwise(F.floor(c / F.col("n") * ticks)).cast("long")
+    at = at.select("sid", "cells", F.coalesce(F.lag(end(F.col("hi"))).over(W.orderBy("sid")), F.lit(0)).alias("lo"), end(F.col("hi")).alias("hi")).filter("hi > lo")
+    cell = lambda x: F.floor(x / ticks * F.col("cells")).cast("long")
+    at = at.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    cells = plan.agg((F.count(F.lit(1)) * 4).alias("cells"))
+    each = shards.join(F.broadcast(cells)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("drawn"))))
+    each = each.withColumn("x", F.pmod(F.xxhash64(F.lit(seed), "shard", "i"), F.lit(ticks))).select("shard", "x", cell(F.col("x")).alias("cell"))
+    return each.join(at.drop("cells"), "cell").filter("x >= lo AND x < hi").groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("count"))
+
+
+def shards_of(spark: SparkSession, first: int, slots: int, shard_slots: int) -> DataFrame:
+    """(shard, drawn): shards from number `first` on, and how many slots each has."""
+    shards = spark.range(first, first - (-slots // shard_slots)).withColumnRenamed("id", "shard")
+    return shards.select("shard", F.least(F.lit(shard_slots), F.lit(slots) - (F.col("shard") - first) * shard_slots).cast("long").alias("drawn"))
+
+
 def slots(plan: DataFrame, cap: float, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """(sid, shard, slot, block): the block of its source that each slot takes.
 
-    A shard draws its `shard_slots` sources with one uniform number in each of as many equal slices of 0..1, which keeps
-    the multinomial's means with less spread. So the draws below a bound c are those of all whole slices under it and, by
-    a hash, perhaps the one it cuts; a source's count is the difference at the ends of its interval, with no row per draw."""
-    blocks = F.ceil(F.col("source_size") / block_words)
-    plan = plan.filter("source_size > 0").withColumn("blocks", blocks).withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
-    run = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    plan = plan.withColumns({"hi": F.sum("want").over(run), "n": F.sum("want").over(W.partitionBy())})
-    plan = plan.withColumn("lo", F.col("hi") - F.col("want")).withColumn("slots", F.ceil("n"))
-    shards = plan.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))))
-    drawn = F.least(F.lit(shard_slots).cast("long"), F.col("slots") - F.col("shard") * shard_slots)
-
-    def below(c: Column) -> Column:
-        x = F.least(c / F.col("n"), F.lit(1.0)) * drawn
-        whole = F.floor(x)
-        chance = F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), whole), F.lit(1 << 30)) / float(1 << 30)
-        return whole + F.when(chance < x - whole, 1).otherwise(0)
-
-    last = F.col("hi") >= F.col("n") * (1 - 1e-12)
-    counts = shards.withColumn("count", F.when(last, drawn).otherwise(below(F.col("hi"))) - below(F.col("lo"))).filter("count > 0")
-    first = F.coalesce(F.sum("count").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    Every shard draws multinomial counts of its `shard_slots` slots. A source is full at its target, never over `cap` times
+    its size: what is drawn of it beyond that is void, and a closing shard has the slots that the others then lack."""
+    spark = plan.sparkSession
+    plan = plan.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    plan = plan.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
+    quota = F.least(F.round("want"), F.floor(F.col("blocks") * F.lit(float(cap)))).cast("long")
+    plan = materialise(plan.select("sid", "blocks", "want", quota.alias("quota")), "mix-plan")
+    # One number: how many slots there are.
+    total = int(plan.agg(F.sum("quota")).first()[0] or 0)
+    counts = materialise(draws(shards_of(spark, 0, total, shard_slots), plan, seed), "draws")
+    lacking = plan.join(counts.groupBy("sid").agg(F.sum("count").alias("count")), "sid", "left").withColumn("lack", F.col("quota") - F.coalesce("count", F.lit(0))).filter("lack > 0")
+    counts = counts.unionByName(lacking.select("sid", F.lit(-(-total // shard_slots)).cast("long").alias("shard"), F.col("lack").alias("count")))
+    # Where a source's slots of a shard begin: within groups of shards, and after the groups before.
+    group = F.floor(F.col("shard") / GROUP_SHARDS)
+    counts = counts.withColumn("group", group)
+    before = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("sid", "group").agg(F.sum("count").alias("all")).withColumn("base", before("all", "sid", "group")).drop("all")
+    counts = counts.withColumn("first", before("count", "sid", "group", "shard")).join(groups, ["sid", "group"]).withColumn("first", F.col("first") + F.col("base"))
     # The counts are few rows that stand for many slots, so they are dealt out before they unfold.
-    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = counts.withColumn("first", first).repartition(parts, "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    each = each.filter(F.col("slot") < F.col("blocks") * F.lit(float(cap)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = counts.join(plan.select("sid", "blocks", "quota"), "sid").repartition(parts, "sid", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    each = each.filter("slot < quota")
     turn = F.floor(F.col("slot") / F.col("blocks"))
     block = permuted(F.col("slot") - turn * F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("sid"), turn))
     return each.select("sid", "shard", "slot", block.alias("block"))
@@ -90,9 +116,11 @@ def slots(plan: DataFrame, cap: float, block_words: int, shard_slots: int, seed:
 def pieces(rows: DataFrame, block_words: int) -> DataFrame:
     """(sid, block, row, doc_id, start, length, at): the words start.. of a row that lie in a block, at that place of it.
 
-    A source's rows are dealt by a hash of doc_id into PARTS parts and ordered by part and doc_id (repeated ids as read): running counts within a part, and the
-    sums of the parts before it, give every row's place in its source."""
-    rows = rows.filter("size > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    A source's rows are dealt by a hash of doc_id and row into parts and ordered by part and doc_id (repeated ids as read):
+    running counts within a part, and the sums of the parts before it, give every row's place in its source."""
+    rows = rows.filter("size > 0")
+    n = max(16, -(-rows.count() // PART_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n)))
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
     run = F.sum("size").over(W.partitionBy("sid", "part").orderBy("doc_id", "row"))
@@ -119,14 +147,16 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
     columns are ignored; an empty table gives no rows. No block is taken more than `cap` times."""
     rows, taken_slots, parts = plan_mix(docs, weights, cap, block_words, shard_slots, seed)
     times = taken_slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = parts.join(times, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = parts.join(times.hint("merge"), ["sid", "block"]).groupBy("row").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    return rows.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, block_words: int = 512, shard_slots: int = 1 << 14, seed: int = 17) -> DataFrame:
     """The mixed corpus, a row for each taken block, with the columns of documents: doc_id numbers the output, text is the
     block's words joined by blanks, lang is that of its first document, source the block's source. A null language stays
-    null. Blocks are whole; only a source's last one may be shorter."""
+    null. Blocks are whole; only a source's last one may be shorter. Null texts and texts without words give no block, null
+    sources are one source, repeated rows are packed each, a long text fills several blocks, other columns are dropped, and
+    an empty table gives no rows."""
     docs = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang", "source"), "rows")
     rows = materialise(docs.select("row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
     by = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")

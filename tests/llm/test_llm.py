@@ -180,7 +180,7 @@ def test_warc_round_trip(spark):
     rows = [(3, "http://a b/", "same"), (1, None, "same"), (2, "http://x/é", None), (5, "u", ""), (4, "u", "other\r\n\r\nWARC/1.1 é"), (None, "u", "same")]
     got = arc.convert_pages(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, refers_to int")).collect()
     by = {r.page_id: r for r in got}
-    assert len(got) == 6 and {d: (r.record_type, r.refers_to) for d, r in by.items()} == {3: ("revisit", 1), 1: ("response", None), 2: ("response", None), 5: ("revisit", 2), 4: ("response", None), None: ("response", None)}
+    assert len(got) == 6 and {d: (r.record_type, r.refers_to) for d, r in by.items()} == {3: ("revisit", 1), 1: ("response", None), 2: ("response", None), 5: ("revisit", 2), 4: ("response", None), None: ("revisit", 1)}
     for d, _, html in rows:
         raw = (html or "").encode()
         assert (by[d].payload_bytes, by[d].payload_digest) == (len(raw), arc.base32_sha1(raw))
@@ -318,3 +318,17 @@ def test_pipeline(spark):
         docs = materialise(stage(spark, docs, SF), name, keep=True)
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
     assert corpus_pipeline.run(spark, SF).filter("n_tokens > 0").count() > 0
+
+
+def test_warc_page_with_two_payloads(spark):
+    rows = [(1, "u1", "same"), (3, "u3", "same"), (3, "u3", "different"), (4, "u4", "different"), (None, "n", "same"), (None, "n", "own"), (5, "u5", "x" * 3_000_000)]
+    got = sorted([(str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in arc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()], key=str)
+    assert got == sorted([("1", 4, "response", None), ("3", 4, "revisit", 1), ("3", 9, "response", None), ("4", 9, "revisit", 3), ("None", 4, "revisit", 1), ("None", 3, "response", None), ("5", 3_000_000, "response", None)], key=str)
+    made = arc.write_warc(next(arc.read_arc(arc.write_arc([(3, "u3", b"same")], 1))), 1, "u1").decode()
+    assert f"WARC-Refers-To: {arc.record_id('u1', 1)}\r\n" in made
+
+
+def test_plain_texts_are_alike_only_if_equal(spark):
+    rows = [(1, "a" * 500), (2, "b" * 500), (3, None), (4, "b" * 500), (5, "b" * 500)]
+    got = {r.doc_id: r for r in digest.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d].near_next for d in (1, 2, 3, 4)] == [0, 0, 0, 1] and got[2].fingerprint == got[4].fingerprint != got[1].fingerprint
