@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there; a new folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
-    return df.checkpoint()
+    """df written as Parquet to the folder in spark.checkpoint.dir and read from there; a new folder only where that is unset.
+    Each reading has columns of its own, so a result may be joined with what it was derived from."""
+    spark, name = df.sparkSession, "spark.checkpoint.dir"
+    folder = spark.sparkContext.getConf().get(name) or spark.conf.get(name, None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set(name, folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

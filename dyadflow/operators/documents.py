@@ -35,7 +35,7 @@ def ngrams(words: Column, n: int) -> Column:
 def bigram_signature(words: Column, n: int = 2, k: int = 5) -> Column:
     """The k distinct lower-case n-grams with the least md5, joined by |; a short text has an empty one."""
     hashed = F.transform(F.array_distinct(ngrams(F.transform(words, F.lower), n)), lambda g: F.struct(F.md5(g.cast("binary")).alias("h"), g.alias("g")))
-    return F.array_join(F.slice(F.array_sort(hashed), 1, k)["g"], "|")
+    return F.array_join(F.slice(F.sort_array(hashed), 1, k)["g"], "|")
 
 
 def dedup(docs: DataFrame, partition_cols: list[str], order_col: str) -> DataFrame:

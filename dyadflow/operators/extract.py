@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from dyadflow.functions.lineage import cut
 
-#: Coarse classes of Penn Treebank tags; a tag that isn't here stays as it is.
-COARSE = {
-    "ADJ": "JJ JJR JJS", "ADP": "IN", "ADV": "RB RBR RBS WRB", "CONJ": "CC", "DET": "DT EX PDT WDT", "NOUN": "NN NNP NNPS NNS",
-    "NUM": "CD", "PRON": "PRP PRP$ WP WP$", "PRT": "POS RP TO", "VERB": "MD VB VBD VBG VBN VBP VBZ", "X": "FW LS SYM UH", ".": "# $ '' ( ) , . : `` -LRB- -RRB-",
+#: The coarse class of each Penn Treebank tag; a tag that isn't here stays as it is.
+TAGS = {
+    "!": ".", "#": ".", "$": ".", "''": ".", "(": ".", ")": ".", ",": ".", "-LRB-": ".", "-RRB-": ".", ".": ".", ":": ".", "?": ".", "``": ".",
+    "JJ": "ADJ", "JJR": "ADJ", "JJRJR": "ADJ", "JJS": "ADJ", "JJ|RB": "ADJ", "JJ|VBG": "ADJ",
+    "IN": "ADP", "IN|RP": "ADP",
+    "RB": "ADV", "RBR": "ADV", "RBS": "ADV", "RB|RP": "ADV", "RB|VBG": "ADV", "WRB": "ADV",
+    "CC": "CONJ",
+    "DT": "DET", "EX": "DET", "PDT": "DET", "WDT": "DET",
+    "NN": "NOUN", "NNP": "NOUN", "NNPS": "NOUN", "NNS": "NOUN", "NN|NNS": "NOUN", "NN|SYM": "NOUN", "NN|VBG": "NOUN", "NP": "NOUN",
+    "CD": "NUM",
+    "PRP": "PRON", "PRP$": "PRON", "PRP|VBP": "PRON", "WP": "PRON", "WP$": "PRON",
+    "POS": "PRT", "PRT": "PRT", "RP": "PRT", "TO": "PRT",
+    "MD": "VERB", "VB": "VERB", "VBD": "VERB", "VBD|VBN": "VERB", "VBG": "VERB", "VBG|NN": "VERB", "VBN": "VERB", "VBP": "VERB", "VBP|TO": "VERB", "VBZ": "VERB", "VP": "VERB",
+    "CD|RB": "X", "FW": "X", "LS": "X", "RN": "X", "SYM": "X", "UH": "X", "WH": "X",
 }
-TAGS = {t: c for c, ts in COARSE.items() for t in ts.split()}
 
 
 def coarse_pos(tag: Column) -> Column:
@@ -133,20 +142,30 @@ def steps(edges: DataFrame) -> DataFrame:
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4) -> DataFrame:
     """pairs (doc, src, dst) with `nodes`, `arcs` and `length` of the shortest simple path by allowed arcs, of up to max_len;
-    the least by arcs, then nodes, of equals. Pairs that are reached leave the search; pairs without a path are left out."""
-    first, later = steps(allowed_arcs(edges, True)), steps(allowed_arcs(edges, False))
-    walk = pairs.select("doc", "src", "dst").distinct().filter("src <> dst").select("*", F.array("src").alias("nodes"), F.array().cast("array<string>").alias("arcs"))
-    found = None
+    the least by arcs, then nodes, of equals. Pairs without a path are left out.
+
+    The search runs once from each source, whatever its number of targets. A node is kept at the level that first reaches it,
+    with the least path there: beginnings of a least path are least ones too."""
+    later = steps(allowed_arcs(edges, False))
+    hops = cut(later.withColumn("later", F.lit(True)).unionByName(steps(allowed_arcs(edges, True)).join(later, ["doc", "a", "b", "arc"], "left_anti").withColumn("later", F.lit(False))))
+    wanted = pairs.select("doc", "src", "dst").distinct().filter("src <> dst")
+    level = wanted.select("doc", "src").distinct().select("doc", "src", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("arcs"))
+    seen = level.select("doc", "src", "at")
+    reached = None
     for k in range(max_len):
-        hop = (first if k == 0 else later).withColumnRenamed("a", "at")
-        walk = walk.withColumn("at", F.element_at("nodes", -1)).join(hop, ["doc", "at"]).filter(~F.array_contains("nodes", F.col("b")))
-        walk = walk.select("doc", "src", "dst", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("arcs", F.array("arc")).alias("arcs"))
-        # Each walk is used twice; without a cut the plan would double with every hop.
-        walk = cut(walk)
-        here = walk.filter(F.element_at("nodes", -1) == F.col("dst")).groupBy("doc", "src", "dst").agg(F.min(F.struct("arcs", "nodes")).alias("p")).select("doc", "src", "dst", "p.nodes", "p.arcs", F.lit(k + 1).alias("length"))
-        found = here if found is None else found.unionByName(here)
-        walk = walk.join(here.select("doc", "src", "dst"), ["doc", "src", "dst"], "left_anti")
-    return found
+        hop = (hops if k == 0 else hops.filter("later")).select("doc", F.col("a").alias("at"), "b", "arc")
+        best = level.join(hop, ["doc", "at"]).filter(~F.array_contains("nodes", F.col("b"))).groupBy("doc", "src", F.col("b").alias("to"))
+        best = best.agg(F.min(F.struct(F.concat("arcs", F.array("arc")).alias("arcs"), F.concat("nodes", F.array("b")).alias("nodes"))).alias("p"))
+        # Each level is used twice; without a cut the plan would double with every hop.
+        level = cut(best.select("doc", "src", F.col("to").alias("at"), "p.nodes", "p.arcs").join(seen, ["doc", "src", "at"], "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level.select("doc", "src", "at"))
+        here = level.withColumnRenamed("at", "dst").withColumn("length", F.lit(k + 1))
+        reached = here if reached is None else reached.unionByName(here)
+    if reached is None:
+        return wanted.select("*", F.array("src").alias("nodes"), F.array().cast("array<string>").alias("arcs"), F.lit(0).alias("length")).limit(0)
+    return wanted.join(reached, ["doc", "src", "dst"]).select("doc", "src", "dst", "nodes", "arcs", "length")
 
 
 def all_pair_paths(pairs: DataFrame, edges: DataFrame, tokens: DataFrame, max_len: int = 8) -> DataFrame:
@@ -227,16 +246,21 @@ def path_verbs(paths: DataFrame, edges: DataFrame, tokens: DataFrame) -> DataFra
 
 def nearest_nominal(starts: DataFrame, edges: DataFrame, tokens: DataFrame, max_len: int = 20) -> DataFrame:
     """starts (doc, i) with `nominal`: the closest noun or pronoun by allowed arcs, the lowest of equals, -1 if there is none."""
-    first, later = steps(allowed_arcs(edges, True)).select("doc", "a", "b"), steps(allowed_arcs(edges, False)).select("doc", "a", "b")
+    first, later = (cut(steps(allowed_arcs(edges, k)).select("doc", "a", "b").distinct()) for k in (True, False))
     nouns = tokens.filter(is_nominal(F.col("pos"))).select("doc", F.col("i").alias("at")).withColumn("_n", F.lit(True))
-    seen = starts.select("doc", "i").distinct().withColumn("at", F.col("i"))
-    front, found = seen, None
+    front = starts.select("doc", "i").distinct().withColumn("at", F.col("i"))
+    seen, found = front, None
     for k in range(max_len):
-        hop = (first if k == 0 else later).withColumnRenamed("a", "at").distinct()
-        front = front.join(hop, ["doc", "at"]).select("doc", "i", F.col("b").alias("at")).distinct().join(seen, ["doc", "i", "at"], "left_anti")
-        front = cut(front)
-        here = front.join(nouns, ["doc", "at"]).groupBy("doc", "i").agg(F.min("at").alias("nominal"))
+        hop = (first if k == 0 else later).withColumnRenamed("a", "at")
+        reached = front.join(hop, ["doc", "at"]).select("doc", "i", F.col("b").alias("at")).distinct().join(seen, ["doc", "i", "at"], "left_anti")
+        reached = cut(reached.join(nouns, ["doc", "at"], "left"))
+        if reached.isEmpty():
+            break
+        here = reached.filter("_n").groupBy("doc", "i").agg(F.min("at").alias("nominal"))
         found = here if found is None else found.unionByName(here)
-        front = cut(front.join(here.select("doc", "i"), ["doc", "i"], "left_anti"))
+        # Starts that have found one leave the search.
+        front = reached.select("doc", "i", "at").join(here.select("doc", "i"), ["doc", "i"], "left_anti")
         seen = seen.unionByName(front)
+    if found is None:
+        return starts.withColumn("nominal", F.lit(-1))
     return starts.join(found, ["doc", "i"], "left").withColumn("nominal", F.coalesce("nominal", F.lit(-1)))

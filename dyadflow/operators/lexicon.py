@@ -34,13 +34,21 @@ def simple_patterns(entries: DataFrame) -> DataFrame:
     return entries.withColumn("code", first).filter((F.col("code") != "---") & ~F.col("pattern").rlike(r"TARGET|SOURCE|BOTHST|\{|\*"))
 
 
+#: Verb forms that no cut ending brings to their lemma.
+IRREGULAR = {"said": "say", "suspen": "suspend"}
+
+
 def pattern_keys(patterns: DataFrame) -> DataFrame:
-    """(key, pattern, code): each pattern as it is, without ing, without ed and without both; distinct."""
-    p = F.lower("pattern")
-    cut = lambda c, end: F.regexp_replace(c, rf"{end}\b", "")
-    irregular = lambda c: F.regexp_replace(F.regexp_replace(c, r"\bsaid\b", "say"), r"\bmet\b", "meet")
-    keys = F.array(p, cut(p, "ing"), cut(p, "ed"), cut(cut(p, "ing"), "ed"))
-    return patterns.select(F.explode(F.array_distinct(F.transform(keys, irregular))).alias("key"), "pattern", "code").distinct()
+    """(key, pattern, code): each pattern as it is, without ing, without ed and without both; distinct. Skipped entities and
+    _ are blanks, and irregular forms become their lemma first."""
+    plain = F.lower(F.replace(F.replace("pattern", F.lit("ENTITYSKIP"), F.lit(" ")), F.lit("_"), F.lit(" ")))
+    plain = F.concat(F.lit(" "), plain, F.lit(" "))
+    for form, lemma in IRREGULAR.items():
+        plain = F.replace(plain, F.lit(f" {form} "), F.lit(f" {lemma} "))
+    without = lambda c, end: F.replace(c, F.lit(f"{end} "), F.lit(" "))
+    keys = F.array(plain, without(plain, "ing"), without(plain, "ed"), without(without(plain, "ed"), "ing"))
+    tidy = F.transform(keys, lambda k: F.trim(F.regexp_replace(k, r"\s+", " ")))
+    return patterns.select(F.explode(F.array_distinct(tidy)).alias("key"), "pattern", "code").distinct()
 
 
 def resolve_codes(keys: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def structural_grep(facts: DataFrame, terms: list[tuple[str, str, str]]) -> Data
         if is_var(a) and a == b:
             one = one.filter("x = y")
         names = {arg: col for arg, col in ((b, "y"), (a, "x")) if is_var(arg)}
-        one = one.select("doc", *[F.col(c).alias(v) for v, c in names.items()]).distinct()
+        one = one.select("doc", *[F.col(c).alias(v) for v, c in names.items()])
         out = one if out is None else out.join(one, ["doc", *sorted(bound & set(names))])
         bound |= set(names)
     for pred, a, b in [t for t in terms if t[0] in ("eq", "neq")]:

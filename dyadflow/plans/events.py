@@ -56,7 +56,8 @@ def t9_filter_by_support(v):
 @query("SELECT src, rec, path, n FROM (SELECT src, rec, path, count(*) OVER (PARTITION BY src, rec) AS n FROM tuples WHERE src <> rec AND src < 'NATION_2' AND rec < 'NATION_2') WHERE n >= 15")
 def t10_filter_region(v):
     t = v("tuples")
-    kept = T.filter_region(t, t.filter("src < 'NATION_2'").select(F.col("src").alias("actor")), 15)
+    actors = t.select(F.explode(F.array("src", "rec")).alias("actor")).filter("actor < 'NATION_2'").distinct()
+    kept = T.filter_region(t, actors, 15)
     n = kept.groupBy("src", "rec").agg(F.count(F.lit(1)).alias("n"))
     return kept.join(n, ["src", "rec"]).select("src", "rec", "path", "n")
 

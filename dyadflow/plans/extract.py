@@ -1,4 +1,4 @@
-"""Queries over a synthetic parse of documents: a token's governor is half its number."""
+"""Queries over a synthetic parse of documents, every 30 words of a text a sentence: a token's governor is half its number."""
 
 from __future__ import annotations
 
@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 from dyadflow.operators import extract as E
 from dyadflow.operators import structure as G
 
-from .views import VIEWS, query
+from .views import SPARK_VIEWS, VIEWS, query
 
 RELS = ("nsubj", "dobj", "amod", "nn", "prep_of", "det", "conj_and", "agent")
 POS = ("NN", "VBD", "JJ", "PRP", "IN")
 PICK = lambda xs, by: "CASE " + " ".join(f"WHEN {by} % {len(xs)} = {k} THEN '{x}'" for k, x in enumerate(xs)) + " END"
-VIEWS["nums"] = "SELECT i FROM (VALUES " + ", ".join(f"({k})" for k in range(1, 31)) + ") AS t(i)"
-VIEWS["toks"] = f"SELECT doc_id AS doc, i, split_part(text, ' ', i) AS word, {PICK(POS, 'length(split_part(text, chr(32), i))')} AS pos FROM documents CROSS JOIN nums WHERE split_part(text, ' ', i) <> ''"
+VIEWS["words"] = "SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS p FROM documents"
+SPARK_VIEWS["words"] = "SELECT doc_id, word, p FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS p, word"
+VIEWS["toks"] = f"SELECT CAST(doc_id * 100000 + floor(p / 30) AS BIGINT) AS doc, CAST(p % 30 + 1 AS INT) AS i, word, {PICK(POS, 'length(word)')} AS pos FROM words WHERE word <> ''"
 VIEWS["deps"] = f"SELECT doc, i AS child, CAST(floor(i / 2) AS INT) AS gov, {PICK(RELS, '(length(word) + i)')} AS rel FROM toks WHERE i > 1"
 VIEWS["spans"] = "SELECT doc, i AS start_tok, CAST(i + 2 + i % 3 AS INT) AS end_tok FROM toks WHERE length(word) = 4 AND i < 25"
-VIEWS["names"] = "SELECT DISTINCT concat('C', CAST(length(w) % 5 AS STRING)) AS code, lower(w) AS phrase FROM (SELECT split_part(text, ' ', 3) AS w FROM benchmark UNION ALL SELECT concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) FROM documents)"
+VIEWS["names"] = "SELECT DISTINCT concat('C', CAST(length(w) % 5 AS STRING)) AS code, lower(w) AS phrase FROM (SELECT split_part(text, ' ', 3) AS w FROM benchmark UNION ALL SELECT concat(a.word, ' ', b.word) FROM toks a JOIN toks b ON a.doc = b.doc AND b.i = a.i + 1 WHERE length(a.word) = 5 AND length(b.word) = 7)"
 VIEWS["pairs"] = "SELECT a.doc, a.i AS src, b.i AS dst FROM toks a JOIN toks b ON a.doc = b.doc WHERE length(a.word) = 3 AND length(b.word) = 6 AND a.i <> b.i"
 SPANS = "SELECT doc, start_tok AS start, end_tok AS end FROM spans"
 
 
-@query("SELECT doc, i, CASE pos WHEN 'NN' THEN 'noun' WHEN 'VBD' THEN 'verb' WHEN 'JJ' THEN 'adj' WHEN 'PRP' THEN 'pron' WHEN 'IN' THEN 'adp' END AS coarse FROM toks")
+TAGGED = f"SELECT doc, i, {PICK([t.replace(chr(39), chr(39) * 2) for t in E.TAGS], '(length(word) * 7 + i)')} AS tag FROM toks"
+CLASSES = """CASE WHEN tag IN ('JJ', 'JJR', 'JJRJR', 'JJS', 'JJ|RB', 'JJ|VBG') THEN 'adj' WHEN tag IN ('IN', 'IN|RP') THEN 'adp'
+    WHEN tag IN ('RB', 'RBR', 'RBS', 'RB|RP', 'RB|VBG', 'WRB') THEN 'adv' WHEN tag = 'CC' THEN 'conj' WHEN tag IN ('DT', 'EX', 'PDT', 'WDT') THEN 'det'
+    WHEN tag IN ('NN', 'NNP', 'NNPS', 'NNS', 'NN|NNS', 'NN|SYM', 'NN|VBG', 'NP') THEN 'noun' WHEN tag = 'CD' THEN 'num'
+    WHEN tag IN ('PRP', 'PRP$', 'PRP|VBP', 'WP', 'WP$') THEN 'pron' WHEN tag IN ('POS', 'PRT', 'RP', 'TO') THEN 'prt'
+    WHEN tag IN ('MD', 'VB', 'VBD', 'VBD|VBN', 'VBG', 'VBG|NN', 'VBN', 'VBP', 'VBP|TO', 'VBZ', 'VP') THEN 'verb'
+    WHEN tag IN ('CD|RB', 'FW', 'LS', 'RN', 'SYM', 'UH', 'WH') THEN 'x' ELSE 'punct' END"""
+
+
+@query(f"SELECT doc, i, tag, {CLASSES} AS coarse FROM ({TAGGED})")
 def e8_coarse_pos(v):
-    return v("toks").select("doc", "i", E.clean_pos(F.col("pos")).alias("coarse"))
+    return v(TAGGED).select("doc", "i", "tag", E.clean_pos(F.col("tag")).alias("coarse"))
 
 
-@query("SELECT doc, i, pos IN ('NN', 'PRP') AS nominal, pos = 'VBD' AS verbal FROM toks")
+@query(f"SELECT doc, i, coarse IN ('noun', 'pron') AS nominal, coarse = 'verb' AS verbal FROM (SELECT doc, i, {CLASSES} AS coarse FROM ({TAGGED}))")
 def e9_is_nominal(v):
-    return v("toks").select("doc", "i", E.is_nominal(F.col("pos")).alias("nominal"), E.is_verbal(F.col("pos")).alias("verbal"))
+    return v(TAGGED).select("doc", "i", E.is_nominal(F.col("tag")).alias("nominal"), E.is_verbal(F.col("tag")).alias("verbal"))
 
 
 @query("SELECT doc, child, gov, rel FROM deps WHERE rel NOT IN ('parataxis', 'det', 'dep') AND rel NOT LIKE 'conj%'")
@@ -58,9 +68,9 @@ def e2_match_names_greedy(v):
     return E.match_names(E.name_candidates(v("toks"), v("names"), 2)).withColumnRenamed("end", "stop")
 
 
-@query("SELECT doc, id, min(i) AS start, max(i) + 1 AS stop FROM (SELECT t.doc, s.id, t.i FROM (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc ORDER BY i) - length(word) - 1 AS b FROM toks) t JOIN (SELECT doc_id AS doc, doc_id % 7 AS id FROM documents) s ON s.doc = t.doc WHERE 5 + id < b + length(word) AND 20 + id > b) GROUP BY doc, id")
+@query("SELECT doc, id, min(i) AS start, max(i) + 1 AS stop FROM (SELECT t.doc, s.id, t.i FROM (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc ORDER BY i) - length(word) - 1 AS b FROM toks) t JOIN (SELECT DISTINCT doc, doc % 7 AS id FROM toks) s ON s.doc = t.doc WHERE 5 + id < b + length(word) AND 20 + id > b) GROUP BY doc, id")
 def e3_char_to_token(v):
-    spans = v("SELECT doc_id AS doc, doc_id % 7 AS id FROM documents").withColumns({"c_start": 5 + F.col("id"), "c_end": 20 + F.col("id")})
+    spans = v("SELECT DISTINCT doc, doc % 7 AS id FROM toks").withColumns({"c_start": 5 + F.col("id"), "c_end": 20 + F.col("id")})
     return E.char_to_token(spans, v("toks")).withColumnRenamed("end", "stop")
 
 
@@ -91,11 +101,15 @@ def e7_mention_report(v):
 
 
 STEP = "SELECT doc, child AS a, gov AS b, concat(rel, '->') AS arc, rel FROM deps WHERE rel NOT IN ('parataxis', 'det', 'dep') UNION SELECT doc, gov, child, concat(rel, '<-'), rel FROM deps WHERE rel NOT IN ('parataxis', 'det', 'dep')"
-SHORTEST = f"""WITH RECURSIVE st AS ({STEP}), w AS (SELECT doc, src, dst, src AS cur, [src] AS nodes, CAST([] AS VARCHAR[]) AS arcs, 0 AS d FROM pairs UNION ALL
-    SELECT w.doc, src, dst, s.b, list_append(nodes, s.b), list_append(arcs, s.arc), d + 1 FROM w JOIN st s ON s.doc = w.doc AND s.a = w.cur WHERE d < 4 AND NOT list_contains(nodes, s.b) AND w.cur <> dst AND (d = 0 OR s.rel NOT LIKE 'conj%'))
+def shortest(n: int) -> str:
+    return f"""WITH RECURSIVE st AS ({STEP}), w AS (SELECT doc, src, dst, src AS cur, [src] AS nodes, CAST([] AS VARCHAR[]) AS arcs, 0 AS d FROM pairs UNION ALL
+    SELECT w.doc, src, dst, s.b, list_append(nodes, s.b), list_append(arcs, s.arc), d + 1 FROM w JOIN st s ON s.doc = w.doc AND s.a = w.cur WHERE d < {n} AND NOT list_contains(nodes, s.b) AND w.cur <> dst AND (d = 0 OR s.rel NOT LIKE 'conj%'))
     SELECT doc, src, dst, arg_min(array_to_string(arcs, ' '), struct_pack(d := d, a := arcs, n := nodes)) AS arcs, arg_min(array_to_string(nodes, ' '), struct_pack(d := d, a := arcs, n := nodes)) AS nodes, min(d) AS length FROM w WHERE cur = dst GROUP BY doc, src, dst"""
 
 
+SHORTEST = shortest(4)
+
+
 def paths(v, n=4):
     return E.shortest_paths(v("pairs"), v("deps"), n)
 
@@ -105,9 +119,9 @@ def e11_shortest_paths(v):
     return paths(v).select("doc", "src", "dst", F.array_join("arcs", " ").alias("arcs"), F.array_join("nodes", " ").alias("nodes"), "length")
 
 
-@query(f"SELECT p.doc, p.src, p.dst, s.length, coalesce(bool_or(t.pos = 'VBD'), FALSE) AS has_verb FROM (SELECT DISTINCT * FROM pairs) p LEFT JOIN ({SHORTEST}) s ON s.doc = p.doc AND s.src = p.src AND s.dst = p.dst LEFT JOIN toks t ON t.doc = p.doc AND list_contains(string_split(s.nodes, ' '), CAST(t.i AS STRING)) GROUP BY ALL")
+@query(f"SELECT p.doc, p.src, p.dst, s.length, coalesce(bool_or(t.pos = 'VBD'), FALSE) AS has_verb FROM (SELECT DISTINCT * FROM pairs) p LEFT JOIN ({shortest(8)}) s ON s.doc = p.doc AND s.src = p.src AND s.dst = p.dst LEFT JOIN toks t ON t.doc = p.doc AND list_contains(string_split(s.nodes, ' '), CAST(t.i AS STRING)) GROUP BY ALL")
 def e12_all_pair_paths(v):
-    return E.all_pair_paths(v("pairs"), v("deps"), v("toks"), 4)
+    return E.all_pair_paths(v("pairs"), v("deps"), v("toks"), 8)
 
 
 FIRST = "regexp_replace(split_part(arcs, ' ', {}), '(->|<-)$', '')"
@@ -160,9 +174,15 @@ def e20_path_verbs(v):
     return E.path_verbs(paths(v), v("deps"), v("toks"))
 
 
-@query()
+NEAREST = f"""WITH RECURSIVE st AS ({STEP}), w AS (SELECT doc, i, i AS cur, [i] AS nodes, 0 AS d, FALSE AS hit FROM toks WHERE length(word) = 5 UNION ALL
+    SELECT w.doc, w.i, s.b, list_append(nodes, s.b), d + 1, t.pos IN ('NN', 'PRP') FROM w JOIN st s ON s.doc = w.doc AND s.a = w.cur JOIN toks t ON t.doc = w.doc AND t.i = s.b
+    WHERE d < 20 AND NOT hit AND NOT list_contains(nodes, s.b) AND (d = 0 OR s.rel NOT LIKE 'conj%'))
+    SELECT t.doc, t.i, coalesce(n.nominal, -1) AS nominal FROM toks t LEFT JOIN (SELECT doc, i, arg_min(cur, struct_pack(d := d, c := cur)) AS nominal FROM w WHERE hit GROUP BY doc, i) n ON n.doc = t.doc AND n.i = t.i WHERE length(t.word) = 5"""
+
+
+@query(f"SELECT * FROM ({NEAREST})")
 def e21_nearest_nominal(v):
-    return E.nearest_nominal(v("SELECT doc, i FROM toks WHERE length(word) = 5"), v("deps"), v("toks"), 6)
+    return E.nearest_nominal(v("SELECT doc, i FROM toks WHERE length(word) = 5"), v("deps"), v("toks"))
 
 
 FACTS = "SELECT doc, rel AS pred, CAST(gov AS STRING) AS x, CAST(child AS STRING) AS y FROM deps UNION ALL SELECT doc, 'lemma', CAST(i AS STRING), lower(word) FROM toks UNION ALL SELECT doc, 'pos', CAST(i AS STRING), lower(pos) FROM toks UNION ALL SELECT doc, 'rpos', CAST(i AS STRING), pos FROM toks"

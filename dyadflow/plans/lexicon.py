@@ -30,16 +30,9 @@ def l2_simple_patterns(v):
     return L.simple_patterns(v(ENTRIES))
 
 
-def _cut(c, end):
-    return f"regexp_replace({c}, '{end}\\b', '', 'g')"
-
-
-def _irr(c):
-    return f"regexp_replace(regexp_replace({c}, '\\bsaid\\b', 'say', 'g'), '\\bmet\\b', 'meet', 'g')"
-
-
-P = "lower(pattern)"
-KEYS = f"SELECT DISTINCT key, pattern, code FROM (SELECT unnest([{', '.join(_irr(c) for c in (P, _cut(P, 'ing'), _cut(P, 'ed'), _cut(_cut(P, 'ing'), 'ed')))}]) AS key, pattern, code FROM ({SIMPLE}))"
+PLAIN = "replace(replace(concat(' ', lower(replace(replace(pattern, 'ENTITYSKIP', ' '), '_', ' ')), ' '), ' said ', ' say '), ' suspen ', ' suspend ')"
+VERSIONS = [PLAIN, f"replace({PLAIN}, 'ing ', ' ')", f"replace({PLAIN}, 'ed ', ' ')", f"replace(replace({PLAIN}, 'ed ', ' '), 'ing ', ' ')"]
+KEYS = f"SELECT DISTINCT trim(regexp_replace(key, '\\s+', ' ', 'g')) AS key, pattern, code FROM (SELECT unnest([{', '.join(VERSIONS)}]) AS key, pattern, code FROM ({SIMPLE}))"
 
 
 @query(KEYS)

@@ -37,6 +37,9 @@ VIEWS = {
         CASE WHEN l_suppkey % 13 = 0 THEN ':010' ELSE '' END) AS code, l_linestatus AS status FROM lineitem""",
 }
 
+#: Views that Spark spells in its own words.
+SPARK_VIEWS: dict[str, str] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -53,15 +56,15 @@ def _used(sql: str) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, spark: bool = False) -> str:
     """The statement with the views that it uses in front."""
-    parts = [f"{v} AS ({VIEWS[v]})" for v in _used(sql)]
+    parts = [f"{v} AS ({SPARK_VIEWS.get(v, VIEWS[v]) if spark else VIEWS[v]})" for v in _used(sql)]
     return f"WITH {', '.join(parts)} {sql}" if parts else sql
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A statement over views and tables as a DataFrame; tables are read where Spark finds them."""
-    sql = with_views(sql)
+    sql = with_views(sql, spark=True)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
     sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **tables) if tables else spark.sql(sql.replace("{{", "{").replace("}}", "}"))
