@@ -60,7 +60,9 @@ def fill_linear(series: DataFrame, keys: list[str], compat: bool = False) -> Dat
     between = F.col("_l.value") + (F.col("_r.value") - F.col("_l.value")) * (F.col("t") - F.col("_l.t")) / F.nullif(F.col("_r.t") - F.col("_l.t"), F.lit(0))
     end = F.col("_l.value")
     if compat:
-        out = out.withColumn("_p", F.last(F.when(F.col("value").isNotNull(), F.lag("value", 1).over(by)), ignorenulls=True).over(past))
+        names = ", ".join(f"`{k}`" for k in keys)
+        out = out.withColumn("_o", F.expr(f"lag(value) IGNORE NULLS OVER ({f'PARTITION BY {names}' if keys else ''} ORDER BY t)"))
+        out = out.withColumn("_p", F.last(F.when(F.col("value").isNotNull(), F.col("_o")), ignorenulls=True).over(past))
         end = F.coalesce("_p", "_l.value")
     filled = F.coalesce("value", F.when(F.col("_l").isNull(), F.col("_r.value")).when(F.col("_r").isNull(), end).otherwise(between))
-    return out.withColumn("filled", filled).drop("_l", "_r", "_p")
+    return out.withColumn("filled", filled).drop("_l", "_r", "_o", "_p")

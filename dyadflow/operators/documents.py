@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dyadflow.functions.lineage import cut
 from dyadflow.functions.stemming import stem
 
 
@@ -40,7 +41,8 @@ def bigram_signature(words: Column, n: int = 2, k: int = 5) -> Column:
 
 def dedup(docs: DataFrame, partition_cols: list[str], order_col: str) -> DataFrame:
     """The row with the least order_col of each (partition_cols, signature). An aggregate and a join, so that a signature
-    shared by many rows is counted in parts."""
+    shared by many rows is counted in parts; docs is written once, as its signatures are used on both sides."""
+    docs = cut(docs)
     keys = [*partition_cols, "signature"]
     first = docs.groupBy(*keys).agg(F.min(order_col).alias(order_col))
     return docs.join(first, [*keys, order_col], "left_semi")

@@ -127,11 +127,16 @@ def purity_stats(path_frame: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def purity_report(stats: DataFrame, share: float = 0.99) -> DataFrame:
-    """Per frame its mean score, types, tokens, and how many of its most frequent paths make up `share` of the tokens."""
+    """Per frame its mean score, types, tokens, and how many of its most frequent paths make up `share` of the tokens.
+
+    Paths of one frequency stand for each other, so the running sums are over a frame's distinct frequencies."""
+    same = stats.groupBy("frame", "n").agg(F.count(F.lit(1)).alias("types"), F.sum(F.col("n") * F.col("score")).alias("scored"))
     by = W.partitionBy("frame")
-    before = F.coalesce(F.sum("n").over(by.orderBy(F.desc("n"), "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = stats.withColumns({"before": before, "total": F.sum("n").over(by)})
-    return at.groupBy("frame").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean_score"), F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.count_if(F.col("before") < share * F.col("total")).alias("heavy"))
+    tokens = F.col("n") * F.col("types")
+    before = F.coalesce(F.sum(tokens).over(by.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = same.withColumns({"tokens": tokens, "room": share * F.sum(tokens).over(by) - before})
+    heavy = F.least(F.greatest(F.ceil(F.col("room") / F.col("n")), F.lit(0)), F.col("types"))
+    return at.groupBy("frame").agg((F.sum("scored") / F.sum("tokens")).alias("mean_score"), F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum(heavy).alias("heavy"))
 
 
 def impurity(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

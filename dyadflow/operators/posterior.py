@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadflow.functions.lineage import cut
+from dyadflow.functions.prefix import running_sum
+
 
 def mean_var(samples: DataFrame, lo: int, hi: int, keys: tuple[str, ...] = ("var", "i")) -> DataFrame:
     """Mean and population variance of each cell over iterations lo..hi."""
@@ -93,15 +96,16 @@ def rank_correlation(df: DataFrame, x: str, y: str, w: str, method: str = "kenda
 
     Equal (x, y) become one cell. Two cells are ordered by y at exactly one bit of y's rank, where they part; so agreeing
     pairs are running sums over x within the groups of each bit, and no pair of cells is listed."""
-    cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(F.col(w).cast("double")).alias("w"))
-    ranks = cells.select("y").distinct().withColumn("r", F.dense_rank().over(W.orderBy("y")) - 1)
-    bits = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")
+    cells = cut(df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(F.col(w).cast("double")).alias("w")))
+    levels = cut(cells.select("y").distinct().withColumn("one", F.lit(1)))
+    ranks = running_sum(levels, "y", ["one"]).select("y", F.col("one_before").cast("long").alias("r"))
+    # As many bits as the highest rank has.
+    bits = F.explode(F.sequence(F.lit(0), F.lit(max(1, levels.count().bit_length()) - 1))).alias("bit")
     at = cells.join(ranks, "y").select("x", "w", "r", bits).select("x", "w", "bit", F.expr("shiftright(r, bit + 1)").alias("group"), F.expr("shiftright(r, bit) & 1").alias("upper"))
-    # Groups without an upper member have no pairs; they are dropped by their sums being 0.
-    halves = at.groupBy("bit", "group", "x").agg(F.sum(F.when(F.col("upper") == 0, F.col("w")).otherwise(0.0)).alias("low"), F.sum(F.when(F.col("upper") == 1, F.col("w")).otherwise(0.0)).alias("up"))
-    group = W.partitionBy("bit", "group")
-    run = F.coalesce(F.sum("low").over(group.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = halves.withColumns({"less": run, "all": F.sum("low").over(group)})
+    halves = cut(at.groupBy("bit", "group", "x").agg(F.sum(F.when(F.col("upper") == 0, F.col("w")).otherwise(0.0)).alias("low"), F.sum(F.when(F.col("upper") == 1, F.col("w")).otherwise(0.0)).alias("up")))
+    # Groups without members on both sides have no pairs.
+    whole = halves.groupBy("bit", "group").agg(F.sum("low").alias("all"), F.sum("up").alias("above")).filter("all > 0 AND above > 0").drop("above")
+    pairs = running_sum(halves, "x", ["low"], ["bit", "group"]).join(whole, ["bit", "group"]).withColumnRenamed("low_before", "less")
     pairs = pairs.agg(F.coalesce(F.sum(F.col("up") * F.col("less")), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.col("up") * (F.col("all") - F.col("less") - F.col("low"))), F.lit(0.0)).alias("d"))
     same = cells.agg(F.sum(F.col("w") * F.col("w")).alias("same"))
     tie = lambda c, n: cells.groupBy(c).agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias(n))

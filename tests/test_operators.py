@@ -53,3 +53,23 @@ def test_tuple_of_an_active_sentence(spark):
     rows = E.extract_tuples(tokens, edges, names).collect()
     assert [(r.n, r.src_code, r.rec_code, r.path) for r in rows] == [(0, "AAA", "BBB", '[["A","semagent","->"],["W","attacked","verb"],["A","dobj","<-"]]')]
     assert tokens.sparkSession.createDataFrame(rows).select(E.nice_path(F.col("path"))).first()[0] == "attacked"
+
+
+def test_fill_linear_compat_takes_the_observed_value_before(spark):
+    from dyadflow.operators.calendar import fill_linear
+
+    rows = [(1, i, v) for i, v in enumerate([1.0, 5.0, None, 9.0, None])] + [(2, 0, None), (2, 1, 4.0), (2, 2, None)]
+    got = {(r.k, r.t): r.filled for r in fill_linear(spark.createDataFrame(rows, "k int, t int, value double"), ["k"], compat=True).collect()}
+    assert [got[1, i] for i in range(5)] == [1, 5, 7, 9, 5] and [got[2, i] for i in range(3)] == [4, 4, 4]
+
+
+def test_every_tag_and_key(spark):
+    from dyadflow.operators.extract import TAGS, is_nominal
+    from dyadflow.operators.lexicon import pattern_keys
+    from pyspark.sql import functions as F
+
+    assert len(TAGS) == 68
+    got = spark.createDataFrame([("NP",), ("VBG|NN",), ("WH",), ("zz",)], "t string").select("t", is_nominal(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == {"NP": True, "VBG|NN": False, "WH": False, "zz": False}
+    keys = pattern_keys(spark.createDataFrame([("said_suspen", "1"), ("meeting ENTITYSKIP ended", "2")], "pattern string, code string"))
+    assert {r.key for r in keys.collect()} == {"say suspend", "meeting ended", "meet ended", "meeting end", "meet end"}
