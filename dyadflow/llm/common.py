@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Intermediate tables written so far.
-WRITTEN: list[str] = []
+#: Where the intermediate tables of the running stage are listed; each thread has its own.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -47,8 +48,8 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = Fals
     the table isn't an intermediate one."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        WRITTEN.append(path)
+    if not keep and (listed := WRITTEN.get()) is not None:
+        listed.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

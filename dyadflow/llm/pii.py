@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import materialise, strings
 
 #: Kinds in their fixed order; label 0 is "none".
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +34,12 @@ NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
 EDGES = re.compile(r"^[^\w+]+|[^\w]+$")
 DIGITS = re.compile(r"[0-9]+")
 
+#: Where the potential of like tokens with equal labels starts, before any have been seen: the mean of its prior.
+AGREE = 5.0
+#: Features that a node keeps when it is shown without what the patterns look at.
+VAGUE = frozenset(("bias", "len", "prev", "next"))
+NODE_COLUMNS = ["key", "features", "label", "before", "after", "back", "ahead"]
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -89,7 +95,7 @@ class Node:
 
 
 def shape_of(token: str) -> str:
-    return re.sub(r"é+", "é", re.sub(r"a+", "a", re.sub(r"0+", "0", "".join("0" if "0" <= c <= "9" else "a" if c.isascii() and c.isalpha() else "é" if c.isalpha() else c for c in token[:64]))))
+    return re.sub(r"é+", "é", re.sub(r"a+", "a", re.sub(r"0+", "0", "".join("0" if "0" <= c <= "9" else "a" if c.isascii() and c.isalpha() else "é" if c.isalpha() else c for c in token))))
 
 
 def nodes_of(text: str, spans: list[Span]) -> list[Node]:
@@ -102,7 +108,10 @@ def nodes_of(text: str, spans: list[Span]) -> list[Node]:
         start = m.start() + m.group().index(core)
         while i < len(spans) and spans[i][2] <= start:
             i += 1
-        covered = next((k for s, k, e in spans[i : i + 4] if s < start + len(core) and e > start), None)
+        # Spans are in order of their starts, and of two that overlap either may be the longer.
+        covered, j = None, i
+        while covered is None and j < len(spans) and spans[j][0] < start + len(core):
+            covered, j = spans[j][1] if spans[j][2] > start else None, j + 1
         out.append(Node(start, start + len(core), core, 0 if covered is None else covered + 1, shape_of(core), text[before : m.start()].strip(" ") == "" and before >= 0))
         before = m.end()
     return out
@@ -113,7 +122,7 @@ def features(nodes: list[Node], i: int) -> list[str]:
     digits = "".join(DIGITS.findall(n.core))
     parts = n.core.split(".")
     prev, after = nodes[i - 1].shape if n.near else "-", nodes[i + 1].shape if i + 1 < len(nodes) and nodes[i + 1].near else "-"
-    out = ["bias", f"shape={n.shape[:24]}", f"digits={min(len(digits), 20)}", f"len={min(len(n.core), 40) // 2}", f"prev={prev[:12]}", f"next={after[:12]}"]
+    out = ["bias", f"shape={n.shape}", f"digits={min(len(digits), 20)}", f"len={min(len(n.core), 40) // 2}", f"prev={prev}", f"next={after}"]
     if 14 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     if len(parts) == 4 and all(p.isdigit() for p in parts):
@@ -224,51 +233,65 @@ class Field:
 
 
 def train(docs: DataFrame, sample: int = 20_000, steps: int = 300) -> Field:
-    """A field fitted to the labels that the patterns give, on at most `sample` nodes, those with the least hashes."""
+    """A field fitted to the labels that the patterns give, on about `sample` nodes, those with the least hashes.
+
+    All weights, those of the chain and the skip links too, maximise the pseudo-likelihood: the probability of each node's
+    label given its features and its neighbours' labels. Every other node is shown without what the patterns look at, as are
+    the tokens that the field is for, so links are learned where features say little."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in strings(batch.column(0)).filter(pc.match_substring_regex(strings(batch.column(0)), "[0-9@+]")).to_pylist():
                 nodes = nodes_of(text, base_spans(text))
-                twin = dict(twins(nodes))
+                ahead = dict(twins(nodes))
+                back = {j: i for i, j in ahead.items()}
+                label = lambda i: -1 if i is None else nodes[i].label
                 for i, n in enumerate(nodes):
                     key = int.from_bytes(hashlib.md5(f"{n.start} {n.core} {len(text)}".encode()).digest()[:6], "big")
-                    out.append((key, "\t".join(features(nodes, i)), n.label, nodes[i + 1].label if i + 1 < len(nodes) and nodes[i + 1].near else -1, nodes[twin[i]].label if i in twin else -1))
-            # Only a task's own least hashes can be among the least of all.
+                    out.append((key, "\t".join(features(nodes, i)), n.label, label(i - 1 if n.near and i else None), label(i + 1 if i + 1 < len(nodes) and nodes[i + 1].near else None), label(back.get(i)), label(ahead.get(i))))
+            # Only a batch's own least hashes can be among the least of all.
             out = sorted(out)[:sample]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["key", "features", "label", "after", "twin"])
-
-    got = docs.select("text").mapInArrow(rows, "key long, features string, label int, after int, twin int").orderBy("key", "features", "label", "after", "twin").limit(sample).collect()
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.string(), *[pa.int32()] * 5))], names=NODE_COLUMNS)
+
+    found = materialise(docs.select("text").mapInArrow(rows, "key long, features string, label int, before int, after int, back int, ahead int"), "nodes")
+    # The least hashes are those under a limit that counts in equal ranges of hashes give: so few rows more than `sample`
+    # come to the driver, from all tasks together.
+    cells = {r.cell: r.n for r in found.groupBy(F.shiftright("key", 36).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, limit = 0, 0
+    while total < sample and limit < 1 << 12:
+        total += cells.get(limit, 0)
+        limit += 1
+    got = sorted(found.filter(F.col("key") < (limit << 36)).collect())[:sample]
     k = len(KINDS) + 1
     often = Counter(f for r in got for f in r.features.split("\t"))
     # A feature that is seen once or twice would only learn its own example by heart.
     names = sorted(f for f, n in often.items() if n >= 5)
     number = {f: i for i, f in enumerate(names)}
-    where = [[number[f] for f in r.features.split("\t") if f in number] for r in got]
+    # The hash that chooses the sample is even or odd without regard to the text.
+    where = [[number[f] for f in r.features.split("\t") if f in number and (r.key % 2 or f.split("=")[0] in VAGUE)] for r in got]
     row, col = np.repeat(np.arange(len(got)), [len(w) for w in where]), np.array([i for w in where for i in w], int)
     gold = np.eye(k)[[r.label for r in got]] if got else np.zeros((0, k))
-    w, square = np.zeros((len(names), k)), np.full((len(names), k), 1e-8)
+    # A neighbour that isn't there is a row of zeros.
+    side = {c: np.vstack([np.eye(k), np.zeros(k)])[[r[c] for r in got]] if got else np.zeros((0, k)) for c in ("before", "after", "back", "ahead")}
+    prior = AGREE * np.eye(k)
+    w, chain, skip = np.zeros((len(names), k)), np.zeros((k, k)), prior.copy()
+    square = [np.full(x.shape, 1e-8) for x in (w, chain, skip)]
     for _ in range(steps if got else 0):
-        score = np.zeros((len(got), k))
+        score = side["before"] @ chain + side["after"] @ chain.T + (side["back"] + side["ahead"]) @ skip
         np.add.at(score, row, w[col])
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        slope = np.zeros_like(w)
-        np.add.at(slope, col, (gold - p)[row])
-        slope = slope / len(got) - 1e-5 * w
-        square += slope**2
-        w += 0.5 * slope / np.sqrt(square)
-    share = (gold.sum(0) + 1) / (len(got) + k)
-
-    def potential(second: str, agree: float) -> np.ndarray:
-        n = np.full((k, k), 0.5) + agree * np.eye(k)
-        for r in got:
-            if r[second] >= 0:
-                n[r.label, r[second]] += 1
-        return np.clip(np.log(n / n.sum(1, keepdims=True) / share), -4, 4)
-
-    return Field({f: w[i] for f, i in number.items()}, potential("after", 0.0), potential("twin", 10.0))
+        miss = (gold - p) / len(got)
+        slopes = [np.zeros_like(w), side["before"].T @ miss + miss.T @ side["after"], (side["back"] + side["ahead"]).T @ miss]
+        np.add.at(slopes[0], col, miss[row])
+        # Like tokens have no order, so their potential is symmetric.
+        slopes[2] = (slopes[2] + slopes[2].T) / 2
+        for x, mean, slope, total_square in zip((w, chain, skip), (0, 0, prior), slopes, square, strict=True):
+            slope -= (1e-5 if x is not skip else 1e-3) * (x - mean)
+            total_square += slope**2
+            x += 0.5 * slope / np.sqrt(total_square)
+    return Field({f: w[i] for f, i in number.items()}, chain, skip)
 
 
 FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("redacted", T.StringType())])
