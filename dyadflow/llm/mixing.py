@@ -15,7 +15,7 @@ from .common import WORD, materialise
 #: The weights of the sources, in code-point order of their names, repeating; null is the last source.
 WEIGHTS = (5, 2, 1)
 #: Rows of a part for the running word counts: there are more parts, not larger ones, in a larger table.
-PART_ROWS = 50_000
+PART_ROWS = 10_000
 #: Shards whose counts are summed together before the sums of such groups.
 GROUP_SHARDS = 1024
 
@@ -119,7 +119,7 @@ def pieces(rows: DataFrame, block_words: int) -> DataFrame:
     A source's rows are dealt by a hash of doc_id and row into parts and ordered by part and doc_id (repeated ids as read):
     running counts within a part, and the sums of the parts before it, give every row's place in its source."""
     rows = rows.filter("size > 0")
-    n = max(16, -(-rows.count() // PART_ROWS))
+    n = max(64, -(-rows.count() // PART_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n)))
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
