@@ -70,8 +70,9 @@ def postings(spark: SparkSession) -> DataFrame:
         for i, w in enumerate(words):
             if w not in STOP:
                 inside = at <= i < at + len(phrase)
-                rows.append((t, label, i, w, inside, " ".join(takewhile(STOP.__contains__, words[i + 1 : at + len(phrase)])) if inside else ""))
-    return spark.createDataFrame(rows, "template int, label string, tpos int, word string, mandatory boolean, then string")
+                then = " ".join(takewhile(STOP.__contains__, words[i + 1 : at + len(phrase)])) if inside else ""
+                rows.append(f"({t}, '{label}', {i}, '{w}', {str(inside).lower()}, '{then}')")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, label, tpos, word, mandatory, then)")
 
 
 def longest_run() -> int:
