@@ -34,17 +34,29 @@ def frame_counts(events: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("ctx", "path").alias("key"), "z", "n")
 
 
-def class_weights(events: DataFrame, counts: DataFrame, k: int, alpha: float, conc: float, paths: int) -> DataFrame:
+def class_weights(events: DataFrame, counts: DataFrame, k: int, alpha: float, conc: float, paths: int, thetas: DataFrame | None = None, frozen: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """events (id, ctx, path, z) with `weights`: prior(f) * (n(path, f) + conc / paths) / (n(f) + conc) for each class, the
-    event itself left out. The prior is n(ctx, f) + alpha / k."""
-    maps = lambda kind: counts.filter(F.col("kind") == kind).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias(f"_{kind}"))
-    totals = counts.filter("kind = 'all'").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias("_all"))
+    event itself left out. The prior is n(ctx, f) + alpha / k, or the class shares of thetas (ctx, theta). Path and class counts
+    come whole from `frozen`, if given; with compat its class totals still move."""
+    maps = lambda df, kind: df.filter(F.col("kind") == kind).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias(f"_{kind}"))
+    still = counts if frozen is None else frozen
+    totals = (counts if compat else still).filter("kind = 'all'").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias("_all"))
+    prior = maps(counts, "ctx").withColumnRenamed("key", "ctx") if thetas is None else thetas.select("ctx", "theta")
     # The class totals are one row of k entries.
-    at = events.join(maps("ctx").withColumnRenamed("key", "ctx"), "ctx").join(maps("path").withColumnRenamed("key", "path"), "path").join(F.broadcast(totals), F.lit(True))
-    own = lambda f: F.when(F.col("z") == f, 1).otherwise(0)
-    n = lambda m, f: F.coalesce(F.try_element_at(m, f), F.lit(0)) - own(f)
-    weight = lambda f: (n("_ctx", f) + alpha / k) * (n("_path", f) + conc / paths) / (n("_all", f) + conc)
-    return at.withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), weight)).drop("_ctx", "_path", "_all")
+    at = events.join(prior, "ctx").join(maps(still, "path").withColumnRenamed("key", "path"), "path", "inner" if frozen is None else "left").join(F.broadcast(totals), F.lit(True))
+    own = lambda f, moves: F.when(F.col("z") == f, 1).otherwise(0) if moves else F.lit(0)
+    n = lambda m, f, moves=True: F.coalesce(F.try_element_at(m, f), F.lit(0)) - own(f, moves)
+    share = lambda f: n("_ctx", f) + alpha / k if thetas is None else F.get("theta", f)
+    moves = frozen is None
+    weight = lambda f: share(f) * (n("_path", f, moves) + conc / paths) / (n("_all", f, moves or compat) + conc)
+    return at.withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), weight)).drop("_ctx", "_path", "_all", "theta")
+
+
+def dirichlet_prior(counts: DataFrame, k: int, alpha: float) -> DataFrame:
+    """(ctx, f, prior) = n(ctx, f) + alpha / k for every class of each context in counts (kind, key, z, n)."""
+    rows = counts.filter("kind = 'ctx'").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias("_n"))
+    each = rows.select(F.col("key").alias("ctx"), "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("f"))
+    return each.select("ctx", "f", (F.coalesce(F.try_element_at("_n", F.col("f")), F.lit(0)) + alpha / k).alias("prior"))
 
 
 def draw(weights: Column, u: Column) -> Column:
@@ -55,9 +67,9 @@ def draw(weights: Column, u: Column) -> Column:
     return F.least(F.aggregate(weights, start, step)["index"], F.size(weights) - 1)
 
 
-def resample_classes(events: DataFrame, k: int, alpha: float, conc: float, paths: int, seed: int, sweep: int) -> DataFrame:
+def resample_classes(events: DataFrame, k: int, alpha: float, conc: float, paths: int, seed: int, sweep: int, thetas: DataFrame | None = None, frozen: DataFrame | None = None) -> DataFrame:
     """One sweep: every event draws its class from its weights by the counts of the sweep before."""
-    weighted = class_weights(events, cut(frame_counts(events)), k, alpha, conc, paths)
+    weighted = class_weights(events, cut(frame_counts(events)), k, alpha, conc, paths, thetas, frozen)
     return weighted.withColumn("z", draw(F.col("weights"), uniform(seed, "id", F.lit(sweep)))).drop("weights")
 
 
@@ -106,22 +118,6 @@ def step_variance(states: DataFrame) -> DataFrame:
     return v.select(F.when(F.col("v") > 1e-50, F.col("v")).alias("step_var"))
 
 
-def kalman_filter(series: DataFrame, noise: float, step: float, prior: float = 100.0) -> DataFrame:
-    """(dyad, t, mean, var): a random walk filtered through series (dyad, t, value), null where unobserved; one group is one
-    series of periods."""
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(prior).alias("v"), F.array().cast("array<struct<t:int,mean:double,var:double>>").alias("out"), F.lit(True).alias("first"))
-
-    def move(acc: Column, x: Column) -> Column:
-        v = F.when(acc["first"], acc["v"]).otherwise(acc["v"] + step)
-        gain = F.when(x["value"].isNull(), F.lit(0.0)).otherwise(v / (v + noise))
-        m = acc["m"] + gain * (F.coalesce(x["value"], acc["m"]) - acc["m"])
-        row = F.struct(x["t"].cast("int").alias("t"), m.alias("mean"), (v * (1 - gain)).alias("var"))
-        return F.struct(m.alias("m"), (v * (1 - gain)).alias("v"), F.concat(acc["out"], F.array(row)).alias("out"), F.lit(False).alias("first"))
-
-    ordered = series.groupBy("dyad").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("xs"))
-    return ordered.select("dyad", F.explode(F.aggregate("xs", start, move)["out"]).alias("s")).select("dyad", "s.*")
-
-
 def fit(events: DataFrame, k: int, iterations: int, seed: int, alpha: float = 1.0, conc: float = 10.0, save_every: int = 5) -> DataFrame:
     """(iter, id, z) of the saved iterations: classes start by hash, and each sweep draws all of them from the counts of the
     sweep before (approximate distributed Gibbs sampling). Lineage is cut in the shared folder at each sweep."""

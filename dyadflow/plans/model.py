@@ -34,6 +34,11 @@ def m3_frame_counts(v):
     return M.frame_counts(events(v))
 
 
+@query(f"SELECT c.ctx, f.f, coalesce(n.n, 0) + 0.1 AS prior FROM (SELECT DISTINCT {CTX} AS ctx FROM tuples) c CROSS JOIN (SELECT CAST(range AS INT) AS f FROM range(10)) f LEFT JOIN (SELECT {CTX} AS ctx, z, count(*) AS n FROM tuples GROUP BY 1, 2) n ON n.ctx = c.ctx AND n.z = f.f")
+def m6_prior_dirichlet(v):
+    return M.dirichlet_prior(M.frame_counts(events(v)), 10, 1.0)
+
+
 @query(f"""SELECT ctx, path, z, f, round(max(w), 6) AS w FROM (SELECT e.ctx, e.path, e.z, f.f, (coalesce(c.n, 0) - (e.z = f.f)::INT + 0.1) * (coalesce(p.n, 0) - (e.z = f.f)::INT + 10.0 / 450) / (coalesce(a.n, 0) - (e.z = f.f)::INT + 10.0) AS w
     FROM (SELECT DISTINCT {CTX} AS ctx, path, z FROM tuples) e CROSS JOIN (SELECT CAST(range AS INT) AS f FROM range(10)) f
     LEFT JOIN (SELECT {CTX} AS ctx, z, count(*) AS n FROM tuples GROUP BY 1, 2) c ON c.ctx = e.ctx AND c.z = f.f LEFT JOIN (SELECT path, z, count(*) AS n FROM tuples GROUP BY 1, 2) p ON p.path = e.path AND p.z = f.f LEFT JOIN (SELECT z, count(*) AS n FROM tuples GROUP BY 1) a ON a.z = f.f) GROUP BY ALL""")
@@ -70,11 +75,6 @@ def m15_step_variance(v):
     return M.step_variance(v(STATES)).select(F.round("step_var", 4).alias("step_var"))
 
 
-@query()
-def m13_kalman_filter(v):
-    return M.kalman_filter(v("SELECT user_id AS dyad, CAST(event_id AS INT) AS t, CASE WHEN event_id % 3 > 0 THEN CAST(value AS DOUBLE) END AS value FROM events"), 4.0, 0.5)
-
-
 @query("SELECT round((SELECT sum(lgamma(n + 10.0 / 450) - lgamma(10.0 / 450)) FROM (SELECT count(*) AS n FROM tuples GROUP BY path, z)) + (SELECT sum(lgamma(10.0::DOUBLE) - lgamma(n + 10.0::DOUBLE)) FROM (SELECT count(*) AS n FROM tuples GROUP BY z)), 3) AS loglik")
 def m19_path_loglik(v):
     return M.path_loglik(M.frame_counts(events(v)), 10.0, 450).select(F.round("loglik", 3).alias("loglik"))
