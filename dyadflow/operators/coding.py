@@ -60,9 +60,17 @@ def mark_clauses(tokens: DataFrame) -> DataFrame:
 
 
 def resolve_pronouns(tokens: DataFrame) -> DataFrame:
-    """tokens with `actor`: their own code, or for he, she, it and they the first earlier actor's of the sentence."""
-    earlier = F.first(F.col("code"), ignorenulls=True).over(W.partitionBy("doc").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    return tokens.withColumn("actor", F.coalesce("code", F.when(F.lower("word").isin("he", "she", "it", "they"), earlier)))
+    """tokens with `actor`: their own code, or for he, she and it the sentence's first earlier actor outside a list of actors, for
+    they the first earlier list (its codes joined by /), else the first earlier actor. `compound` marks lists, where given."""
+    before = W.partitionBy("doc").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    listed = F.col("compound") if "compound" in tokens.columns else F.lit(None).cast("int")
+    word, single = F.lower("word"), F.first(F.when(listed.isNull(), F.col("code")), ignorenulls=True).over(before)
+    at = tokens.withColumns({"_l": listed, "_first": F.first("code", ignorenulls=True).over(before), "_single": single, "_list": F.first(listed, ignorenulls=True).over(before)})
+    members = F.collect_list(F.when(F.col("_l").isNotNull() & F.col("code").isNotNull(), F.struct("_l", "code"))).over(before)
+    codes = F.array_join(F.transform(F.filter(members, lambda m: m["_l"] == F.col("_list")), lambda m: m["code"]), "/")
+    they = F.when(F.col("_list").isNotNull(), codes).otherwise(F.col("_first"))
+    at = at.withColumn("actor", F.coalesce("code", F.when(word.isin("he", "she", "it"), F.col("_single")).when(word == "they", they)))
+    return at.drop("_l", "_first", "_single", "_list")
 
 
 def assign_roles(verbs: DataFrame, actors: DataFrame) -> DataFrame:
@@ -139,11 +147,14 @@ def category_counts(tokens: DataFrame, dictionary: DataFrame, categories: list[s
 
 
 def compare_events(coded: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per record (doc) whether coded has fewer or more events than gold, or mismatched ones; events (doc, n, source, target, code)."""
-    side = lambda df, s: df.select("doc", "n", F.concat_ws(" ", "source", "target", "code").alias(s))
+    """Per record (doc) whether coded has fewer or more events than gold, mismatched ones, or only other days; events
+    (doc, n, source, target, code) with, in both or neither, `day`."""
+    dated = "day" in coded.columns and "day" in gold.columns
+    day = F.col("day") if dated else F.lit(None).cast("date")
+    side = lambda df, s: df.select("doc", "n", F.concat_ws(" ", "source", "target", "code").alias(s), day.alias(f"{s}_day"))
     both = side(coded, "c").join(side(gold, "g"), ["doc", "n"], "full").groupBy("doc")
-    verdict = F.when(F.count("c") < F.count("g"), "fewer").when(F.count("c") > F.count("g"), "more").when(F.bool_and(F.col("c") == F.col("g")), "same").otherwise("mismatched")
-    return both.agg(verdict.alias("verdict"))
+    verdict = F.when(F.count("c") < F.count("g"), "fewer").when(F.count("c") > F.count("g"), "more").when(~F.bool_and(F.coalesce(F.col("c") == F.col("g"), F.lit(False))), "mismatched")
+    return both.agg(verdict.when(~F.bool_and(F.col("c_day").eqNullSafe(F.col("g_day"))), "date mismatched").otherwise("same").alias("verdict"))
 
 
 def dictionary_usage(matches: DataFrame, dictionary: DataFrame) -> DataFrame:

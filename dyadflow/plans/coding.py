@@ -126,6 +126,15 @@ ONE = "SELECT user_id AS doc, CAST(row_number() OVER (PARTITION BY user_id ORDER
 GOLD = f"SELECT doc, n, source, target, CASE WHEN doc % 3 = 2 AND n % 5 = 0 THEN 'Z' ELSE code END AS code, event_id FROM ({ONE}) WHERE doc % 3 <> 1 OR event_id % 7 <> 0"
 
 
+DAY = "CAST(event_id % 4 AS INT) AS day"
+
+
+@query(f"SELECT c.doc, CASE WHEN bool_and(c.code = g.code) THEN CASE WHEN bool_and(c.event_id % 4 = CASE WHEN g.doc % 5 = 1 THEN 0 ELSE g.event_id % 4 END) THEN 'same' ELSE 'date mismatched' END ELSE 'mismatched' END AS verdict FROM ({ONE}) c JOIN (SELECT doc, n, event_id, CASE WHEN doc % 3 = 2 AND n % 5 = 0 THEN 'Z' ELSE code END AS code FROM ({ONE})) g ON c.doc = g.doc AND c.n = g.n GROUP BY 1")
+def k31_compare_dates(v):
+    gold = f"SELECT doc, n, source, target, CASE WHEN doc % 3 = 2 AND n % 5 = 0 THEN 'Z' ELSE code END AS code, CAST(CASE WHEN doc % 5 = 1 THEN 0 ELSE event_id % 4 END AS INT) AS day FROM ({ONE})"
+    return K.compare_events(v(f"SELECT doc, n, source, target, code, {DAY} FROM ({ONE})"), v(gold))
+
+
 @query(f"SELECT coalesce(c.doc, g.doc) AS doc, CASE WHEN count(c.doc) < count(g.doc) THEN 'fewer' WHEN count(c.doc) > count(g.doc) THEN 'more' WHEN bool_and(coalesce(c.source = g.source AND c.code = g.code, FALSE)) THEN 'same' ELSE 'mismatched' END AS verdict FROM ({ONE}) c FULL JOIN ({GOLD}) g ON c.doc = g.doc AND c.n = g.n GROUP BY 1")
 def k31_compare_events(v):
     return K.compare_events(v(ONE), v(GOLD))

@@ -66,7 +66,7 @@ FILTERED = f"""WITH RECURSIVE grid AS MATERIALIZED ({GRID}), run AS (SELECT dyad
     UNION ALL SELECT g.dyad, g.t, (r.mean / (r.var + 0.3) + g.s) / (1 / (r.var + 0.3) + g.w), 1 / (1 / (r.var + 0.3) + g.w) FROM run r JOIN grid g ON g.dyad = r.dyad AND g.t = r.t + 1)"""
 
 
-@query(f"SELECT * FROM ({FILTERED} SELECT dyad, t, round(mean, 5) AS mean, round(var, 5) AS var FROM run)")
+@query(f"SELECT * FROM ({FILTERED} SELECT dyad, t, round(mean, 5) + 0.0 AS mean, round(var, 5) AS var FROM run)")
 def m13_kalman_filter(v):
     at = S.track_states(S.evidence(contexts(v), ALPHA, VAR), PERIODS, 0.3)
     return at.select("dyad", "t", F.round(F.get("mean", F.lit(0)), 5).alias("mean"), F.round(F.get("var", F.lit(0)), 5).alias("var"))
@@ -78,7 +78,7 @@ def m13_kalman_shared(v):
 
 
 @query(f"""SELECT * FROM ({FILTERED}, back AS (SELECT dyad, t, mean AS state FROM run WHERE t = {PERIODS - 1}
-    UNION ALL SELECT r.dyad, r.t, r.mean + r.var / (r.var + 0.3) * (b.state - r.mean) FROM back b JOIN run r ON r.dyad = b.dyad AND r.t = b.t - 1) SELECT dyad, t, round(state, 5) AS state FROM back)""")
+    UNION ALL SELECT r.dyad, r.t, r.mean + r.var / (r.var + 0.3) * (b.state - r.mean) FROM back b JOIN run r ON r.dyad = b.dyad AND r.t = b.t - 1) SELECT dyad, t, round(state, 5) + 0.0 AS state FROM back)""")
 def m14_backward_mean(v):
     at = S.track_states(S.evidence(contexts(v), ALPHA, VAR), PERIODS, 0.3)
     return at.select("dyad", "t", F.round(F.get("state", F.lit(0)), 5).alias("state"))
@@ -89,7 +89,7 @@ def m14_backward_sample(v):
     return S.track_states(S.evidence(contexts(v), ALPHA, VAR), PERIODS, 0.3, seed=4).select("dyad", "t", "state")
 
 
-@query(f"SELECT ctx, frame, round(mean, 5) AS mean FROM ({LONG})")
+@query(f"SELECT ctx, frame, round(mean, 5) + 0.0 AS mean FROM ({LONG})")
 def m16_eta_mean(v):
     c = contexts(v)
     at = S.with_means(c, c.select("dyad", "t", F.array("p").alias("state")), ALPHA, SCALE)

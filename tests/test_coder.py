@@ -59,3 +59,12 @@ def test_marks(spark):
     at = N.attach_agents(u, convert=True).collect()
     assert {r["doc"]: r["agent"] for r in at if r["text"] == "A"} == {"1": "GOV", "2": "ELI", "3": "GOV", "4": "ELI", "5": None}
     assert [r["doc"] for r in at if r["text"] == "minister" and r["wtype"] == "actor"] == ["5"]
+
+
+def test_pronouns(spark):
+    """They means an earlier list; he, she and it pass over lists."""
+    A = lambda c: (c, "actor", c)
+    u = units(spark, ("1", [A("A"), ("and", "conj", None), A("B"), ("x", "word", None), A("C"), ("they", "pron", None), ("he", "pron", None)]), ("2", [A("A"), ("they", "pron", None)]))
+    at = K.resolve_pronouns(N.mark_compounds(u).withColumnRenamed("text", "word"))
+    got = {(r["doc"], r["i"]): r["actor"] for r in at.collect()}
+    assert (got["1", 5], got["1", 6], got["2", 1]) == ("A/B", "C", "A")
