@@ -75,3 +75,11 @@ def s17_write_news_text(v):
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) END AS STRING) AS day FROM orders")
 def k33_parse_news_date(v):
     return v(NEWS).select("o_orderkey", S.news_date(F.col("value")).cast("string").alias("day"))
+
+
+CELLS = "SELECT iter, var, CAST(i % 3 AS INT) AS i, i AS j, count(*) AS value FROM draws GROUP BY iter, var, i"
+
+
+@query(f"SELECT iter, var, i, string_agg(CAST(value AS VARCHAR), ' ' ORDER BY j) AS line FROM ({CELLS}) GROUP BY iter, var, i")
+def s16_matrix_lines(v):
+    return S.matrix_lines(v(CELLS))

@@ -110,9 +110,15 @@ def conflict_episodes(rows: DataFrame, iso: DataFrame) -> DataFrame:
     return out.select("a", "b", day("StYear", "StMon", "StDay", 1).alias("start_day"), day("EndYear", "EndMon", "EndDay", 28).alias("end_day"), F.col("HostlevA").alias("host_a"), F.col("HostlevB").alias("host_b"))
 
 
-def read_samples(spark: SparkSession, path: str, variables: list[str], lo: int, hi: int, step: int = 1) -> DataFrame:
-    """Draws of a table partitioned by iter and var; other partitions aren't read."""
-    return spark.read.parquet(path).filter(F.col("var").isin(variables) & F.col("iter").between(lo, hi) & ((F.col("iter") - lo) % step == 0))
+def read_samples(spark: SparkSession, path: str, variables: list[str], lo: int | None = None, hi: int | None = None, step: int = 1) -> DataFrame:
+    """Draws of a table partitioned by iter and var, from iteration lo to hi; without lo only the last one up to hi (null: of all).
+    Other partitions aren't read."""
+    rows = spark.read.parquet(path).filter(F.col("var").isin(variables))
+    rows = rows if hi is None else rows.filter(F.col("iter") <= hi)
+    if lo is None:
+        # One number, from the names of the partitions.
+        return rows.filter(F.col("iter") == rows.agg(F.max("iter")).first()[0])
+    return rows.filter((F.col("iter") >= lo) & ((F.col("iter") - lo) % step == 0))
 
 
 def import_matrix_files(spark: SparkSession, path: str) -> DataFrame:
@@ -163,6 +169,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: tuple
     out.option("sep", "\t").option("quote", "").csv(path) if fmt == "tsv" else getattr(out, fmt)(path)
 
 
+def matrix_lines(cells: DataFrame) -> DataFrame:
+    """(iter, var, i, line) of cells (iter, var, i, j, value): a text line for each matrix row, its values in order of j."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("value").cast("string").alias("v")))), lambda x: x["v"])
+    return cells.groupBy("iter", "var", "i").agg(F.array_join(values, " ").alias("line"))
+
+
+def write_matrices(cells: DataFrame, path: str) -> None:
+    """Matrix rows as text in folders by iteration and variable, in order of i."""
+    rows = matrix_lines(cells).repartitionByRange("iter", "var", "i").sortWithinPartitions("iter", "var", "i")
+    rows.select("iter", "var", F.col("line").alias("value")).write.partitionBy("iter", "var").text(path)
+
+
+def write_vocabulary(names: DataFrame, path: str) -> None:
+    """One name a line of names (id, name), in order of id."""
+    names.repartitionByRange("id").sortWithinPartitions("id").select("name").write.text(path)
+
+
 def news_text(sents: DataFrame) -> DataFrame:
     """(value): a record for each sentence of sents (docid, day, sents), its id docid:S<n>, its date YYMMDD."""
     each = sents.select("docid", "day", F.posexplode("sents").alias("n", "text"))
