@@ -231,13 +231,17 @@ def code_events(records: DataFrame, dictionary: DataFrame, patterns: DataFrame,
     (doc, day, text), in the coder's order: time, attribution, discards, complexity, verbs, precedence, compounds, repeats. Units, verbs and raw events, which several steps read, are cut in the
     shared folder."""
     days = records.select(F.col("doc").alias("id"), "day", "text")
-    days = (days if shifts is None else K.shift_dates(days, shifts)).select(F.col("id").alias("doc"), "day")
+    days = days.withColumn("mark", F.lit(None).cast("string")) if shifts is None else K.shift_dates(days, shifts)
+    days = days.select(F.col("id").alias("doc"), "day", "mark")
     tokens = records.select("doc", F.posexplode(F.split(K.clean_text(F.col("text")), " ")).alias("i", "word")).filter("word <> ''")
     units = attach_agents(mark_compounds(mark_nouns(type_tokens(tokens, dictionary, longest))))
     # A conjunction inside a list of actors begins no clause.
     listed = (F.col("wtype") == "conj") & F.col("compound").isNotNull()
     units = cut(K.mark_clauses(units.withColumn("wtype", F.when(listed, "list").otherwise(F.col("wtype")))))
-    out, hard = discard_filter(units), complexity_filter(units, limits)
+    marked = lambda code: days.filter(F.col("mark") == code).select("doc")
+    out = discard_filter(units).union(marked("###")).distinct()
+    timed = marked("+++").withColumn("reason", F.lit("complex code in time phrase"))
+    hard = complexity_filter(units, limits).union(timed).groupBy("doc").agg(F.min("reason").alias("reason"))
     kept = units.join(out, "doc", "left_anti").join(hard, "doc", "left_anti")
     full = F.when(F.col("wtype") == "actor", K.composite_code(F.col("code"), F.col("agent")))
     # A compound's members are one actor, at its first unit.
@@ -251,5 +255,5 @@ def code_events(records: DataFrame, dictionary: DataFrame, patterns: DataFrame,
     raw = cut(at.select("doc", "sent", F.col("i").alias("n"), "source", "target", "code", "pattern"))
     paired = K.expand_compounds(K.split_paired(K.resolve_precedence(raw, dominant or [], subordinate or []).filter("source IS NOT NULL AND target IS NOT NULL")))
     valid = K.drop_self_and_dups(paired).join(raw.select("doc", "n", "pattern"), ["doc", "n"])
-    events = valid.join(days, "doc").join(attribution(units), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", "attrib")
+    events = valid.join(days.drop("mark"), "doc").join(attribution(units), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", "attrib")
     return {"events": events, "problems": problem_table(records.select("doc", "text"), out, hard, raw, valid)}

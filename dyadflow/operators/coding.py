@@ -128,10 +128,15 @@ def first_events(events: DataFrame, scope: str) -> DataFrame:
 
 
 def shift_dates(events: DataFrame, shifts: DataFrame) -> DataFrame:
-    """events (id, day, text) moved by the days of the first phrase of shifts (phrase, days) that their text holds."""
-    table = F.broadcast(shifts.agg(F.collect_list(F.struct("phrase", "days")).alias("_all")))  # a hand-written table
-    at = events.join(table, F.lit(True)).withColumn("_hit", F.array_sort(F.filter(F.transform("_all", lambda s: F.struct(F.instr(F.col("text"), s["phrase"]).alias("at"), s["days"].alias("days"))), lambda s: s["at"] > 0)))
-    return at.withColumn("day", F.date_add("day", F.coalesce(F.get("_hit", F.lit(0))["days"], F.lit(0)))).drop("_all", "_hit")
+    """events (id, day, text) moved by the days of the first phrase of shifts (phrase, days) that their text holds, the longest of
+    those at one place. shifts may have `code`: a null code (---) is passed over; a discard (###) or complex (+++) code moves
+    nothing and stands in `mark`."""
+    code = F.col("code") if "code" in shifts.columns else F.lit(None).cast("string")
+    table = shifts.select("phrase", "days", code.alias("code")).filter("code IS NULL OR code <> '---'").agg(F.collect_list(F.struct("phrase", "days", "code")).alias("_all"))
+    place = lambda s: F.struct(F.instr(F.col("text"), s["phrase"]).alias("at"), (-F.length(s["phrase"])).alias("size"), s["days"].alias("days"), s["code"].alias("code"))
+    at = events.join(table, F.lit(True)).withColumn("_hit", F.get(F.array_sort(F.filter(F.transform("_all", place), lambda s: s["at"] > 0)), F.lit(0)))
+    moved = F.when(F.col("_hit.code").isNull(), F.col("_hit.days"))
+    return at.withColumns({"day": F.date_add("day", F.coalesce(moved, F.lit(0))), "mark": F.col("_hit.code")}).drop("_all", "_hit")
 
 
 def composite_code(actor: Column, agent: Column) -> Column:

@@ -68,3 +68,12 @@ def test_pronouns(spark):
     at = K.resolve_pronouns(N.mark_compounds(u).withColumnRenamed("text", "word"))
     got = {(r["doc"], r["i"]): r["actor"] for r in at.collect()}
     assert (got["1", 5], got["1", 6], got["2", 1]) == ("A/B", "C", "A")
+
+
+def test_time_phrases(spark):
+    """The first phrase moves the day; null codes are passed over, discards and complex codes are marked."""
+    texts = {1: "said yesterday after a week ago", 2: "said now , a week ago", 3: "said in 1990 yesterday", 4: "said"}
+    events = spark.createDataFrame(list(texts.items()), "id int, text string").withColumn("day", F.lit("2001-02-10").cast("date"))
+    shifts = spark.createDataFrame([("yesterday", -1, None), ("a week ago", -7, None), ("week ago", -9, None), ("now", 0, "---"), ("in 1990", 0, "###")], "phrase string, days int, code string")
+    got = {r["id"]: (r["day"].day, r["mark"]) for r in K.shift_dates(events, shifts).collect()}
+    assert got == {1: (9, None), 2: (3, None), 3: (10, "###"), 4: (10, None)}
