@@ -10,12 +10,15 @@ from .arc import convert_pages
 from .bpe import digest_documents
 from .common import read
 from .digest import fingerprints
+from .importance import resample
+from .lines import dedup_lines, digest_lines
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_counts
 from .pii import find_pii
 from .quality import quality_rules
 from .rans import decode_corpus, encode_corpus
+from .repair import repair_damaged
 from .xent import score_documents
 
 #: Folder of the public tokenizer files; None asks the package that brings them.
@@ -71,7 +74,19 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op4_cross_entropy_difference, op5_arc_to_warc, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_lines(dedup_lines(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_rans_token_files, op4_cross_entropy_difference, op5_arc_to_warc, op6_skip_chain_pii, op7_license_scan, op8_source_mix, op9_bpe_rank_array, op10_improbable_features, op11_importance_resampling, op12_conversation_repair, op13_line_dedup)}
 
 SQL: dict[str, str] = {
     "op5_arc_to_warc": """
