@@ -17,14 +17,15 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+def keys_of(lines: Column, min_chars: int) -> Column:
+    """The lines' keys, null for those that are too short. Each key is made once, and none of a line that is short as it stands."""
+    keys = F.transform(lines, lambda x: F.when(F.length(x) >= min_chars, F.translate(F.btrim(x, F.lit(SPACE)), UPPER, LOWER)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, k))
 
 
-def hash_of(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key, null if that is short."""
-    key = key_of(line)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")))
+def hash_of(key: Column) -> Column:
+    """128 bits of a key."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
 
 
 class Runs:
@@ -84,7 +85,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     # Null ids are smaller than all others, so they get the least number; rows that have it by themselves are told apart from them.
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), own.alias("_id"), F.col("doc_id").isNotNull().alias("_has"))
-    lines = rows.select("_has", "_id", F.explode(F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), lambda x: hash_of(x, min_chars)), lambda h: h.isNotNull()))).alias("h")).select("_has", "_id", "h.h1", "h.h2")
+    lines = rows.select("_has", "_id", F.explode(F.array_distinct(F.filter(keys_of(F.split("text", "\n", -1), min_chars), lambda k: k.isNotNull()))).alias("k")).select("_has", "_id", hash_of(F.col("k")).alias("h")).select("_has", "_id", "h.h1", "h.h2")
+    # Hashes are small beside texts, which are thus cut and keyed once for counts and places.
+    lines = materialise(lines, "line-hashes")
     shared = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
     # Only lines that enough documents share go on, so this table is the runs' whole input.
     held = materialise(lines.join(materialise(shared, "shared-lines"), ["h1", "h2"], "left_semi").withColumn("who", F.struct("_has", "_id")).select("h1", "h2", "who"), "shared-places")
@@ -100,7 +103,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     joined = rows.join(lost, (F.col("_id") == F.col("_lost_id")) & (F.col("_has") == F.col("_lost_has")), "left")
     # Most texts lose nothing, and are neither hashed again nor cut.
     touched, lines_of = F.col("lost").isNotNull(), F.split("text", "\n", -1)
-    names = F.transform(lines_of, lambda x: F.concat_ws(":", hash_of(x, min_chars)["h1"], hash_of(x, min_chars)["h2"]))
+    names = F.transform(keys_of(lines_of, min_chars), lambda k: F.when(k.isNotNull(), F.concat_ws(":", hash_of(k)["h1"], hash_of(k)["h2"])))
     cut = F.pandas_udf(without, "text string, n_dropped long")
     left = joined.select("doc_id", "text", F.size(lines_of).cast("long").alias("n_lines"), cut(F.when(touched, F.col("text")), F.when(touched, names), "lost").alias("left"))
     return left.select("doc_id", "n_lines", F.coalesce("left.n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("left.text", "text").alias("text"))
