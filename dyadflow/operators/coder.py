@@ -6,6 +6,8 @@ number, attrib, issue and word. All steps group by doc, so units partitioned by
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dyadflow.functions.lineage import cut
 from dyadflow.operators import coding as K
-from dyadflow.operators.extract import match_names, name_candidates
+from dyadflow.operators import patterns as P
 
 #: Regular endings of a phrase's last word.
 ENDINGS = {"verb": ("", "s", "es", "ed", "ing", "d"), "actor": ("", "s", "'s", "es"), "agent": ("", "s", "'s", "es"), "noun": ("", "s", "'s", "es")}
@@ -32,28 +34,19 @@ def back() -> WindowSpec:
     return order().rowsBetween(W.unboundedPreceding, -1)
 
 
-def surface_forms(dictionary: DataFrame) -> DataFrame:
-    """dictionary (phrase, wtype, code, ord) with each phrase in all its regular endings, in small letters; of equal forms the
-    first entry's."""
-    table = F.create_map(*[x for t, ends in ENDINGS.items() for x in (F.lit(t), F.array(*[F.lit(e) for e in ends]))])
-    ends = F.coalesce(F.try_element_at(table, F.col("wtype")), F.array(F.lit("")))
-    forms = dictionary.select(F.explode(ends).alias("_end"), "*").withColumn("form", F.lower(F.concat("phrase", "_end")))
-    return forms.groupBy("form").agg(F.min_by(F.struct("wtype", "code", "ord"), F.struct(F.length("_end"), "ord")).alias("e")).select("form", "e.*")
-
-
 def type_tokens(tokens: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
-    """units of tokens: from left to right the longest phrase of dictionary (phrase, wtype, code, ord) that stands there; commas
-    and numbers have types of their own, the rest are single words. No phrase holds a comma."""
-    forms = surface_forms(dictionary).filter("instr(form, ',') = 0")
-    found = match_names(name_candidates(tokens, forms.select(F.col("form").alias("phrase"), F.struct("wtype", "code").alias("code")), longest))
-    found = found.select("doc", F.col("start").alias("i"), F.col("start").alias("_start"), F.col("end").alias("_end"), "code.*")
-    at = tokens.join(found, ["doc", "i"], "left")
-    covered = F.coalesce(F.max("_end").over(back()) > F.col("i"), F.lit(False))
-    head = F.when(covered, F.max("_start").over(back())).otherwise(F.col("i"))
-    units = at.withColumn("_head", head).groupBy("doc", "_head").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"), (F.max("i") + 1).alias("stop"), F.min_by("wtype", "i").alias("wtype"), F.min_by("code", "i").alias("code"))
+    """units of tokens, with `places` (where their words stand): from left to right, at each word that no earlier phrase holds,
+    the phrase of dictionary (phrase, wtype, code, ord) with most letters there, the first of equal ones. In a phrase _ joins neighbours
+    and a blank lets words stand between, which are units of their own; longest is the most words without a gap. Commas and numbers have types of their own, the
+    rest are single words. No phrase goes beyond a comma."""
+    found = P.choose_phrases(P.phrase_places(tokens, P.surface_forms(dictionary, ENDINGS), longest))
+    member = found.select("doc", F.explode("places").alias("i"), F.col("start").alias("_head")).groupBy("doc", "i").agg(F.min("_head").alias("_head"))
+    at = tokens.join(member, ["doc", "i"], "left").withColumn("_head", F.coalesce("_head", "i"))
+    words = F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "word")))
+    units = at.groupBy("doc", F.col("_head").alias("i")).agg(words.alias("_w")).join(found.select("doc", F.col("start").alias("i"), "wtype", "code"), ["doc", "i"], "left")
+    units = units.withColumn("text", F.array_join(F.transform("_w", lambda x: x["word"]), " ")).withColumn("places", F.transform("_w", lambda x: x["i"]))
     plain = F.when(F.col("text") == ",", "comma").when(F.col("text").rlike("^[0-9][0-9.]*$"), "number").otherwise("word")
-    return units.select("doc", F.col("_head").alias("i"), "stop", "text", F.coalesce("wtype", plain).alias("wtype"), "code")
+    return units.select("doc", "i", (F.array_max("places") + 1).alias("stop"), "text", F.coalesce("wtype", plain).alias("wtype"), "code", "places")
 
 
 def mark_nouns(units: DataFrame) -> DataFrame:
@@ -79,8 +72,10 @@ def mark_compounds(units: DataFrame) -> DataFrame:
     joins = (F.col("wtype") == "conj") & F.lower("text").isin("and", "nor")
     at = at.withColumn("_c", F.when(joins, F.struct(start.alias("start"), end.alias("end"))))
     at = at.withColumn("_c", F.when(F.col("_c.start").isNotNull() & (F.col("_c.end") > F.col("i")), F.col("_c")))
-    lists = F.collect_list("_c").over(whole())
-    own = F.array_min(F.transform(F.filter(lists, lambda c: (c["start"] <= F.col("i")) & (F.col("i") <= c["end"])), lambda c: c["start"]))
+    # A list's conjunctions lie one after another, so only the nearest ones on both sides can hold a unit.
+    behind = F.last("_c", ignorenulls=True).over(back())
+    ahead = F.first("_c", ignorenulls=True).over(order().rowsBetween(1, W.unboundedFollowing))
+    own = F.coalesce(F.when(behind["end"] >= F.col("i"), behind["start"]), F.col("_c.start"), F.when(ahead["start"] <= F.col("i"), ahead["start"]))
     return at.withColumn("compound", own).select(*units.columns, "compound")
 
 
@@ -105,33 +100,10 @@ def attach_agents(units: DataFrame, elite: str = "ELI", convert: bool = False) -
     return at.select(*units.columns, "agent")
 
 
-def compile_pattern(pattern: Column, slot: str | None = None) -> Column:
-    """The regular expression of a pattern "low items * high items", the slot ($, +, % or @) captured. It meets a sentence whose
-    actors read #i and whose verb reads ¤. A blank lets words stand between and its word go on; _ does neither; {a | b} are
-    alternatives; ^ is any one word."""
-    codes = {"$": "\x02", "+": "\x03", "%": "\x04", "@": "\x05"}
-    p = F.translate(F.regexp_replace(F.trim(F.upper(pattern)), " +", " "), "$+%@^*", "\x02\x03\x04\x05\x06\x07")
-    for old, new in ((r"\{ *", "(?:"), (r" *\| *", "|"), (r" *\}", ")"), (r"([A-Z0-9'-]+)(?=[ |)]|$)", "$1\x0e"), (" ", "\x01"), ("_", " "), ("\x0e", r"[^ #]*"), ("\x01", r"(?: [^ ]+)*? "), ("\x06", r"[^ ]+"), ("\x07", "¤")):
-        p = F.regexp_replace(p, old, new.replace("\\", "\\\\"))
-    for mark, code in codes.items():
-        p = F.regexp_replace(p, code, r"#([0-9]+)".replace("\\", "\\\\") if mark == slot else "#[0-9]+")
-    return F.concat(F.lit("^(?:.* )?"), p, F.lit("(?: |$)"))
-
-
 def match_verb_patterns(units: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc, clause, i, code, src_i, tgt_i, pattern): each verb of units (with `clause`, code naming its root) with the longest
-    of patterns (root, ord, pattern, code) that its sentence before and its clause behind it meet, the first of equal ones; the
-    root's own code is its pattern "*". src_i and tgt_i are actors in slots."""
-    shown = F.when(F.col("wtype") == "actor", F.concat(F.lit("#"), F.col("i").cast("string"))).otherwise(F.upper(F.regexp_replace("text", " ", "_")))
-    at = units.withColumn("_w", shown).withColumn("_before", F.array_join(F.collect_list("_w").over(back()), " "))
-    at = at.withColumn("_after", F.array_join(F.collect_list("_w").over(W.partitionBy("doc", "clause").orderBy("i").rowsBetween(1, W.unboundedFollowing)), " "))
-    verbs = at.filter("wtype = 'verb'").select("doc", "clause", "i", F.col("code").alias("root"), F.trim(F.concat_ws(" ", "_before", F.lit("¤"), "_after")).alias("_text"))
-    table = patterns.select("root", "ord", "pattern", "code", compile_pattern(F.col("pattern")).alias("_any"), *[compile_pattern(F.col("pattern"), s).alias(f"_s{n}") for n, s in enumerate("$+%")])
-    hit = verbs.join(table, "root").filter(F.expr("_text RLIKE _any"))
-    slot = lambda n: F.expr(f"IF(instr(_s{n}, '(['  ) > 0, try_cast(regexp_extract(_text, _s{n}, 1) AS INT), NULL)")
-    hit = hit.withColumns({"src_i": F.coalesce(slot(0), slot(2)), "tgt_i": F.coalesce(slot(1), slot(2))})
-    best = hit.groupBy("doc", "clause", "i").agg(F.min_by(F.struct("code", "src_i", "tgt_i", "pattern"), F.struct(-F.size(F.split("pattern", "[ _]+")), -F.length("pattern"), F.col("ord"))).alias("b"))
-    return best.select("doc", "clause", "i", "b.*")
+    """(doc, clause, i, code, src_i, tgt_i, rep_i, pattern): each verb of units (with `clause`, code naming its root) with the longest
+    of patterns (root, ord, pattern, code) that matches its clause behind it and its sentence before it."""
+    return P.match_patterns(units, patterns, "verb")
 
 
 def passive_verbs(units: DataFrame) -> DataFrame:
@@ -146,15 +118,25 @@ def swap_passive(events: DataFrame) -> DataFrame:
     return events.withColumns({"source": F.when(swap, F.col("target")).otherwise(F.col("source")), "target": F.when(swap, F.col("source")).otherwise(F.col("target"))})
 
 
-def attribution(units: DataFrame) -> DataFrame:
-    """(doc, attrib): the reporter by the last attribution phrase of a code: the nearest actor before it with no comma between,
-    else the sentence's first actor."""
+def attribution(units: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """(doc, attrib, code): the reporter by the last attribution phrase with a code: the actor in slot @ of the phrase's best pattern,
+    else the nearest actor before it with no comma between, else the sentence's first actor. A phrase's code is its own, or
+    with patterns (root, ord, pattern, code), whose roots it names, that of the best match (none: passed over); a discard (###) or complex (+++) code reports
+    nobody and stands in `code`."""
     actor = F.col("wtype") == "actor"
     near = F.max_by("code", F.when(actor, F.col("i"))).over(back())
     stop, last = F.max(F.when(F.col("wtype") == "comma", F.col("i"))).over(back()), F.max(F.when(actor, F.col("i"))).over(back())
     first = F.min_by("code", F.when(actor, F.col("i"))).over(whole())
-    at = units.withColumn("_who", F.when(F.coalesce(last > F.coalesce(stop, F.lit(-1)), F.lit(False)), near).otherwise(first))
-    return at.filter("wtype = 'attrib' AND code IS NOT NULL AND code <> '---'").groupBy("doc").agg(F.max_by("_who", "i").alias("attrib"))
+    at = units.withColumn("_who", F.when(F.coalesce(last > F.coalesce(stop, F.lit(-1)), F.lit(False)), near).otherwise(first)).filter("wtype = 'attrib'")
+    if patterns is None:
+        at = at.select("doc", "i", "_who", "code")
+    else:
+        hit = P.match_patterns(units, patterns, "attrib").select("doc", "i", F.col("code").alias("_code"), F.col("rep_i"))
+        who = units.filter(actor).select("doc", F.col("i").alias("rep_i"), F.col("code").alias("_slot"))
+        at = at.join(hit, ["doc", "i"]).join(who, ["doc", "rep_i"], "left").select("doc", "i", F.coalesce("_slot", "_who").alias("_who"), F.col("_code").alias("code"))
+    at = at.filter("code IS NOT NULL AND code <> '---'").groupBy("doc").agg(F.max_by(F.struct("_who", "code"), "i").alias("_l")).select("doc", "_l.*")
+    marks = F.col("code").isin("###", "+++")
+    return at.select("doc", F.when(~marks, F.col("_who")).alias("attrib"), F.when(marks, F.col("code")).alias("code"))
 
 
 def issues(units: DataFrame, dictionary: DataFrame, categories: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -170,11 +152,15 @@ def issues(units: DataFrame, dictionary: DataFrame, categories: dict[str, tuple[
     return units.select("doc").distinct().join(each, "doc", "left").groupBy("doc").agg(*columns)
 
 
-def non_events(units: DataFrame, events: DataFrame) -> DataFrame:
-    """(doc, source, target) of sentences without events: their first two distinct actors."""
+def non_events(units: DataFrame, events: DataFrame, mode: str = "also") -> DataFrame:
+    """(doc, source, target) of sentences without events: their first two distinct actors. mode: "off" gives none; "also" and "only"
+    give the same, but with "only" the events themselves aren't wanted (see code_events)."""
+    if mode not in ("off", "also", "only"):
+        raise ValueError(f"no mode {mode}")
     actors = units.filter("wtype = 'actor' AND code IS NOT NULL").groupBy("doc", "code").agg(F.min("i").alias("i"))
     pair = actors.withColumn("_r", F.row_number().over(order())).filter("_r <= 2").groupBy("doc").agg(F.min_by("code", "i").alias("source"), F.max_by("code", "i").alias("target"), F.count(F.lit(1)).alias("_n"))
-    return pair.filter("_n = 2").drop("_n").join(events.select("doc").distinct(), "doc", "left_anti")
+    found = pair.filter("_n = 2").drop("_n").join(events.select("doc").distinct(), "doc", "left_anti")
+    return found.limit(0) if mode == "off" else found
 
 
 def complexity_filter(units: DataFrame, limits: dict[str, int | bool]) -> DataFrame:
@@ -204,9 +190,25 @@ def length_limits(tokens: DataFrame, least: int = 8, most: int = 128) -> DataFra
     return at.filter((F.col("_n") >= least) & (F.col("_r") <= most)).drop("_n", "_r")
 
 
-def format_events(events: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc, day, source, target, code, label, pattern): events with the days of records (doc, day) and labels (code, label)."""
-    return events.join(records.select("doc", "day"), "doc").join(labels, "code", "left").select("doc", "day", "source", "target", "code", "label", "pattern")
+#: What an event's output can have besides its day, source, target and code, and the columns of it.
+OUTPUTS = {"attrib": ("attrib",), "label": ("label",), "pattern": ("pattern",), "match": ("match",), "actors": ("source_phrase", "target_phrase"), "shift": ("shift",), "places": ("source_at", "target_at", "verb_at"), "story": ("story",), "seq": ("seq",), "text": ("text",)}
+
+
+def format_events(events: DataFrame, records: DataFrame, labels: DataFrame, options: tuple[str, ...] = ("label", "pattern")) -> DataFrame:
+    """(doc, day, source, target, code, and the columns of OUTPUTS that options name, in its order): events with the days of records
+    (doc, day) and labels (code, label). What is asked for must be a column of events or records; ties in the order are the caller's."""
+    wanted = [c for name, cols in OUTPUTS.items() if name in options for c in cols]
+    if unknown := set(options) - set(OUTPUTS):
+        raise ValueError(f"no output {sorted(unknown)}")
+    from_records = [c for c in wanted if c in records.columns and c not in events.columns]
+    at = events.drop("day") if "day" in records.columns else events
+    at = at.join(records.select("doc", "day", *from_records), "doc").join(labels, "code", "left")
+    return at.select("doc", "day", "source", "target", "code", *wanted)
+
+
+def by_date(events: DataFrame) -> DataFrame:
+    """events (doc, n, day) in the order of their days, records and numbers: shifted dates may have left it."""
+    return events.orderBy("day", "doc", "n")
 
 
 def problem_table(records: DataFrame, discarded: DataFrame, complicated: DataFrame, raw: DataFrame, valid: DataFrame) -> DataFrame:
@@ -226,34 +228,136 @@ def parse_gold(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.when(F.size(p) > 1, F.get(p, F.lit(0))).alias("source"), F.get(p, F.lit(1)).alias("target"), F.when(F.size(p) > 1, F.get(p, F.lit(2))).otherwise(F.get(p, F.lit(0))).alias("code")))
 
 
-def code_events(records: DataFrame, dictionary: DataFrame, patterns: DataFrame, limits: dict[str, int | bool], longest: int = 4, dominant: list[str] | None = None, subordinate: list[str] | None = None, shifts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables `events` (doc, n, day, source, target, code, pattern, attrib) and `problems` (doc, problem) of records
-    (doc, day, text), in the coder's order: time, attribution, discards, complexity, verbs, precedence, compounds, repeats. Units, verbs and raw events, which several steps read, are cut in the
-    shared folder."""
-    days = records.select(F.col("doc").alias("id"), "day", "text")
-    days = days.withColumn("mark", F.lit(None).cast("string")) if shifts is None else K.shift_dates(days, shifts)
-    days = days.select(F.col("id").alias("doc"), "day", "mark")
-    tokens = records.select("doc", F.posexplode(F.split(K.clean_text(F.col("text")), " ")).alias("i", "word")).filter("word <> ''")
-    units = attach_agents(mark_compounds(mark_nouns(type_tokens(tokens, dictionary, longest))))
+@dataclass(frozen=True)
+class Options:
+    """How a coder reads records. limits are complexity_filter's; longest is the most words of a phrase without a gap; dominant and
+    subordinate are codes by precedence; comma, comma_begin and comma_end are the word limits of subordinate clauses (None:
+    none is looked for); source and target are codes for roles that nothing fills, with prior and after only what stands
+    before and behind the verb fills them; scope says where coding stops at a main event; mode is non_events'; categories are issues'."""
+
+    limits: dict[str, int | bool] = field(default_factory=dict)
+    longest: int = 4
+    dominant: tuple[str, ...] = ()
+    subordinate: tuple[str, ...] = ()
+    comma: tuple[int, int] | None = None
+    comma_begin: tuple[int, int] | None = None
+    comma_end: tuple[int, int] | None = None
+    source: str | None = None
+    target: str | None = None
+    prior: bool = False
+    after: bool = False
+    scope: str = "clause"
+    mode: str = "off"
+    brackets: bool = False
+    allow_self: bool = False
+    convert_agents: bool = False
+    categories: dict[str, tuple[str, str | None]] = field(default_factory=dict)
+    word_categories: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Dictionaries:
+    """What a coder knows: words (phrase, wtype, code, ord), verb patterns and, if reporters depend on patterns, attribution
+    patterns (root, ord, pattern, code), time phrases (phrase, days, code), dated codes of actors (name, ord, code, valid_from,
+    valid_to), and the words of issues (phrase, category, code, value) and of counted categories (word, category)."""
+
+    words: DataFrame
+    patterns: DataFrame
+    reporters: DataFrame | None = None
+    shifts: DataFrame | None = None
+    dated: DataFrame | None = None
+    issues: DataFrame | None = None
+    counted: DataFrame | None = None
+
+
+def dated_codes(units: DataFrame, days: DataFrame, dated: DataFrame) -> DataFrame:
+    """units whose actors with a name in dated (name, ord, code, valid_from, valid_to) have its code on their record's day
+    (days: doc, day); an actor without a code on that day has none. Other actors keep theirs."""
+    who = units.filter("wtype = 'actor' AND code IS NOT NULL").select("doc", F.col("code").alias("name")).distinct()
+    known = dated.select("name").distinct()
+    ask = who.join(known, "name").join(days.select("doc", "day"), "doc").select(F.struct("doc", "name").alias("id"), "name", "day")
+    found = K.actor_codes_at(ask, dated).select(F.col("id.doc").alias("doc"), F.lit("actor").alias("wtype"), F.col("id.name").alias("code"), F.col("code").alias("_now"), F.lit(True).alias("_known"))
+    return units.join(found, ["doc", "wtype", "code"], "left").withColumn("code", F.when(F.col("_known"), F.col("_now")).otherwise(F.col("code"))).select(units.columns)
+
+
+def pronouns_to_actors(units: DataFrame, story: DataFrame | None) -> DataFrame:
+    """units whose pronouns are actors where K.resolve_pronouns finds whom they mean."""
+    own = units.withColumns({"_code": F.col("code"), "code": F.when(F.col("wtype") == "actor", F.col("code")), "word": F.col("text")})
+    at = K.resolve_pronouns(own, story)
+    who = (F.col("wtype") == "pron") & F.col("actor").isNotNull()
+    return at.withColumns({"code": F.when(who, F.col("actor")).otherwise(F.col("_code")), "wtype": F.when(who, "actor").otherwise(F.col("wtype"))}).select(units.columns)
+
+
+def stop_at_main(events: DataFrame, scope: str, subordinate: tuple[str, ...] = ()) -> DataFrame:
+    """events (doc, clause, n, code) up to the first main one (neither null nor subordinate) of each clause or sentence; with "all"
+    all of them."""
+    if scope == "all":
+        return events
+    by = W.partitionBy("doc", "clause") if scope == "clause" else whole()
+    main = (F.col("code") != "---") & ~F.col("code").isin(*subordinate) if subordinate else F.col("code") != "---"
+    return events.withColumn("_m", F.min(F.when(main, F.col("n"))).over(by)).filter("_m IS NULL OR n <= _m").drop("_m")
+
+
+def read_units(records: DataFrame, days: DataFrame, known: Dictionaries, options: Options) -> tuple[DataFrame, DataFrame]:
+    """The marked units of records (doc, text, and where pronouns carry over story and seq) and the reporters of their sentences."""
+    text = K.clean_text(F.col("text"), options.brackets)
+    tokens = records.select("doc", F.posexplode(F.filter(F.split(text, " "), lambda w: w != "")).alias("i", "word"))
+    units = mark_nouns(type_tokens(tokens, known.words, options.longest))
+    if known.dated is not None:
+        units = dated_codes(units, days, known.dated)
+    units = mark_compounds(attach_agents(units, convert=options.convert_agents))
     # A conjunction inside a list of actors begins no clause.
     listed = (F.col("wtype") == "conj") & F.col("compound").isNotNull()
-    units = cut(K.mark_clauses(units.withColumn("wtype", F.when(listed, "list").otherwise(F.col("wtype")))))
+    units = units.withColumn("wtype", F.when(listed, "list").otherwise(F.col("wtype")))
+    if options.comma or options.comma_begin or options.comma_end:
+        marked = K.mark_subordinate(units.withColumn("word", F.col("text")), *(options.comma or (1, 0)), begin=options.comma_begin, end=options.comma_end)
+        units = marked.select(*units.columns, "nulled")
+    else:
+        units = units.withColumn("nulled", F.lit(False))
+    story = records.select("doc", "story", "seq") if {"story", "seq"} <= set(records.columns) else None
+    units = cut(pronouns_to_actors(K.mark_clauses(units), story))
+    reported = attribution(units, known.reporters)
+    gone = F.col("nulled")
+    return units.withColumns({"code": F.when(~gone, F.col("code")), "wtype": F.when(gone, "null").otherwise(F.col("wtype"))}), reported
+
+
+def code_events(records: DataFrame, known: Dictionaries, options: Options = Options()) -> dict[str, DataFrame]:  # noqa: B008
+    """Tables `events` (doc, n, day, source, target, code, pattern, attrib, source_at, target_at, verb_at), `non_events` (doc, source, target),
+    `problems` (doc, problem) and, where the dictionaries have them, `issues` and `counts` of records (doc, day, text; with story and seq,
+    pronouns carry over). The order is the coder's: time, dated codes, nouns, agents, lists, subordinate clauses, pronouns,
+    attribution, discards, complexity, verbs by clause, defaults, precedence, compounds, repeats, issues, counts.
+
+    A record is a sentence: its words are one group. Units, verbs and raw events, which several steps read, are cut in the shared folder."""
+    days = records.select(F.col("doc").alias("id"), "day", "text")
+    days = days.withColumn("mark", F.lit(None).cast("string")) if known.shifts is None else K.shift_dates(days, known.shifts)
+    days = days.select(F.col("id").alias("doc"), "day", "mark")
+    units, reported = read_units(records, days, known, options)
     marked = lambda code: days.filter(F.col("mark") == code).select("doc")
-    out = discard_filter(units).union(marked("###")).distinct()
-    timed = marked("+++").withColumn("reason", F.lit("complex code in time phrase"))
-    hard = complexity_filter(units, limits).union(timed).groupBy("doc").agg(F.min("reason").alias("reason"))
+    told = lambda code: reported.filter(F.col("code") == code).select("doc")
+    out = discard_filter(units).union(marked("###")).union(told("###")).distinct()
+    timed = marked("+++").withColumn("reason", F.lit("complex code in time phrase")).union(told("+++").withColumn("reason", F.lit("complex code in attribution")))
+    hard = complexity_filter(units, options.limits).union(timed).groupBy("doc").agg(F.min("reason").alias("reason"))
     kept = units.join(out, "doc", "left_anti").join(hard, "doc", "left_anti")
     full = F.when(F.col("wtype") == "actor", K.composite_code(F.col("code"), F.col("agent")))
     # A compound's members are one actor, at its first unit.
     actors = kept.withColumn("_full", full).filter("_full IS NOT NULL").groupBy("doc", F.coalesce("compound", "i").alias("pos")).agg(F.min("clause").alias("clause"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "_full"))), lambda x: x["_full"]), "/").alias("actor"), F.collect_list("i").alias("at"))
-    verbs = cut(match_verb_patterns(kept, patterns))
-    roles = K.assign_roles(verbs.select("doc", "clause", "i", "code"), actors.select("doc", "clause", "pos", "actor"))
+    verbs = cut(match_verb_patterns(kept, known.patterns))
+    roles = K.assign_roles(verbs.select("doc", "clause", "i", "code"), actors.select("doc", "clause", "pos", "actor"), options.prior, options.after)
     each = actors.select("doc", F.explode("at").alias("_at"), "actor")
     named = lambda df, key, role: df.join(each.select("doc", F.col("_at").alias(key), F.col("actor").alias(role)), ["doc", key], "left")
-    at = named(named(verbs, "src_i", "_s"), "tgt_i", "_t").join(roles.drop("code"), ["doc", "clause", "i"]).join(passive_verbs(kept).select("doc", "i", "passive"), ["doc", "i"])
-    at = swap_passive(at).withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")}).withColumn("sent", F.lit(0))
-    raw = cut(at.select("doc", "sent", F.col("i").alias("n"), "source", "target", "code", "pattern"))
-    paired = K.expand_compounds(K.split_paired(K.resolve_precedence(raw, dominant or [], subordinate or []).filter("source IS NOT NULL AND target IS NOT NULL")))
-    valid = K.drop_self_and_dups(paired).join(raw.select("doc", "n", "pattern"), ["doc", "n"])
-    events = valid.join(days.drop("mark"), "doc").join(attribution(units), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", "attrib")
-    return {"events": events, "problems": problem_table(records.select("doc", "text"), out, hard, raw, valid)}
+    at = named(named(named(verbs, "src_i", "_s"), "tgt_i", "_t"), "rep_i", "_r").join(roles.drop("code"), ["doc", "clause", "i"]).join(passive_verbs(kept).select("doc", "i", "passive"), ["doc", "i"])
+    at = swap_passive(at).withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")})
+    none = F.lit(None).cast("string")
+    at = K.default_actors(at, options.source or none, options.target or none).withColumn("n", F.col("i"))
+    raw = cut(stop_at_main(at, options.scope, options.subordinate).select("doc", F.lit(0).alias("sent"), "n", "source", "target", "code", "pattern", F.col("_r").alias("reporter"), F.col("src_i").alias("source_at"), F.col("tgt_i").alias("target_at"), F.col("i").alias("verb_at")))
+    plain = raw.select("doc", "sent", "n", "source", "target", "code")
+    paired = K.expand_compounds(K.split_paired(K.resolve_precedence(plain, list(options.dominant), list(options.subordinate)).filter("source IS NOT NULL AND target IS NOT NULL")))
+    valid = K.drop_self_and_dups(paired, options.allow_self).join(raw.drop("sent", "source", "target", "code"), ["doc", "n"])
+    idle = non_events(kept, raw.filter("code <> '---'"), options.mode)
+    events = valid.join(days.drop("mark"), "doc").join(reported.drop("code"), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", F.coalesce("reporter", "attrib").alias("attrib"), "source_at", "target_at", "verb_at")
+    tables = {"events": events.limit(0) if options.mode == "only" else events, "non_events": idle, "problems": problem_table(records.select("doc", "text"), out, hard, raw, valid)}
+    if known.issues is not None:
+        tables["issues"] = issues(kept, known.issues, options.categories)
+    if known.counted is not None:
+        tables["counts"] = K.category_counts(kept.select("doc", F.col("text").alias("word")), known.counted, list(options.word_categories))
+    return tables

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadflow.functions.braces import unfold
 from dyadflow.functions.lineage import cut
 
 #: The coarse class of each Penn Treebank tag; a tag that isn't here stays as it is.
@@ -46,14 +47,10 @@ def is_verbal(tag: Column) -> Column:
     return coarse_pos(tag) == "VERB"
 
 
-def normalise_names(names: DataFrame, braces: int = 2) -> DataFrame:
-    """(code, phrase): plain lower-case phrases of name patterns (code, name); {a|b} unfolds, up to `braces` times, _ is a
+def normalise_names(names: DataFrame) -> DataFrame:
+    """(code, phrase): plain lower-case phrases of name patterns (code, name); {a|b} groups unfold, however many, _ is a
     blank, and a possessive stands with and without a blank before it."""
-    out = names.select("code", F.col("name").alias("phrase"))
-    for _ in range(braces):
-        alternatives = F.split(F.regexp_extract("phrase", r"\{([^}]*)\}", 1), r"\s*\|\s*")
-        out = out.select("code", F.explode(alternatives).alias("alt"), "phrase")
-        out = out.select("code", F.when(F.col("phrase").contains("{"), F.concat(F.regexp_extract("phrase", r"^([^{]*)\{", 1), F.trim("alt"), F.regexp_extract("phrase", r"\}(.*)$", 1))).otherwise(F.col("phrase")).alias("phrase")).distinct()
+    out = names.select("code", F.explode(unfold(F.col("name"))).alias("phrase"))
     plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace("phrase", "_", " "), r"\s+", " ")))
     both = F.when(plain.contains("'s"), F.array(F.regexp_replace(plain, r" ?'s", "'s"), F.regexp_replace(plain, r" ?'s", " 's"))).otherwise(F.array(plain))
     return out.select("code", F.explode(both).alias("phrase")).distinct()

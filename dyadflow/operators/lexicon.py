@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dyadflow.functions.lineage import cut
 from dyadflow.functions.prefix import running_sum
 
 from .posterior import rank_correlation
@@ -178,6 +179,24 @@ def rank_purity(stats: DataFrame, scales: DataFrame) -> DataFrame:
     return rank_correlation(stats.join(scales, "frame"), "score", "scale", "n")
 
 
+def rank_purity_null(stats: DataFrame, frames: int, reps: int, seed: int) -> DataFrame:
+    """(rep, value): the rank correlation of path score and frame when each path's whole count goes to a hashed frame, for every
+    repetition; all repetitions are one job."""
+    paths = stats.groupBy("path").agg(F.sum("n").alias("n"), F.first("score").alias("score"))
+    each = paths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("frame", F.pmod(F.xxhash64("path", "rep", F.lit(seed)), F.lit(frames)))
+    return rank_correlation(each, "score", "frame", "n", by=("rep",))
+
+
+def rank_purity_test(stats: DataFrame, scales: DataFrame, frames: int, reps: int, seed: int, quantiles: tuple[float, ...] = (0.025, 0.975)) -> DataFrame:
+    """(value, null_mean, null_quantiles, share): rank_purity, and how it stands among the random frames' values: their
+    mean, quantiles, and the share of them that reach it."""
+    null = cut(rank_purity_null(stats, frames, reps, seed))
+    own = rank_purity(stats, scales)
+    # One row each.
+    at = null.join(own.withColumnRenamed("value", "own"), F.lit(True))
+    return at.agg(F.first("own").alias("value"), F.avg("value").alias("null_mean"), F.percentile("value", list(quantiles)).alias("null_quantiles"), F.avg(F.when(F.col("value") >= F.col("own"), 1.0).otherwise(0.0)).alias("share"))
+
+
 def valence_by_frame(stats: DataFrame, scales: DataFrame, min_total: int = 10) -> DataFrame:
     """Weighted shares of positive, neutral and negative paths per frame of min_total tokens, the mean's standard error, and
     the frame's scale."""

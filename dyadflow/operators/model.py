@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadflow.functions.lineage import cut
+from dyadflow.functions.lineage import RunStore, cut, scratch
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -27,6 +27,15 @@ def data_sizes(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("ctx").alias("contexts"), F.count_distinct("path").alias("paths"), F.count_distinct("t").alias("times"), F.count_distinct("src", "rec").alias("dyads"))
 
 
+def data_counts(events: DataFrame) -> DataFrame:
+    """(kind, key, n): events by context (ctx), path, source (src) and receiver (rec), in one pass."""
+    kinds = ("ctx", "path", "src", "rec")
+    sets = events.groupingSets([[c] for c in kinds], *kinds).agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"))
+    # The bit of the one column that a set has is not set.
+    kind = F.coalesce(*[F.when(F.col("_g") == 15 - 2 ** (3 - i), F.lit(c)) for i, c in enumerate(kinds)])
+    return sets.select(kind.alias("kind"), F.coalesce(*kinds).alias("key"), "n")
+
+
 def frame_counts(events: DataFrame) -> DataFrame:
     """(kind, key, z, n): counts by (context, class), (path, class) and class, in one pass over the events."""
     sets = events.groupingSets([["ctx", "z"], ["path", "z"], ["z"]], "ctx", "path", "z").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
@@ -73,32 +82,45 @@ def resample_classes(events: DataFrame, k: int, alpha: float, conc: float, paths
     return weighted.withColumn("z", draw(F.col("weights"), uniform(seed, "id", F.lit(sweep)))).drop("weights")
 
 
-def path_loglik(counts: DataFrame, conc: float, paths: int) -> DataFrame:
-    """Dirichlet-multinomial log-likelihood of the paths given their classes; log gamma by Stirling's series after a shift,
-    in column arithmetic on the distinct counts."""
+def log_gamma(x: Column) -> Column:
+    """Log gamma by Stirling's series after a shift."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
+    return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
 
-    def lgamma(x: Column) -> Column:
-        y = x + 8
-        series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
-        return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
 
-    a = F.lit(conc / paths)
-    cells = counts.filter("kind = 'path'").groupBy("n").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * (lgamma(F.col("n") + a) - lgamma(a))).alias("p"))
-    totals = counts.filter("kind = 'all'").agg(F.sum(lgamma(F.lit(conc)) - lgamma(F.col("n") + F.lit(conc))).alias("q"))
-    return cells.join(totals, F.lit(True)).select((F.col("p") + F.col("q")).alias("loglik"))
+def conc_logliks(counts: DataFrame, grid: list[float], paths: int) -> DataFrame:
+    """(conc, loglik): Dirichlet-multinomial log-likelihood of the paths given their classes for every concentration of the grid.
+    Equal counts are counted first, so one pass over the counts serves the whole grid, whatever its size."""
+    each = F.explode(F.array(*[F.lit(float(c)) for c in grid]))
+    share = F.col("conc") / paths
+    cells = counts.filter("kind = 'path'").groupBy("n").agg(F.count(F.lit(1)).alias("m")).select("n", "m", each.alias("conc"))
+    cells = cells.groupBy("conc").agg(F.sum(F.col("m") * (log_gamma(F.col("n") + share) - log_gamma(share))).alias("p"))
+    totals = counts.filter("kind = 'all'").select("n", each.alias("conc")).groupBy("conc").agg(F.sum(log_gamma(F.col("conc")) - log_gamma(F.col("n") + F.col("conc"))).alias("q"))
+    return cells.join(totals, "conc").select("conc", (F.col("p") + F.col("q")).alias("loglik"))
+
+
+def path_loglik(counts: DataFrame, conc: float, paths: int) -> DataFrame:
+    """The log-likelihood (loglik) of the paths given their classes at one concentration."""
+    return conc_logliks(counts, [conc], paths).select("loglik")
 
 
 def conc_grid(counts: DataFrame, grid: list[float], paths: int) -> DataFrame:
     """(conc, prob): the likelihood on a grid of concentrations, normalised."""
-    out = None
-    for c in grid:
-        one = path_loglik(counts, c, paths).withColumn("conc", F.lit(c))
-        out = one if out is None else out.unionByName(one)
     # One row per grid point.
-    e = out.withColumn("e", F.exp(F.col("loglik") - F.max("loglik").over(W.partitionBy())))
+    e = conc_logliks(counts, grid, paths).withColumn("e", F.exp(F.col("loglik") - F.max("loglik").over(W.partitionBy())))
     return e.select("conc", (F.col("e") / F.sum("e").over(W.partitionBy())).alias("prob"))
 
 
+def resample_conc(counts: DataFrame, grid: list[float], paths: int, seed: int, sweep: int = 0) -> DataFrame:
+    """(conc): one concentration of the grid, drawn in proportion to its likelihood: the first whose running probability exceeds a
+    uniform number of seed and sweep."""
+    at = conc_grid(counts, grid, paths)
+    # As many rows as the grid has.
+    run = at.withColumn("_to", F.sum("prob").over(W.partitionBy().orderBy("conc"))).withColumn("_u", uniform(seed, F.lit(sweep)) * F.max("_to").over(W.partitionBy()))
+    return run.filter("_to > _u").agg(F.min("conc").alias("conc"))
+
+
 def eta_variance_stats(eta: DataFrame) -> DataFrame:
     """Sum of squares of (ctx, frame, eta, mean) about the mean, and the number, of each frame."""
     return eta.groupBy("frame").agg(F.sum(F.pow(F.col("eta") - F.col("mean"), 2)).alias("ss"), F.count(F.lit(1)).alias("n"))
@@ -118,15 +140,27 @@ def step_variance(states: DataFrame) -> DataFrame:
     return v.select(F.when(F.col("v") > 1e-50, F.col("v")).alias("step_var"))
 
 
-def fit(events: DataFrame, k: int, iterations: int, seed: int, alpha: float = 1.0, conc: float = 10.0, save_every: int = 5) -> DataFrame:
+def fit(events: DataFrame, k: int, iterations: int, seed: int, alpha: float = 1.0, conc: float = 10.0, save_every: int = 5, store: str | None = None, grid: list[float] | None = None) -> DataFrame:
     """(iter, id, z) of the saved iterations: classes start by hash, and each sweep draws all of them from the counts of the
-    sweep before (approximate distributed Gibbs sampling). Lineage is cut in the shared folder at each sweep."""
+    sweep before (approximate distributed Gibbs sampling). With grid the concentration is drawn anew before each sweep.
+
+    A sweep's classes are written to the folder `store` (see RunStore; a new one if none is given) and those before it dropped; a run that
+    finds whole sweeps there goes on behind the last."""
+    spark, runs = events.sparkSession, RunStore(events.sparkSession, store)
     paths = max(1, events.select("path").distinct().count())
-    state = cut(events.select("id", "ctx", "path", F.floor(uniform(seed, "id") * k).cast("int").alias("z")))
-    saved = None
-    for i in range(1, iterations + 1):
-        state = cut(resample_classes(state, k, alpha, conc, paths, seed, i))
-        if i % save_every == 0:
-            one = state.select(F.lit(i).alias("iter"), "id", "z")
-            saved = one if saved is None else saved.unionByName(one)
-    return saved
+    known = runs.last()
+    if known is None:
+        first = events.select("id", "ctx", "path", F.floor(uniform(seed, "id") * k).cast("int").alias("z"))
+        known = 0, runs.keep(0, {"classes": first}, {"conc": conc}), {"conc": conc}
+    begun, tables, numbers = known
+    for i in range(begun + 1, iterations + 1):
+        with scratch(spark):
+            state = tables["classes"]
+            if grid:
+                # One number.
+                numbers = {"conc": resample_conc(frame_counts(state), grid, paths, seed, i).first().conc}
+            state = cut(resample_classes(state, k, alpha, numbers["conc"], paths, seed, i))
+            if i % save_every == 0:
+                runs.save(i, {"classes": state.select("id", "z")})
+            tables = runs.keep(i, {"classes": state}, numbers)
+    return runs.samples()["classes"]

@@ -91,28 +91,33 @@ def context_sample(contexts: DataFrame, every: int) -> DataFrame:
     return contexts.filter(F.col("id") % every == 0)
 
 
-def rank_correlation(df: DataFrame, x: str, y: str, w: str, method: str = "kendall") -> DataFrame:
-    """Weighted Kendall tau-b, or Goodman and Kruskal's gamma, of one row (value). Pairs tied on both sides don't count.
+def rank_correlation(df: DataFrame, x: str, y: str, w: str, method: str = "kendall", by: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted Kendall tau-b, or Goodman and Kruskal's gamma, of one row (value), or of a row for each `by`. Pairs tied on both
+    sides don't count.
 
     Equal (x, y) become one cell. Two cells are ordered by y at exactly one bit of y's rank, where they part; so agreeing
     pairs are running sums over x within the groups of each bit, and no pair of cells is listed."""
-    cells = cut(df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(F.col(w).cast("double")).alias("w")))
-    levels = cut(cells.select("y").distinct().withColumn("one", F.lit(1)))
-    ranks = running_sum(levels, "y", ["one"]).select("y", F.col("one_before").cast("long").alias("r"))
+    cells = cut(df.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(F.col(w).cast("double")).alias("w")))
+    levels = cut(cells.select(*by, "y").distinct().withColumn("one", F.lit(1)))
+    ranks = running_sum(levels, "y", ["one"], list(by)).select(*by, "y", F.col("one_before").cast("long").alias("r"))
     # As many bits as the highest rank has.
-    bits = F.explode(F.sequence(F.lit(0), F.lit(max(1, levels.count().bit_length()) - 1))).alias("bit")
-    at = cells.join(ranks, "y").select("x", "w", "r", bits).select("x", "w", "bit", F.expr("shiftright(r, bit + 1)").alias("group"), F.expr("shiftright(r, bit) & 1").alias("upper"))
-    halves = cut(at.groupBy("bit", "group", "x").agg(F.sum(F.when(F.col("upper") == 0, F.col("w")).otherwise(0.0)).alias("low"), F.sum(F.when(F.col("upper") == 1, F.col("w")).otherwise(0.0)).alias("up")))
+    most = (levels.groupBy(*by).count().agg(F.max("count").alias("n")) if by else levels.agg(F.count("*").alias("n"))).first().n or 0
+    bits = F.explode(F.sequence(F.lit(0), F.lit(max(1, most.bit_length()) - 1))).alias("bit")
+    at = cells.join(ranks, [*by, "y"]).select(*by, "x", "w", "r", bits).select(*by, "x", "w", "bit", F.expr("shiftright(r, bit + 1)").alias("group"), F.expr("shiftright(r, bit) & 1").alias("upper"))
+    group = [*by, "bit", "group"]
+    halves = cut(at.groupBy(*group, "x").agg(F.sum(F.when(F.col("upper") == 0, F.col("w")).otherwise(0.0)).alias("low"), F.sum(F.when(F.col("upper") == 1, F.col("w")).otherwise(0.0)).alias("up")))
     # Groups without members on both sides have no pairs.
-    whole = halves.groupBy("bit", "group").agg(F.sum("low").alias("all"), F.sum("up").alias("above")).filter("all > 0 AND above > 0").drop("above")
-    pairs = running_sum(halves, "x", ["low"], ["bit", "group"]).join(whole, ["bit", "group"]).withColumnRenamed("low_before", "less")
-    pairs = pairs.agg(F.coalesce(F.sum(F.col("up") * F.col("less")), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.col("up") * (F.col("all") - F.col("less") - F.col("low"))), F.lit(0.0)).alias("d"))
-    same = cells.agg(F.sum(F.col("w") * F.col("w")).alias("same"))
-    tie = lambda c, n: cells.groupBy(c).agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias(n))
-    one = pairs.join(same, F.lit(True)).join(tie("x", "tx"), F.lit(True)).join(tie("y", "ty"), F.lit(True))
+    whole = halves.groupBy(*group).agg(F.sum("low").alias("all"), F.sum("up").alias("above")).filter("all > 0 AND above > 0").drop("above")
+    pairs = running_sum(halves, "x", ["low"], group).join(whole, group).withColumnRenamed("low_before", "less")
+    pairs = pairs.groupBy(*by).agg(F.sum(F.col("up") * F.col("less")).alias("a"), F.sum(F.col("up") * (F.col("all") - F.col("less") - F.col("low"))).alias("d"))
+    one = cells.groupBy(*by).agg(F.sum(F.col("w") * F.col("w")).alias("same"))
+    tie = lambda c, n: cells.groupBy(*by, c).agg(F.sum("w").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t")).alias(n))
+    for table in (pairs, tie("x", "tx"), tie("y", "ty")):
+        one = one.join(table, list(by) if by else F.lit(True), "left")
+    one = one.na.fill(0.0, ["a", "d"])
     both = F.col("a") + F.col("d")
     tau = (F.col("a") - F.col("d")) / F.sqrt((both + (F.col("tx") - F.col("same")) / 2) * (both + (F.col("ty") - F.col("same")) / 2))
-    return one.select((tau if method == "kendall" else (F.col("a") - F.col("d")) / F.nullif(both, F.lit(0.0))).alias("value"))
+    return one.select(*by, (tau if method == "kendall" else (F.col("a") - F.col("d")) / F.nullif(both, F.lit(0.0))).alias("value"))
 
 
 def pair_agreement(df: DataFrame, n: int, seed: int) -> DataFrame:

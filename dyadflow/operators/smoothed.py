@@ -7,6 +7,8 @@ mean = alpha + scale * position(dyad, t). Values by class (alpha, var, scale) ar
 from __future__ import annotations
 
 import zlib
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadflow.functions.lineage import cut
+from dyadflow.functions.lineage import RunStore, cut, scratch
 from dyadflow.operators import model as M
 from dyadflow.operators.posterior import softmax
 
@@ -198,63 +200,76 @@ def phase(iteration: int, global_end: int, scale_end: int) -> str:
     return "global" if iteration <= global_end else "scale" if iteration <= scale_end else "time"
 
 
-def fit(events: DataFrame, k: int, periods: int, iterations: int, seed: int, kind: str = "smoothed", conc: float = 10.0, alpha_prior: float = 100.0, scale_prior: float = 1.0, position_prior: float = 1.0, global_end: int = 0, scale_end: int = 0, save_every: int = 5, burn_in: int = 0, frozen: DataFrame | None = None) -> dict[str, DataFrame]:
+def fit(events: DataFrame, k: int, periods: int, iterations: int, seed: int, kind: str = "smoothed", conc: float = 10.0, alpha_prior: float = 100.0, scale_prior: float = 1.0, position_prior: float = 1.0, global_end: int = 0, scale_end: int = 0, save_every: int = 5, burn_in: int = 0, frozen: DataFrame | None = None, store: str | None = None) -> dict[str, DataFrame]:
     """Tables `classes` (iter, id, z), `values` (iter, name, frame, value), `thetas` (iter, ctx, theta) and `log`
     (iter, paths, eta, walk) of the saved iterations.
 
     events are (id, ctx, dyad, t, path), t from 0 to periods - 1. Each iteration draws all classes three times, each from the
     counts of the sweep before, then moves the log odds, then draws variances, alphas and states. The scaled model goes through
     the phases global, scale and time, which end at the given iterations. `frozen` (kind, key, z, n) holds the path and class
-    counts still. Big tables are cut in the shared folder in each iteration; the driver keeps k - 1 numbers of each sort."""
+    counts still. The driver keeps k - 1 numbers of each sort.
+
+    Saved iterations and the tables that the next one begins with are in the folder `store` (see RunStore; a new one if none is given): a
+    run that finds whole iterations there goes on behind the last, and each iteration deletes its own cuts and its predecessor."""
+    spark, runs = events.sparkSession, RunStore(events.sparkSession, store)
     paths = max(1, events.select("path").distinct().count())
-    state = cut(events.select("id", "ctx", "dyad", "t", "path", F.floor(M.uniform(seed, "id") * k).cast("int").alias("z")))
-    contexts = cut(start_contexts(state, k, seed))
-    alpha, var, step = [0.0] * (k - 1), [2.0] * (k - 1), 1.0
-    scale = None if kind == "smoothed" else [float(x) for x in np.random.default_rng(seed).standard_normal(k - 1)]
-    saved: dict[str, list[DataFrame]] = {"classes": [], "values": [], "thetas": [], "log": []}
-    spark = events.sparkSession
-    zero = F.array_repeat(F.lit(0.0), k - 1 if scale is None else 1)
-    states = contexts.select("dyad", "t").withColumn("state", zero)
-    for i in range(1, iterations + 1):
-        thetas = contexts.select("ctx", softmax(F.col("eta")).alias("theta"))
-        for inner in range(3):
-            state = cut(M.resample_classes(state, k, 1.0, conc, paths, seed, 3 * i + inner, thetas=thetas, frozen=frozen))
-        contexts = cut(resample_eta(with_counts(contexts, state, k), var, seed + 10, i).drop("accepted"))
-        now = phase(i, global_end, scale_end) if scale is not None else "time"
-        frames = by_frame(contexts, alpha)
-        var = draw_variances(M.eta_variance_stats(frames), seed + 20 + i)
-        alpha = draw_posteriors(alpha_posteriors(frames, var, alpha_prior, now == "global"), seed + 30 + i)
-        if scale is not None and now != "global":
-            positions = states.select("dyad", "t", F.get("state", F.lit(0)).alias("position"))
-            scale = draw_posteriors(scale_posteriors(by_frame(contexts, alpha), positions, var, scale_prior), seed + 40 + i)
-        if now == "scale":
-            at = position_posteriors(contexts, alpha, var, scale, position_prior)
-            drawn = F.col("post_mean") + F.sqrt("post_var") * normal(seed + 50, "dyad", "t", F.lit(i))
-            states = cut(at.select("dyad", "t", F.array(drawn).alias("state")))
-        elif now == "time":
-            states = cut(track_states(evidence(contexts, alpha, var, scale), periods, step, seed=seed + 60 + i).select("dyad", "t", "state"))
-            step = step_variance(states, step)
-        contexts = cut(with_means(contexts, states, alpha, scale))
-        var = draw_variances(M.eta_variance_stats(by_frame(contexts, alpha)), seed + 70 + i)
-        if i > burn_in and i % save_every == 0:
-            mark = F.lit(i).alias("iter")
-            saved["classes"].append(state.select(mark, "id", "z"))
-            rows = [(i, name, f, float(x)) for name, xs in (("alpha", alpha), ("var", var), ("scale", scale or [])) for f, x in enumerate(xs)] + [(i, "step", 0, float(step))]
-            saved["values"].append(spark.createDataFrame(rows, "iter int, name string, frame int, value double"))
-            saved["thetas"].append(contexts.select(mark, "ctx", softmax(F.col("eta")).alias("theta")))
-            likely = M.path_loglik(M.frame_counts(state), conc, paths).withColumnRenamed("loglik", "paths")
-            saved["log"].append(likely.join(model_loglik(contexts, var, states, step, scale, scale_prior), F.lit(True)).select(mark, "*"))
-    return {name: union(tables) for name, tables in saved.items()}
-
-
-def union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def run_chains(events: DataFrame, periods: int, chains: list[dict]) -> dict[str, DataFrame]:
-    """The tables of `fit` with a column `chain`, for several settings (k, seed, kind, iterations, ...) of one input."""
-    runs = [fit(events, periods=periods, **settings) for settings in chains]
-    return {name: union([r[name].select(F.lit(c).alias("chain"), "*") for c, r in enumerate(runs)]) for name in runs[0]}
+    known = runs.last()
+    if known is None:
+        scale = None if kind == "smoothed" else [float(x) for x in np.random.default_rng(seed).standard_normal(k - 1)]
+        with scratch(spark):
+            state = cut(events.select("id", "ctx", "dyad", "t", "path", F.floor(M.uniform(seed, "id") * k).cast("int").alias("z")))
+            contexts = cut(start_contexts(state, k, seed))
+            states = contexts.select("dyad", "t").withColumn("state", F.array_repeat(F.lit(0.0), k - 1 if scale is None else 1))
+            numbers = {"alpha": [0.0] * (k - 1), "var": [2.0] * (k - 1), "step": 1.0, "scale": scale}
+            known = 0, runs.keep(0, {"state": state, "contexts": contexts, "states": states}, numbers), numbers
+    begun, tables, numbers = known
+    for i in range(begun + 1, iterations + 1):
+        with scratch(spark):
+            tables, numbers, saved = _iteration(i, tables, numbers, k, periods, paths, seed, conc, alpha_prior, scale_prior, position_prior, phase(i, global_end, scale_end) if kind != "smoothed" else "time", frozen)
+            if i > burn_in and i % save_every == 0:
+                runs.save(i, saved)
+            tables = runs.keep(i, tables, numbers)
+    return runs.samples()
+
+
+def _iteration(i: int, tables: dict[str, DataFrame], numbers: dict, k: int, periods: int, paths: int, seed: int, conc: float, alpha_prior: float, scale_prior: float, position_prior: float, now: str, frozen: DataFrame | None) -> tuple[dict[str, DataFrame], dict, dict[str, DataFrame]]:
+    """The tables and numbers after iteration i, and what can be saved of it. All draws depend on seed and i alone."""
+    state, contexts, states = (tables[n] for n in ("state", "contexts", "states"))
+    alpha, var, step, scale = (numbers[n] for n in ("alpha", "var", "step", "scale"))
+    thetas = contexts.select("ctx", softmax(F.col("eta")).alias("theta"))
+    for inner in range(3):
+        state = cut(M.resample_classes(state, k, 1.0, conc, paths, seed, 3 * i + inner, thetas=thetas, frozen=frozen))
+    contexts = cut(resample_eta(with_counts(contexts, state, k), var, seed + 10, i).drop("accepted"))
+    frames = by_frame(contexts, alpha)
+    var = draw_variances(M.eta_variance_stats(frames), seed + 20 + i)
+    alpha = draw_posteriors(alpha_posteriors(frames, var, alpha_prior, now == "global"), seed + 30 + i)
+    if scale is not None and now != "global":
+        positions = states.select("dyad", "t", F.get("state", F.lit(0)).alias("position"))
+        scale = draw_posteriors(scale_posteriors(by_frame(contexts, alpha), positions, var, scale_prior), seed + 40 + i)
+    if now == "scale":
+        at = position_posteriors(contexts, alpha, var, scale, position_prior)
+        drawn = F.col("post_mean") + F.sqrt("post_var") * normal(seed + 50, "dyad", "t", F.lit(i))
+        states = cut(at.select("dyad", "t", F.array(drawn).alias("state")))
+    elif now == "time":
+        states = cut(track_states(evidence(contexts, alpha, var, scale), periods, step, seed=seed + 60 + i).select("dyad", "t", "state"))
+        step = step_variance(states, step)
+    contexts = cut(with_means(contexts, states, alpha, scale))
+    var = draw_variances(M.eta_variance_stats(by_frame(contexts, alpha)), seed + 70 + i)
+    numbers = {"alpha": [float(x) for x in alpha], "var": [float(x) for x in var], "step": float(step), "scale": None if scale is None else [float(x) for x in scale]}
+    rows = [(name, f, x) for name in ("alpha", "var", "scale") for f, x in enumerate(numbers[name] or [])] + [("step", 0, numbers["step"])]
+    likely = M.path_loglik(M.frame_counts(state), conc, paths).withColumnRenamed("loglik", "paths")
+    saved = {
+        "classes": state.select("id", "z"), "values": state.sparkSession.createDataFrame(rows, "name string, frame int, value double"),
+        "thetas": contexts.select("ctx", softmax(F.col("eta")).alias("theta")), "log": likely.join(model_loglik(contexts, var, states, step, scale, scale_prior), F.lit(True)),
+    }
+    return {"state": state, "contexts": contexts, "states": states}, numbers, saved
+
+
+def run_chains(events: DataFrame, periods: int, chains: list[dict], store: str | None = None, at_once: int = 4) -> dict[str, DataFrame]:
+    """The tables of `fit` with a column `chain` (its number), for several settings (k, seed, kind, iterations, ...) of one input.
+    Chains run side by side, so one's small jobs fill the gaps of another, and each has a folder of its own in the store."""
+    root = RunStore(events.sparkSession, store).path
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = list(pool.map(lambda c: fit(events, periods=periods, store=f"{root}/chain={c}", **chains[c]), range(len(chains))))
+    each = {name: [r[name].select(F.lit(c).alias("chain"), "*") for c, r in enumerate(runs)] for name in runs[0]}
+    return {name: reduce(DataFrame.unionByName, tables) for name, tables in each.items()}

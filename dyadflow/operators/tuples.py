@@ -15,14 +15,14 @@ def stems(word: Column) -> Column:
 
 def drop_blacklisted(tuples: DataFrame, heads: DataFrame, verbs: DataFrame) -> DataFrame:
     """Rows of (src_head, rec_head, verbs array, ...) with `reason`: BADHEAD, BADVERB or null, by blacklists (word)."""
-    heads, verbs = heads.select("word").distinct(), verbs.agg(F.collect_set("word").alias("_verbs"))
-    # The verb list is a hand-written table.
-    flagged = tuples.join(F.broadcast(verbs), F.lit(True), "left")
+    heads, verbs = heads.select("word").distinct(), verbs.select("word").distinct()
+    # Rows share few lists of verbs, so each list is looked up once, word by word.
+    each = tuples.select("verbs").distinct().select("verbs", F.explode("verbs").alias("_v")).select("verbs", F.explode(stems(F.col("_v"))).alias("word"))
+    flagged = tuples.join(each.join(verbs, "word").select(F.col("verbs").alias("_bad")).distinct(), F.col("verbs") == F.col("_bad"), "left")
     for side in ("src", "rec"):
         flagged = flagged.join(heads.select(F.col("word").alias(f"_{side}")), F.col(f"{side}_head") == F.col(f"_{side}"), "left")
-    bad_verb = F.exists("verbs", lambda v: F.arrays_overlap(stems(v), F.coalesce("_verbs", F.array().cast("array<string>"))))
-    reason = F.when(F.col("_src").isNotNull() | F.col("_rec").isNotNull(), "BADHEAD").when(bad_verb, "BADVERB")
-    return flagged.withColumn("reason", reason).drop("_verbs", "_src", "_rec")
+    reason = F.when(F.col("_src").isNotNull() | F.col("_rec").isNotNull(), "BADHEAD").when(F.col("_bad").isNotNull(), "BADVERB")
+    return flagged.withColumn("reason", reason).drop("_bad", "_src", "_rec")
 
 
 def collapse(extractions: DataFrame, meta: DataFrame) -> DataFrame:

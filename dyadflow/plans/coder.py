@@ -40,18 +40,35 @@ def k10_attach_agents(v):
     return N.attach_agents(v("units")).select("doc", "i", "agent")
 
 
-SHOWN = "CASE WHEN wtype = 'actor' THEN concat('#', CAST(i AS STRING)) WHEN wtype = 'verb' THEN 'V' WHEN wtype = 'prep' THEN 'OF' WHEN wtype = 'by' THEN 'BYLINE' ELSE 'W' END"
-#: (root, ord, pattern, code, its regular expression), the expressions written by hand.
-PATTERNS = [("C0", 0, "*", "010", "¤"), ("C0", 1, "* + OF", "020", "¤(?: [^ ]+)*? #([0-9]+)(?: [^ ]+)*? OF[^ #]*"), ("C1", 2, "$ *", "030", "#([0-9]+)(?: [^ ]+)*? ¤"), ("C1", 3, "* {BY | OF}_W", "040", "¤(?: [^ ]+)*? (?:BY[^ #]*|OF[^ #]*)(?: W[^ #]*)"), ("C2", 4, "* %", "050", "¤(?: [^ ]+)*? #([0-9]+)")]
-TABLE = " UNION ALL ".join(f"SELECT '{r}' AS root, {o} AS ord, '{p}' AS pattern, '{c}' AS code" for r, o, p, c, _ in PATTERNS)
-REGEX = " UNION ALL ".join(f"SELECT '{r}' AS root, {o} AS ord, '{p}' AS pattern, '{c}' AS code, '^(?:.* )?{x.replace('(?: W[^ #]*)', ' W[^ #]*')}(?: |$)' AS x, {len(p.replace('_', ' ').split(' '))} AS size" for r, o, p, c, x in PATTERNS)
-SENTENCES = f"SELECT doc, i, wtype, CAST(0 AS BIGINT) AS clause, CASE WHEN wtype = 'actor' THEN 'A' ELSE {SHOWN} END AS text, CAST(i + 1 AS INT) AS stop, CASE WHEN wtype = 'verb' THEN c END AS code FROM units0"
-
-
-@query(f"""SELECT doc, i, h.code AS code, CASE WHEN h.pattern IN ('$ *', '* %') THEN g END AS src_i, CASE WHEN h.pattern IN ('* + OF', '* %') THEN g END AS tgt_i FROM (SELECT v.doc, v.i, p.code, p.pattern, TRY_CAST(CASE WHEN p.x LIKE '%#([%' THEN regexp_extract(v.t, p.x, 1) END AS INT) AS g, row_number() OVER (PARTITION BY v.doc, v.i ORDER BY p.size DESC, length(p.pattern) DESC, p.ord) AS r
-    FROM (SELECT doc, i, wtype, c, trim(concat_ws(' ', string_agg(s, ' ') OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '¤', string_agg(s, ' ') OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))) AS t FROM (SELECT *, {SHOWN} AS s FROM units0)) v JOIN ({REGEX}) p ON p.root = v.c WHERE v.wtype = 'verb' AND regexp_matches(v.t, p.x)) h WHERE r = 1""")
+#: Words for the kinds of units; the longer forms begin with words of patterns.
+SHOWN = "CASE WHEN wtype = 'prep' THEN 'OF' WHEN wtype = 'by' THEN 'BYLINE' WHEN wtype = 'det' THEN '(X' WHEN wtype = 'pron' THEN 'BY' ELSE 'W' END"
+#: (root, ord, pattern, code).
+PATTERNS = [("C0", 0, "*", "010"), ("C0", 1, "* + OF", "020"), ("C0", 2, "OF_ W_* (X", "021"), ("C1", 3, "$ *", "030"), ("C1", 4, "* {BY | OF }_W", "040"), ("C1", 5, "* BY_W @", "041"), ("C2", 6, "* %", "050"), ("C2", 7, "^ W~_* ^ +", "051"), ("C2", 8, "W=* {(X | BY_BY} {OF|BY_W}", "052")]
+TABLE = " UNION ALL ".join(f"SELECT '{r}' AS root, {o} AS ord, '{p}' AS pattern, '{c}' AS code" for r, o, p, c in PATTERNS)
+#: The same written out by hand: each choice of alternatives with its letters, digits and _, and its steps (literal, before the verb, words between, whole word).
+CHOICES = [
+    (0, 0, "*", 0, []), (1, 1, "* + OF", 2, [("+", 0, 1, 0), ("OF", 0, 1, 0)]), (2, 2, "OF_ W_* (X", 6, [("(X", 0, 1, 0), ("W", 1, 0, 1), ("OF", 1, 1, 1)]), (3, 3, "$ *", 0, [("$", 1, 1, 0)]),
+    (4, 4, "* {BY | OF }_W", 4, [("BY", 0, 1, 1), ("W", 0, 0, 0)]), (5, 4, "* {BY | OF }_W", 4, [("OF", 0, 1, 1), ("W", 0, 0, 0)]), (6, 5, "* BY_W @", 4, [("BY", 0, 1, 1), ("W", 0, 0, 0), ("@", 0, 1, 0)]),
+    (7, 6, "* %", 0, [("%", 0, 1, 0)]), (8, 7, "^ W~_* ^ +", 2, [("^", 0, 1, 0), ("+", 0, 1, 0), ("W", 1, 0, 0), ("^", 1, 1, 0)]),
+    (9, 8, "W=* {(X | BY_BY} {OF|BY_W}", 4, [("(X", 0, 1, 0), ("OF", 0, 1, 0), ("W", 1, 0, 1)]), (10, 8, "W=* {(X | BY_BY} {OF|BY_W}", 6, [("(X", 0, 1, 0), ("BY", 0, 1, 1), ("W", 0, 0, 0), ("W", 1, 0, 1)]),
+    (11, 8, "W=* {(X | BY_BY} {OF|BY_W}", 8, [("BY", 0, 1, 1), ("BY", 0, 0, 0), ("OF", 0, 1, 0), ("W", 1, 0, 1)]), (12, 8, "W=* {(X | BY_BY} {OF|BY_W}", 10, [("BY", 0, 1, 1), ("BY", 0, 0, 0), ("BY", 0, 1, 1), ("W", 0, 0, 0), ("W", 1, 0, 1)]),
+]
+CODES = {o: (r, c) for r, o, _, c in PATTERNS}
+HEADS = " UNION ALL ".join(f"SELECT {v} AS v, {o} AS ord, '{CODES[o][0]}' AS root, '{CODES[o][1]}' AS code, {size} AS size, {len(steps)} AS n" for v, o, _, size, steps in CHOICES)
+STEPS = " UNION ALL ".join(f"SELECT {v} AS v, {k} AS k, '{lit}' AS lit, {low} AS low, {gap} AS gap, {exact} AS exact" for v, _, _, _, steps in CHOICES for k, (lit, low, gap, exact) in enumerate(steps, 1))
+SENTENCES = f"SELECT doc, i, wtype, CAST(i // 40 AS BIGINT) AS clause, {SHOWN} AS text, CAST(i + 1 AS INT) AS stop, CASE WHEN wtype = 'verb' THEN c END AS code, CASE WHEN wtype = 'actor' AND m = 0 THEN i END AS compound FROM units0"
+FITS = "CASE WHEN s.low = 1 THEN p.i < CASE WHEN r.low = 1 THEN r.cur ELSE r.i END AND (s.gap = 1 OR p.i = CASE WHEN r.low = 1 THEN r.cur ELSE r.i END - 1) ELSE p.i > r.cur AND p.i <= r.ends AND (s.gap = 1 OR p.i = r.cur + 1) END"
+HIT = "CASE WHEN s.low = 1 THEN max(p.i) ELSE min(p.i) END"
+
+
+@query(f"""SELECT doc, i, code, src_i, tgt_i, rep_i FROM (WITH RECURSIVE u AS ({SENTENCES}), h AS ({HEADS}), s AS ({STEPS}),
+    place AS (SELECT DISTINCT u.doc, u.i, s.lit, u.text = s.lit AS whole FROM u JOIN s ON starts_with(u.text, s.lit) UNION SELECT doc, i, unnest(['$', '+', '@', '^']), TRUE FROM u WHERE wtype = 'actor' UNION SELECT doc, i, '%', TRUE FROM u WHERE compound = i),
+    walk AS (SELECT u.doc, u.i, h.v, 0 AS k, 0 AS low, u.i AS cur, CAST(NULL AS INT) AS src, CAST(NULL AS INT) AS tgt, CAST(NULL AS INT) AS rep, e.ends FROM u JOIN h ON h.root = u.code JOIN (SELECT doc, clause, max(i) AS ends FROM u GROUP BY 1, 2) e ON e.doc = u.doc AND e.clause = u.clause WHERE u.wtype = 'verb'
+        UNION ALL SELECT r.doc, r.i, r.v, s.k, s.low, {HIT}, CASE WHEN s.lit IN ('$', '%') THEN {HIT} ELSE r.src END, CASE WHEN s.lit IN ('+', '%') THEN {HIT} ELSE r.tgt END, CASE WHEN s.lit = '@' THEN {HIT} ELSE r.rep END, r.ends
+        FROM walk r JOIN s ON s.v = r.v AND s.k = r.k + 1 JOIN place p ON p.doc = r.doc AND p.lit = s.lit AND (p.whole OR s.exact = 0) AND {FITS} GROUP BY r.doc, r.i, r.v, s.k, s.low, s.lit, r.src, r.tgt, r.rep, r.ends)
+    SELECT w.doc, w.i, h.code, w.src AS src_i, w.tgt AS tgt_i, w.rep AS rep_i, row_number() OVER (PARTITION BY w.doc, w.i ORDER BY h.size DESC, h.ord, h.v) AS best FROM walk w JOIN h ON h.v = w.v AND h.n = w.k) WHERE best = 1""")
 def k11_match_verb_patterns(v):
-    return N.match_verb_patterns(v(SENTENCES), v(TABLE)).select("doc", "i", "code", "src_i", "tgt_i")
+    return N.match_verb_patterns(v(SENTENCES.replace("i // 40", "i div 40")), v(TABLE)).select("doc", "i", "code", "src_i", "tgt_i", "rep_i")
 
 
 ROLES = "SELECT doc, i, 'S' AS source, 'T' AS target, CASE WHEN m = 0 THEN 1 END AS src_i, CASE WHEN m = 1 THEN 2 END AS tgt_i FROM units0 WHERE wtype = 'verb'"
@@ -65,9 +82,9 @@ def k13_swap_passive(v):
 
 
 @query("""SELECT a.doc, coalesce((SELECT arg_max(u.code, u.i) FROM units u WHERE u.doc = a.doc AND u.wtype = 'actor' AND u.i < a.i AND u.i > coalesce((SELECT max(k.i) FROM units k WHERE k.doc = a.doc AND k.wtype = 'comma' AND k.i < a.i), -1)),
-    (SELECT arg_min(u.code, u.i) FROM units u WHERE u.doc = a.doc AND u.wtype = 'actor')) AS attrib FROM (SELECT doc, max(i) AS i FROM units WHERE wtype = 'attrib' AND code <> '---' GROUP BY doc) a""")
+    (SELECT arg_min(u.code, u.i) FROM units u WHERE u.doc = a.doc AND u.wtype = 'actor')) AS attrib FROM (SELECT doc, max(i) AS i FROM units WHERE wtype = 'attrib' AND code NOT IN ('---', '###') GROUP BY doc) a""")
 def k20_attribution(v):
-    return N.attribution(v("units"))
+    return N.attribution(v("units").filter("code IS NULL OR code <> '###' OR wtype <> 'attrib'")).select("doc", "attrib")
 
 
 WORDS = "SELECT 'and' AS phrase, 'joins' AS category, 'J' AS code, 1 AS value UNION ALL SELECT 'former', 'past', 'P', 2 UNION ALL SELECT 'w', 'many', 'M', 3"
@@ -144,7 +161,7 @@ def coded(v):
     records = v("SELECT concat(CAST(conv_id AS STRING), ' ', CAST(turn AS STRING)) AS doc, DATE '2001-01-01' AS day, text FROM turns")
     words = v("SELECT lower(w) AS phrase, CASE WHEN length(w) IN (4, 6) THEN 'actor' WHEN length(w) = 5 THEN 'verb' WHEN length(w) = 7 THEN 'agent' ELSE 'word' END AS wtype, concat('C', CAST(length(w) % 3 AS STRING), substr(upper(w), 1, 1)) AS code, 0 AS ord FROM (SELECT explode(split(text, ' ')) AS w FROM turns) WHERE w <> '' AND lower(w) = w GROUP BY w")
     patterns = words.filter("wtype = 'verb'").select(F.col("code").alias("root"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("*").alias("pattern"), F.lit("01").alias("code")), F.struct(F.lit(1).alias("ord"), F.lit("$ * +").alias("pattern"), F.lit("02:03").alias("code")))).alias("p")).select("root", "p.*").distinct()
-    return N.code_events(records, words, patterns, {"actors": 40}, longest=1)
+    return N.code_events(records, N.Dictionaries(words, patterns), N.Options({"actors": 40}, longest=1))
 
 
 @query()

@@ -8,14 +8,25 @@ from dyadflow.operators import coding as K
 
 from .views import query
 
-RAW = "SELECT l_orderkey AS docid, l_linenumber AS sent, concat('Mr. ', l_returnflag, '-x (', CAST(l_partkey AS STRING), ',000; ', CAST(l_tax AS STRING), ') /* c */ said.') AS text FROM lineitem"
+RAW = """SELECT l_orderkey AS docid, l_linenumber AS sent, concat('12. The U.S. and U.N.: "', l_returnflag, '-x (', CAST(l_partkey AS STRING), ',000,1; ', CAST(l_tax AS STRING), ')" /* c, d. */ asked Mr. Li''s aide [why] $', CAST(l_linenumber AS STRING), '.5?! At 3. /* open ', l_linestatus) AS text FROM lineitem"""
 
 
-@query(f"SELECT docid, sent, concat('Mr ', f, ' x , ', p, '000 , ', t, ' , said') AS text FROM (SELECT l_orderkey AS docid, l_linenumber AS sent, l_returnflag AS f, CAST(l_partkey AS STRING) AS p, CAST(l_tax AS STRING) AS t FROM lineitem)")
+@query("""SELECT docid, sent, concat('12 The U.S. and U.N. , " ', f, ' x , ', p, '0001 , ', t, ' , " asked Mr Li''s aide why $', CAST(sent AS STRING), '.5 At 3') AS text FROM (SELECT l_orderkey AS docid, l_linenumber AS sent, l_returnflag AS f, CAST(l_partkey AS STRING) AS p, CAST(l_tax AS STRING) AS t FROM lineitem)""")
 def k1_clean_text(v):
     return v(RAW).select("docid", "sent", K.clean_text(F.col("text")).alias("text"))
 
 
+#: The rules one by one, over every turn: marks stand for what stays.
+STAYS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '([A-Z])\.', '\1' || chr(1), 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g')"
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(replace(regexp_replace(replace(regexp_replace(" + STAYS + r""", '[;:(),]', ' , ', 'g'), '"', ' " '), '[]!#%&*+/<=>?@\^_`{|}~.[-]', ' ', 'g'), chr(1), '.'), '[ 	
+
+]+', ' ', 'g')) AS text FROM turns""")
+def k1_clean_turns(v):
+    return v("SELECT conv_id, turn, text FROM turns").select("conv_id", "turn", K.clean_text(F.col("text")).alias("text"))
+
+
 ACTORS = "SELECT n_name AS name, k AS ord, concat(n_name, '-', CAST(k AS STRING)) AS code, CASE WHEN k = 1 THEN DATE '1997-01-01' END AS valid_from, CASE WHEN k = 0 THEN DATE '1996-12-31' WHEN k = 1 THEN DATE '1999-06-30' END AS valid_to FROM nation CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t WHERE k < 2 OR n_nationkey % 2 = 0"
 DATED = "SELECT o_orderkey AS id, concat('NATION_', CAST(o_custkey % 30 AS STRING)) AS name, CAST(o_orderdate AS DATE) AS day FROM orders"
 
@@ -28,9 +39,13 @@ def k4_actor_codes_at(v):
 TYPED = "SELECT docid AS doc, CAST(row_number() OVER (PARTITION BY docid ORDER BY sent, n, source, target, code, status) AS INT) AS i, CASE WHEN n % 5 = 0 THEN ',' WHEN n % 7 = 0 THEN 'he' ELSE source END AS word, CASE WHEN n % 4 = 0 THEN 'conj' WHEN n % 3 = 0 THEN 'noun' ELSE 'adj' END AS wtype, CASE WHEN n % 5 > 0 AND n % 7 > 0 AND n % 2 = 0 THEN target END AS code FROM coded"
 
 
-@query(f"SELECT doc, i, p > 0 AND p < max(p) OVER (PARTITION BY doc) AND word <> ',' AND count(CASE WHEN word <> ',' THEN 1 END) OVER (PARTITION BY doc, p) BETWEEN 1 AND 3 AS nulled FROM (SELECT *, count(CASE WHEN word = ',' THEN 1 END) OVER (PARTITION BY doc ORDER BY i) AS p FROM ({TYPED}))")
+COMMAS = f"SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) AS k, lead(i) OVER (PARTITION BY doc ORDER BY i) AS close FROM ({TYPED}) WHERE word = ','"
+
+
+@query(f"""SELECT t.doc, t.i, t.word <> ',' AND (coalesce(bool_or(CASE WHEN c.i < t.i AND (c.close IS NULL OR c.close > t.i) THEN CASE WHEN c.close IS NULL THEN m.hi - c.i BETWEEN 2 AND 4 ELSE c.close - c.i - 1 BETWEEN 1 AND 3 END END), FALSE)
+    OR coalesce(bool_or(c.i > t.i AND c.i - m.lo BETWEEN 2 AND 6), FALSE)) AS nulled FROM ({TYPED}) t JOIN (SELECT doc, min(i) AS lo, max(i) AS hi FROM ({TYPED}) GROUP BY doc) m ON m.doc = t.doc LEFT JOIN ({COMMAS}) c ON c.doc = t.doc AND c.k % 2 = 1 GROUP BY t.doc, t.i, t.word""")
 def k7_mark_subordinate(v):
-    return K.mark_subordinate(v(TYPED), 1, 3).select("doc", "i", "nulled")
+    return K.mark_subordinate(v(TYPED), 1, 3, (2, 6), (2, 4)).select("doc", "i", "nulled")
 
 
 @query(f"SELECT doc, i, CAST(sum(c) OVER (PARTITION BY doc ORDER BY i) AS BIGINT) AS clause FROM (SELECT *, CASE WHEN wtype = 'conj' AND NOT coalesce(lag(wtype) OVER w = lead(wtype) OVER w AND lag(wtype) OVER w IN ('noun', 'adj'), FALSE) THEN 1 ELSE 0 END AS c FROM ({TYPED}) WINDOW w AS (PARTITION BY doc ORDER BY i))")
@@ -43,6 +58,13 @@ def k9_resolve_pronouns(v):
     return K.resolve_pronouns(v(TYPED)).select("doc", "i", "actor")
 
 
+@query(f"""SELECT t.doc, t.i, coalesce(t.code, CASE WHEN t.word = 'he' THEN coalesce(t.own, f.code) END) AS actor FROM (SELECT *, first_value(code IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM ({TYPED})) t
+    LEFT JOIN (SELECT doc, arg_min(code, i) AS code FROM ({TYPED}) WHERE code IS NOT NULL GROUP BY doc) f ON f.doc = t.doc - 1 AND t.doc // 50 = f.doc // 50""")
+def k9_carried_pronouns(v):
+    story = v(f"SELECT DISTINCT doc, doc div 50 AS story, doc AS seq FROM ({TYPED})")
+    return K.resolve_pronouns(v(TYPED), story).select("doc", "i", "actor")
+
+
 VERBS = f"SELECT doc, 0 AS clause, i, word AS code FROM ({TYPED}) WHERE wtype = 'conj'"
 ACT = f"SELECT doc, 0 AS clause, i AS pos, code AS actor FROM ({TYPED}) WHERE code IS NOT NULL"
 TARGET = f"SELECT v.doc, v.clause, v.i, v.code, coalesce(arg_min(a.actor, a.pos) FILTER (a.pos > v.i), arg_max(a.actor, a.pos) FILTER (a.pos < v.i)) AS target FROM ({VERBS}) v LEFT JOIN ({ACT}) a ON a.doc = v.doc AND a.clause = v.clause GROUP BY 1, 2, 3, 4"
@@ -53,6 +75,12 @@ def k12_assign_roles(v):
     return K.assign_roles(v(VERBS), v(ACT))
 
 
+@query(f"""SELECT r.doc, r.i, coalesce(r.target, 'BBB') AS target, coalesce(CASE WHEN s.p < r.i THEN s.a END, 'AAA') AS source FROM (SELECT v.doc, v.i, arg_min(a.actor, a.pos) FILTER (a.pos > v.i) AS target FROM ({VERBS}) v LEFT JOIN ({ACT}) a ON a.doc = v.doc GROUP BY 1, 2) r
+    LEFT JOIN LATERAL (SELECT a.pos AS p, a.actor AS a FROM ({ACT}) a WHERE a.doc = r.doc AND (r.target IS NULL OR a.actor <> r.target) ORDER BY a.pos LIMIT 1) s ON TRUE""")
+def k14_prior_after(v):
+    return K.default_actors(K.assign_roles(v(VERBS), v(ACT), prior=True, after=True), "AAA", "BBB").select("doc", "i", "source", "target")
+
+
 @query("SELECT n, coalesce(CASE WHEN n % 3 > 0 THEN source END, 'AAA') AS source, coalesce(CASE WHEN n % 5 > 0 THEN target END, 'BBB') AS target FROM coded")
 def k14_default_actors(v):
     return K.default_actors(v("SELECT n, CASE WHEN n % 3 > 0 THEN source END AS source, CASE WHEN n % 5 > 0 THEN target END AS target FROM coded"), "AAA", "BBB")
@@ -90,7 +118,7 @@ def k19_code_scope(v):
     return K.first_events(v(EVENTS), "sentence").select("doc", "sent", "n")
 
 
-SHIFTED = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, concat('said ', o_orderpriority) AS text FROM orders"
+SHIFTED = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, concat('said ', replace(o_orderpriority, '-', ' - ')) AS text FROM orders"
 
 
 @query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) + CASE WHEN o_orderpriority LIKE '%URGENT%' THEN -1 WHEN o_orderpriority LIKE '%LOW%' THEN -7 ELSE 0 END AS STRING) AS day FROM orders")

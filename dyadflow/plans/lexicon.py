@@ -148,6 +148,24 @@ def l17_rank_purity(v):
     return L.rank_purity(v(STATS), v("scales")).select(F.round("value", 6).alias("value"))
 
 
+@query()
+def l17_rank_purity_test(v):
+    return L.rank_purity_test(v(STATS), v("scales"), 10, 20, 5)
+
+
+#: tau-b of every source at once, x and y being weighted by counts.
+GROUPED = "SELECT src, score AS x, z AS y, count(*) AS n FROM tuples t JOIN scores s ON s.path = t.path GROUP BY 1, 2, 3"
+
+
+@query(f"""SELECT * FROM (WITH g AS ({GROUPED}), p AS (SELECT a.src, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.n * b.n ELSE 0 END) / 2.0 AS c, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN a.n * b.n ELSE 0 END) / 2.0 AS d,
+    sum(CASE WHEN a.x = b.x AND a.y <> b.y THEN a.n * b.n ELSE 0 END) / 2.0 AS tx, sum(CASE WHEN a.y = b.y AND a.x <> b.x THEN a.n * b.n ELSE 0 END) / 2.0 AS ty FROM g a JOIN g b ON a.src = b.src GROUP BY 1)
+    SELECT src, round((c - d) / sqrt((c + d + tx) * (c + d + ty)), 6) AS value FROM p)""")
+def l17_rank_correlation_by(v):
+    from dyadflow.operators.posterior import rank_correlation
+
+    return rank_correlation(v(GROUPED), "x", "y", "n", by=("src",)).withColumn("value", F.round("value", 6))
+
+
 VALENCE = f"SELECT frame, max(scale) AS scale, CAST(sum(n) AS BIGINT) AS total, sum(CASE WHEN score > 0 THEN n ELSE 0 END) / sum(n) AS pos, sum(CASE WHEN score = 0 THEN n ELSE 0 END) / sum(n) AS neu, sum(CASE WHEN score < 0 THEN n ELSE 0 END) / sum(n) AS neg, sum(n * score) / sum(n) AS mean, sqrt((sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) * (sum(n * score) / sum(n))) / sum(n)) AS se FROM ({SCALED}) GROUP BY frame"
 
 

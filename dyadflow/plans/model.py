@@ -80,9 +80,24 @@ def m19_path_loglik(v):
     return M.path_loglik(M.frame_counts(events(v)), 10.0, 450).select(F.round("loglik", 3).alias("loglik"))
 
 
-@query()
+GRID = (1.0, 10.0, 100.0, 1000.0, 10000.0)
+LIKELY = " UNION ALL ".join(f"SELECT {c} AS conc, (SELECT sum(lgamma(n + {c} / 450) - lgamma({c} / 450)) FROM (SELECT count(*) AS n FROM tuples GROUP BY path, z)) + (SELECT sum(lgamma({c}::DOUBLE) - lgamma(n + {c}::DOUBLE)) FROM (SELECT count(*) AS n FROM tuples GROUP BY z)) AS ll" for c in GRID)
+
+
+@query(f"SELECT CAST(conc AS DOUBLE) AS conc, round(ll, 2) AS loglik FROM ({LIKELY})")
+def m20_conc_logliks(v):
+    return M.conc_logliks(M.frame_counts(events(v)), list(GRID), 450).withColumn("loglik", F.round("loglik", 2))
+
+
+@query(f"SELECT CAST(arg_max(conc, ll) AS DOUBLE) AS conc FROM ({LIKELY})")
 def m20_resample_conc(v):
-    return M.conc_grid(M.frame_counts(events(v)), [1.0, 10.0, 100.0, 1000.0], 450)
+    """At these counts one concentration has nearly all of the probability."""
+    return M.resample_conc(M.frame_counts(events(v)), list(GRID), 450, 3)
+
+
+@query(f"SELECT 'ctx' AS kind, {CTX} AS key, count(*) AS n FROM tuples GROUP BY 2 UNION ALL SELECT 'path', path, count(*) FROM tuples GROUP BY 2 UNION ALL SELECT 'src', src, count(*) FROM tuples GROUP BY 2 UNION ALL SELECT 'rec', rec, count(*) FROM tuples GROUP BY 2")
+def m2_counts_by_kind(v):
+    return M.data_counts(v(f"SELECT {CTX} AS ctx, path, src, rec FROM tuples"))
 
 
 @query()

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 TUPLES = "docid STRING, tupleid STRING, day DATE, src STRING, rec STRING, path STRING"
 CALENDAR = "t INT, day DATE, bucket STRING, left DATE"
 SENTENCE = "tokens ARRAY<ARRAY<STRING>>, deps ARRAY<ARRAY<STRING>>"
-#: Country codes whose ISO code isn't found by number.
-DAYS = {"start": 1, "end": 28}
 
 
 def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,11 +69,31 @@ def parse_dated_actors(lines: DataFrame) -> DataFrame:
     return each.select("name", F.split(F.trim("c"), " ")[0].alias("code"), F.nullif(F.regexp_extract("c", r"<(\d{6})", 1), F.lit("")).alias("until"))
 
 
-def read_country_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(code, name): canonical names and nationalities of Country elements, distinct."""
+def country_names(countries: DataFrame, extras: DataFrame | None = None, merges: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:
+    """(code, ord, name) of countries (place, code, name, nationality): each code's distinct names in the order in which they were
+    first seen. A country's own name comes first, then its nationalities, one a line. Blanks and _ of a name are one _.
+    A country without a code gets that of its name in extras (name, code), and none if there is none; codes become those that
+    merges (old, code) has for them; pairs in blacklist (code, name) are left out."""
+    own = F.trim("name")
+    at = countries.withColumns({"_own": own, "_old": F.nullif(F.trim("code"), F.lit(""))})
+    if extras is not None:
+        at = at.join(extras.select(F.col("name").alias("_own"), F.col("code").alias("_extra")), "_own", "left").withColumn("_old", F.coalesce("_old", "_extra"))
+    if merges is not None:
+        at = at.join(merges.select(F.col("old").alias("_old"), F.col("code").alias("_new")), "_old", "left").withColumn("_old", F.coalesce("_new", "_old"))
+    names = F.concat(F.array("_own"), F.coalesce(F.split(F.trim("nationality"), "\n"), F.array().cast("array<string>")))
+    each = at.filter("_old IS NOT NULL").select(F.col("_old").alias("code"), "place", F.posexplode(names).alias("k", "_n"))
+    each = each.select("code", "place", "k", F.regexp_replace(F.trim(F.regexp_replace("_n", r"[_\s]+", " ")), " ", "_").alias("name")).filter("name <> ''")
+    if blacklist is not None:
+        each = each.join(blacklist.select("code", "name").distinct(), ["code", "name"], "left_anti")
+    once = each.groupBy("code", "name").agg(F.min(F.struct("place", "k")).alias("_at"))
+    return once.select("code", F.row_number().over(W.partitionBy("code").orderBy("_at", "name")).alias("ord"), "name")
+
+
+def read_country_xml(spark: SparkSession, path: str, extras: DataFrame | None = None, merges: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:
+    """country_names of the Country elements of a file."""
     rows = spark.read.format("xml").options(rowTag="Country").schema("CountryCode STRING, CountryName STRING, Nationality STRING").load(path)
-    names = F.explode(F.filter(F.flatten(F.array(F.split(F.coalesce("CountryName", F.lit("")), r"\s*\|\s*"), F.split(F.coalesce("Nationality", F.lit("")), r"\s*\|\s*"))), lambda n: n != ""))
-    return rows.select(F.col("CountryCode").alias("code"), names.alias("name")).distinct()
+    at = rows.select(F.monotonically_increasing_id().alias("place"), F.col("CountryCode").alias("code"), F.col("CountryName").alias("name"), F.col("Nationality").alias("nationality"))
+    return country_names(at, extras, merges, blacklist)
 
 
 def name_ambiguity(names: DataFrame) -> DataFrame:
@@ -139,6 +157,25 @@ def parse_train_log(lines: DataFrame) -> DataFrame:
     return rows.select("run", "line", "iter", F.split("text", " = ")[0].alias("name"), values.alias("values"))
 
 
+def parse_log_matrices(lines: DataFrame, name: str) -> DataFrame:
+    """(run, iter, i, j, value) of the matrices `name` in lines (run, line, text). One begins behind a line that begins with the name and
+    ends before the line ]; each line between is a row, whose brackets and commas are blanks. It belongs to the last
+    `ITER n` before it; of an iteration the first whole one counts, and kept are iterations up to 500 and each hundredth."""
+    by = W.partitionBy("run").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(by)
+    number = F.nullif(F.regexp_extract("text", r"^ITER (\d+)", 1), F.lit("")).cast("int")
+    begins, ends = F.startswith("text", F.lit(name)), F.col("text") == "]"
+    at = lines.withColumns({"iter": last(number), "_open": last(F.when(begins, F.col("line"))), "_shut": last(F.when(ends | number.isNotNull(), F.col("line")))})
+    # A matrix is an island of lines behind its name and before anything that shuts it.
+    inside = at.filter(~begins & (F.col("_open") > F.coalesce("_shut", F.lit(-1))) & ((F.col("iter") <= 500) | (F.col("iter") % 100 == 0)))
+    shut = at.filter(ends & F.col("_open").isNotNull()).groupBy("run", "_open").agg(F.min("line").alias("_end"))
+    rows = inside.join(shut, ["run", "_open"]).filter("line < _end")
+    rows = rows.withColumn("_first", F.min("_open").over(W.partitionBy("run", "iter"))).filter("_open = _first")
+    rows = rows.withColumn("i", F.row_number().over(W.partitionBy("run", "_open").orderBy("line")) - 1)
+    cells = F.filter(F.split(F.regexp_replace("text", r"[\[\],]", " "), r"\s+"), lambda v: v != "")
+    return rows.select("run", "iter", "i", F.posexplode(cells).alias("j", "v")).select("run", "iter", "i", "j", F.col("v").cast("double").alias("value"))
+
+
 def news_date(text: Column) -> Column:
     """Date of YYMMDD or YYYYMMDD; two-digit years over 30 are of the last century; null if it isn't one."""
     d = F.regexp_extract(text, r"^(\d{8}|\d{6})", 1)
@@ -163,6 +200,44 @@ def strip_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", " "), r"[\x00-\x08\x0e-\x1f\x7f]", ""), r"\s+", " "))
 
 
+#: The lines and tags of tagged news.
+RECORD, DATE_LINE = "SERIAL:", "INFODATE:"
+#: Stands around the words that a name replaces, which keep their place but mean nothing.
+KEPT = "~"
+
+
+def tagged_text(body: Column) -> Column:
+    """The text of a tagged sentence: IGNORE and BRACKET blocks are left out; the normalised name (WDN) of an NE or PRONOUN comes
+    before its words, which stay between two marks; other tags and unprintable characters are left out, line ends are blanks."""
+    out = F.regexp_replace(body, r"(?s)<(IGNORE|BRACKET)>.*?</\1>", "")
+    out = F.regexp_replace(out, r"(?s)<(?:NE|PRONOUN) [^>]*?WDN=\"([^\"]*)\"[^>]*>(.*?)</(?:NE|PRONOUN)>", f"$1 {KEPT} $2 {KEPT} ")
+    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", ""), r"[\r\n]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\x20-\x7E]", ""), " +", " "))
+
+
+def parse_tagged_news(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentences (id, day, seq, text) and errors (id, problem) of records (value), each what stands behind a record line's name up to the next. The
+    rest of that line is the id; the first digits behind the date line's name are the date; sentences are the S elements
+    of the TEXT blocks, seq their ID. A record without a date, text or sentence gives its problem and no sentences; what
+    comes before the first record is no record."""
+    at = records.filter(F.col("value").contains(DATE_LINE) | F.col("value").contains("<TEXT>"))
+    day = news_date(F.regexp_extract("value", DATE_LINE + r"[^0-9\n]*([0-9]+)", 1))
+    text = F.array_join(F.regexp_extract_all("value", F.lit(r"(?s)<TEXT>(.*?)</TEXT>"), F.lit(1)), "\n")
+    at = at.select(F.trim(F.regexp_extract("value", r"^([^\n]*)", 1)).alias("id"), day.alias("day"), text.alias("_text"))
+    sentence = r"(?s)<S [^>]*?ID=\"([0-9]+)\"[^>]*>(.*?)</S>"
+    pairs = F.arrays_zip(F.regexp_extract_all("_text", F.lit(sentence), F.lit(1)).alias("seq"), F.regexp_extract_all("_text", F.lit(sentence), F.lit(2)).alias("body"))
+    at = at.withColumn("_s", pairs)
+    problem = F.when(F.col("id") == "", "no id").when(F.col("day").isNull(), "no date").when(F.col("_text") == "", "no text").when(F.size("_s") == 0, "no sentences")
+    at = at.withColumn("problem", problem)
+    good = at.filter("problem IS NULL").select("id", "day", F.explode("_s").alias("s"))
+    return good.select("id", "day", F.col("s.seq").cast("int").alias("seq"), tagged_text(F.col("s.body")).alias("text")), at.filter("problem IS NOT NULL").select("id", "problem")
+
+
+def read_tagged_news(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """parse_tagged_news of text files, which Spark splits at record lines, so a file of any size is read by many tasks."""
+    return parse_tagged_news(spark.read.text(path, lineSep=RECORD))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: tuple[str, ...] = ()) -> None:
     """Write a table as parquet, json or tsv."""
     out = df.write.partitionBy(*partition) if partition else df.write

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dyadflow.operators import coder as N
 from dyadflow.operators import coding as K
 
-WORDS = [("United States", "actor", "USA"), ("Israel", "actor", "ISR"), ("Syria", "actor", "SYR"), ("Egypt", "actor", "EGY"), ("Nowhere", "actor", "---"), ("president", "agent", "GOV"), ("former", "adj", None), ("the", "det", None), ("and", "conj", None), ("of", "prep", None), ("was", "auxil", None), ("by", "by", None), ("accuse", "verb", "ACCUSE"), ("criticize", "verb", "CRITICIZE"), ("meet", "verb", "MEET"), ("reported", "attrib", "REP"), ("cricket", "noun", "###"), ("give", "verb", "GIVE")]
+WORDS = [("United_States", "actor", "USA"), ("Israel", "actor", "ISR"), ("Syria", "actor", "SYR"), ("Egypt", "actor", "EGY"), ("Nowhere", "actor", "---"), ("president", "agent", "GOV"), ("former", "adj", None), ("the", "det", None), ("and", "conj", None), ("of", "prep", None), ("was", "auxil", None), ("by", "by", None), ("accuse", "verb", "ACCUSE"), ("criticize", "verb", "CRITICIZE"), ("meet", "verb", "MEET"), ("reported", "attrib", "REP"), ("cricket", "noun", "###"), ("give", "verb", "GIVE")]
 PATTERNS = [("ACCUSE", "*", "112"), ("ACCUSE", "* + OF {TERROR | WAR}", "1125"), ("CRITICIZE", "*", "111"), ("MEET", "*", "040:041"), ("GIVE", "*", "---"), ("GIVE", "* AID_TO +", "070")]
 RECORDS = {
     "a": ("Israel accused Syria of war . { ISR / SYR / 1125 }", None),
@@ -27,7 +27,7 @@ def run(spark):
     records = spark.createDataFrame(rows, "doc string, text string, gold string").withColumn("day", F.lit("2001-02-03").cast("date"))
     words = spark.createDataFrame([(*w, n) for n, w in enumerate(WORDS)], "phrase string, wtype string, code string, ord int")
     patterns = spark.createDataFrame([(r, n, p, c) for n, (r, p, c) in enumerate(PATTERNS)], "root string, ord int, pattern string, code string")
-    return records, N.code_events(records, words, patterns, {"verbs": 3})
+    return records, N.code_events(records, N.Dictionaries(words, patterns), N.Options({"verbs": 3}))
 
 
 def test_records(spark):
