@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
         given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
         kinds AS (SELECT *, {CRC.format("name")} % 20 AS kind FROM given, crc),
         hit AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
-        rows AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare FROM hit),
+        rows AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM hit)),
         marked AS (SELECT conv_id, turn, role, text, k, substr(role, 1, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM rows),
         facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE fault WHEN 'blank' THEN 1 END) AS blank, count(CASE fault WHEN 'duplicate' THEN 1 END) AS duplicate, count(CASE fault WHEN 'truncated' THEN 1 END) AS truncated,
             count(CASE WHEN before || initial NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal, max(k) AS n FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM marked) GROUP BY conv_id),
