@@ -30,8 +30,9 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
-EDGES = re.compile(r"^[^\w+]+|[^\w]+$")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+MARK = re.compile(r"[0-9@+]")
+LEAD = re.compile(r"[^\w+]*")
 DIGITS = re.compile(r"[0-9]+")
 
 #: Where the potential of like tokens with equal labels starts, before any have been seen: the mean of its prior.
@@ -101,11 +102,18 @@ def shape_of(token: str) -> str:
 def nodes_of(text: str, spans: list[Span]) -> list[Node]:
     out: list[Node] = []
     i, before = 0, -2
-    for m in NODE.finditer(text):
-        core = EDGES.sub("", m.group())
+    for m in TOKEN.finditer(text):
+        # Whole tokens, then their edges by index: nothing is looked at again from each character of a long run.
+        token = m.group()
+        if not MARK.search(token):
+            continue
+        lead, last = LEAD.match(token).end(), len(token)
+        while last > lead and not (token[last - 1].isalnum() or token[last - 1] == "_"):
+            last -= 1
+        core = token[lead:last]
         if not core:
             continue
-        start = m.start() + m.group().index(core)
+        start = m.start() + lead
         while i < len(spans) and spans[i][2] <= start:
             i += 1
         # Spans are in order of their starts, and of two that overlap either may be the longer.
