@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,8 +230,8 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
 
     Sets outside a bucket's main component (strays) are held against the centres of the others. The members of a centre's
     star are covered without listing pairs: what a stray x and a member y have in common lies in the centre c or outside it.
-    Either they share a shingle outside c, which is a join on that shingle, and those are rare where copies differ; or both
-    have enough in c for the link, which bounds the size of each by a number of the other, and few pass the bounds of a star."""
+    Either c holds too little for the link, and they share some of what is rarest in both outside of it; or both have
+    enough in c, which bounds the size of each by a number of the other, and they share some of what is rarest in both at all (`_sharing`)."""
     open_ = left.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
     left = materialise(left.join(open_, "bucket", "left_semi"), "left")
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
@@ -257,20 +258,36 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
     )
     x, y = materialise(outside(held, "x"), "strays"), materialise(outside(stars, "y"), "stars")
     straight = x.filter((100 + percent) * F.col("in_x") >= percent * (F.col("n_x") + F.col("mid_x"))).select(F.col("c").alias("a"), F.col("x").alias("b"))
-    each = lambda df, c: df.select("c", c, f"of_{c}", F.explode(f"out_{c}").alias("shingle"))
-    # Few outside shingles are on both sides; only their rows get signatures.
-    x_out, y_out = each(x.filter("star"), "x"), each(y, "y")
-    x_out, y_out = x_out.join(y_out, ["c", "shingle"], "left_semi").join(side("x"), "x"), y_out.join(x_out, ["c", "shingle"], "left_semi").join(side("y"), "y")
-    may_link = (F.col("of_x") != F.col("of_y")) & _likely(F.col("n_x"), F.col("n_y"), F.col("sig_x"), F.col("sig_y"), percent)
-    rare = x_out.join(y_out, ["c", "shingle"]).filter(may_link).select("x", "y").distinct()
+    # What a set must at least share with any partner, and what of that must lie outside the centre if the centre holds too little.
+    share = lambda c: F.expr(f"(n_{c} * {percent} + 99) div 100")
+    rest = lambda c: F.greatest(F.lit(1), share(c) - F.col(f"in_{c}"))
+    sided = lambda df, c, elements, keep: df.select("c", F.lit(c == "x").alias("left"), F.col(c).alias("node"), F.col(f"n_{c}").alias("n"), F.col(f"of_{c}").alias("of"), elements.alias("elements"), keep.alias("keep"))
+    partly = [sided(df, c, F.col(f"out_{c}"), F.size(f"out_{c}") - rest(c) + 1) for df, c in ((x.filter("star"), "x"), (y, "y"))]
+    rare = _sharing(partly[0].unionByName(partly[1]), percent)
     bound = lambda df, c: df.groupBy("c").agg(F.min(f"n_{c}").alias(f"least_{c}"), F.max(f"most_{c}").alias(f"bound_{c}"))
     low_x = x.filter("star").join(bound(y, "y"), "c").filter((F.col("most_x") >= F.col("least_y")) & (F.col("n_x") <= F.col("bound_y"))).select("c", "x", "of_x", "n_x", "most_x")
     low_y = y.join(bound(low_x, "x"), "c").filter((F.col("most_y") >= F.col("least_x")) & (F.col("n_y") <= F.col("bound_x"))).select("c", "y", "of_y", "n_y", "most_y")
-    inner = low_x.join(low_y, "c").filter((F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & (F.col("of_x") != F.col("of_y"))).select("x", "y")
+    whole = lambda df, c: sided(df.join(full.select(F.col("node").alias(c), "full"), c), c, F.col("full"), F.col(f"n_{c}") - share(c) + 1)
+    inner = _sharing(whole(low_x, "x").unionByName(whole(low_y, "y")), percent)
     pairs = rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
     return straight.unionByName(_linked(materialise(pairs, "apart"), reps, full_sets, percent))
 
 
+def _sharing(sides: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of left and right sets of a centre (c, left, node, n, of, elements, keep) of different components and possible
+    sizes that share one of their `keep` rarest elements.
+
+    If two sets must share r elements, one of these is among the size - r + 1 first of each in any one order, so with
+    keep at least that no pair is lost. The order is by frequency within the centre: what many sets have comes last, and what one set or one component alone has meets nobody."""
+    rows = sides.filter("keep > 0").select("c", "left", "node", "n", "of", "keep", F.explode("elements").alias("shingle"))
+    often = rows.groupBy("c", "shingle").agg(F.count(F.lit(1)).alias("often"), (F.bool_or("left") & F.bool_or(~F.col("left")) & (F.min("of") != F.max("of"))).alias("meets"))
+    first = F.row_number().over(W.partitionBy("c", "left", "node").orderBy("often", "shingle"))
+    kept = materialise(rows.join(often, ["c", "shingle"]).withColumn("r", first).filter((F.col("r") <= F.col("keep")) & F.col("meets")).select("c", "left", "node", "n", "of", "shingle"), "rarest")
+    of = lambda left, c: kept.filter(F.col("left") == left).select("c", "shingle", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("of").alias(f"of_{c}"))
+    fits = (F.col("of_x") != F.col("of_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    return of(True, "x").join(of(False, "y"), ["c", "shingle"]).filter(fits).select("x", "y").distinct()
+
+
 class FullSets:
     """Whole shingle sets of nodes (node, id, text_hash), each made once: later requests read the texts of new ones only. A
     node's text is told by its doc_id and its hash, as a doc_id may stand for several texts."""
