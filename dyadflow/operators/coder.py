@@ -288,6 +288,55 @@ def pronouns_to_actors(units: DataFrame, story: DataFrame | None) -> DataFrame:
     return at.withColumns({"code": F.when(who, F.col("actor")).otherwise(F.col("_code")), "wtype": F.when(who, "actor").otherwise(F.col("wtype"))}).select(units.columns)
 
 
+def clause_openers(units: DataFrame) -> DataFrame:
+    """(doc, clause, i): the actor right behind the conjunction that begins a clause, for clauses but the first."""
+    first = units.filter("clause > 0 AND wtype <> 'conj'").groupBy("doc", "clause").agg(F.min_by(F.struct("wtype", "i"), "i").alias("u"))
+    return first.filter("u.wtype = 'actor'").select("doc", "clause", F.col("u.i").alias("i"))
+
+
+def roles_in_order(verbs: DataFrame, actors: DataFrame, prior: bool = False, after: bool = False) -> DataFrame:
+    """verbs (doc, clause, i, passive, opener, given_source, given_target) with source and target as the coder finds them, verb by verb:
+    actors are (doc, clause, pos, actor).
+
+    A source is what the verb's pattern gave, or the actor that opens its clause (on the clause's first verb), and then holds for the sentence's
+    further verbs until another is given or a passive verb has gone by; where none holds it is the clause's first actor that
+    isn't the given target. A target is given, or the first actor behind the verb that isn't the source, else the nearest before
+    it. With `prior` a source that is looked for must stand before the verb, with `after` a target behind it; a role that nothing fills is null.
+    Verbs and actors meet by what stands before and behind in one order, not in pairs: each actor knows the nearest other one on both sides."""
+    clause = W.partitionBy("doc", "clause")
+    by, around = clause.orderBy("pos"), lambda lo, hi: clause.orderBy("pos").rowsBetween(lo, hi)
+    at = actors.withColumns({"_begins": F.coalesce(F.lag("actor").over(by) != F.col("actor"), F.lit(True)), "_ends": F.coalesce(F.lead("actor").over(by) != F.col("actor"), F.lit(True))})
+    at = at.withColumns({
+        "_other_next": F.first(F.when(F.col("_begins"), F.col("actor")), ignorenulls=True).over(around(1, W.unboundedFollowing)),
+        "_other_last": F.last(F.when(F.col("_ends"), F.col("actor")), ignorenulls=True).over(around(W.unboundedPreceding, -1)),
+    })
+    person = F.struct("actor", "_other_next", "_other_last")
+    line = verbs.withColumns({"_at": F.col("i"), "_verb": F.lit(True)}).unionByName(at.select("doc", "clause", F.col("pos").alias("_at"), person.alias("_p")), allowMissingColumns=True)
+    order = clause.orderBy("_at")
+    held, place = F.col("_p.actor"), F.when(F.col("_p").isNotNull(), F.col("_at"))
+    line = line.withColumns({
+        "_next": F.first("_p", ignorenulls=True).over(order.rangeBetween(1, W.unboundedFollowing)), "_last": F.last("_p", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, -1)),
+        "_one": F.min_by(F.struct(held.alias("a"), F.col("_at").alias("p"), F.col("_p._other_next").alias("o")), place).over(clause), "_lead": F.min(F.when(F.col("_verb"), F.col("_at"))).over(clause),
+    })
+    other = F.when(held != F.col("_one.a"), F.col("_at"))
+    line = line.withColumn("_two", F.min_by(F.struct(held.alias("a"), F.col("_at").alias("p")), other).over(clause))
+    found = F.when(F.coalesce(F.col("_one.a") != F.col("given_target"), F.lit(True)), F.struct("_one.a", "_one.p")).otherwise(F.struct("_two.a", "_two.p"))
+    line = line.filter("_verb").withColumn("_found", found)
+    fits = F.col("_found.p") < F.col("i") if prior else F.lit(True)
+    given = F.coalesce("given_source", F.when(F.col("i") == F.col("_lead"), F.col("opener")))
+    line = line.withColumns({"_given": given, "_plain": F.when(fits, F.col("_found.a"))})
+    fresh = F.col("_given").isNotNull() | F.coalesce(F.lag("passive").over(order_of_verbs()), F.lit(False))
+    line = line.withColumn("_fresh", fresh).withColumn("_stretch", F.count_if("_fresh").over(order_of_verbs().rowsBetween(W.unboundedPreceding, 0)))
+    line = line.withColumn("source", F.first(F.coalesce("_given", "_plain"), ignorenulls=True).over(W.partitionBy("doc", "_stretch").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    but = lambda p, side: F.when(F.coalesce(F.col(f"{p}.actor") != F.col("source"), F.lit(True)), F.col(f"{p}.actor")).otherwise(F.col(f"{p}._other_{side}"))
+    looked = but("_next", "next") if after else F.coalesce(but("_next", "next"), but("_last", "last"))
+    return line.select("doc", "clause", "i", "source", F.coalesce("given_target", looked).alias("target"))
+
+
+def order_of_verbs() -> WindowSpec:
+    return W.partitionBy("doc").orderBy("i")
+
+
 def stop_at_main(events: DataFrame, scope: str, subordinate: tuple[str, ...] = ()) -> DataFrame:
     """events (doc, clause, n, code) up to the first main one (neither null nor subordinate) of each clause or sentence; with "all"
     all of them."""
@@ -328,7 +377,7 @@ def code_events(records: DataFrame, known: Dictionaries, options: Options = Opti
     attribution, discards, complexity, verbs by clause, defaults, precedence, compounds, repeats, issues, counts.
 
     A record is a sentence: its words are one group. Units, verbs and raw events, which several steps read, are cut in the shared folder."""
-    days = records.select(F.col("doc").alias("id"), "day", "text")
+    days = records.select(F.col("doc").alias("id"), "day", K.clean_text(F.col("text"), options.brackets).alias("text"))
     days = days.withColumn("mark", F.lit(None).cast("string")) if known.shifts is None else K.shift_dates(days, known.shifts)
     days = days.select(F.col("id").alias("doc"), "day", "mark")
     units, reported = read_units(records, days, known, options)
@@ -342,11 +391,13 @@ def code_events(records: DataFrame, known: Dictionaries, options: Options = Opti
     # A compound's members are one actor, at its first unit.
     actors = kept.withColumn("_full", full).filter("_full IS NOT NULL").groupBy("doc", F.coalesce("compound", "i").alias("pos")).agg(F.min("clause").alias("clause"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "_full"))), lambda x: x["_full"]), "/").alias("actor"), F.collect_list("i").alias("at"))
     verbs = cut(match_verb_patterns(kept, known.patterns))
-    roles = K.assign_roles(verbs.select("doc", "clause", "i", "code"), actors.select("doc", "clause", "pos", "actor"), options.prior, options.after)
     each = actors.select("doc", F.explode("at").alias("_at"), "actor")
     named = lambda df, key, role: df.join(each.select("doc", F.col("_at").alias(key), F.col("actor").alias(role)), ["doc", key], "left")
-    at = named(named(named(verbs, "src_i", "_s"), "tgt_i", "_t"), "rep_i", "_r").join(roles.drop("code"), ["doc", "clause", "i"]).join(passive_verbs(kept).select("doc", "i", "passive"), ["doc", "i"])
-    at = swap_passive(at).withColumns({"source": F.coalesce("_s", "source"), "target": F.coalesce("_t", "target")})
+    at = named(named(named(verbs, "src_i", "given_source"), "tgt_i", "given_target"), "rep_i", "_r").join(passive_verbs(kept).select("doc", "i", "passive"), ["doc", "i"])
+    opened = named(clause_openers(kept), "i", "opener").drop("i")
+    asked = at.join(opened, ["doc", "clause"], "left").select("doc", "clause", "i", "passive", "opener", "given_source", "given_target")
+    roles = roles_in_order(asked, actors.select("doc", "clause", "pos", "actor"), options.prior, options.after)
+    at = swap_passive(at.join(roles, ["doc", "clause", "i"]))
     none = F.lit(None).cast("string")
     at = K.default_actors(at, options.source or none, options.target or none).withColumn("n", F.col("i"))
     raw = cut(stop_at_main(at, options.scope, options.subordinate).select("doc", F.lit(0).alias("sent"), "n", "source", "target", "code", "pattern", F.col("_r").alias("reporter"), F.col("src_i").alias("source_at"), F.col("tgt_i").alias("target_at"), F.col("i").alias("verb_at")))
