@@ -33,9 +33,14 @@ def all_capitals(text: Column) -> Column:
     return text.rlike("[A-Z]") & ~text.rlike("[a-z]")
 
 
+#: A set's name in a pattern, which ends where its word does.
+SET = r"&([^\s_=~|{}&]+)"
+SET_END = r"\E(?![^\s_=~|{}&])"
+
+
 def synset_cycle(sets: DataFrame) -> str | None:
     """A set of sets (name, member) that leads to itself, if there is one."""
-    step = sets.select(F.col("name").alias("a"), F.explode(F.regexp_extract_all("member", F.lit(r"&(\w+)"), F.lit(1))).alias("b")).distinct()
+    step = sets.select(F.col("name").alias("a"), F.explode(F.regexp_extract_all("member", F.lit(SET), F.lit(1))).alias("b")).distinct()
     reach, known = cut(step), -1
     while known != (known := reach.count()):
         if loop := reach.filter("a = b").first():
@@ -55,11 +60,11 @@ def expand_synsets(entries: DataFrame, sets: DataFrame) -> DataFrame:
     out = entries.select("id", "pattern").distinct()
     while True:
         # The first name that is a set; what it leaves behind may hold names again.
-        names = out.select("id", "pattern", F.posexplode(F.regexp_extract_all("pattern", F.lit(r"&(\w+)"), F.lit(1))).alias("_k", "_s"))
+        names = out.select("id", "pattern", F.posexplode(F.regexp_extract_all("pattern", F.lit(SET), F.lit(1))).alias("_k", "_s"))
         first = names.join(known, "_s").groupBy("id", "pattern").agg(F.min_by(F.struct("_s", "_ms"), "_k").alias("_f")).select("id", "pattern", "_f.*")
         if first.isEmpty():
             return out
-        at = F.regexp_instr("pattern", F.concat(F.lit("&"), F.col("_s"), F.lit(r"(?!\w)")))
+        at = F.regexp_instr("pattern", F.concat(F.lit(r"&\Q"), F.col("_s"), F.lit(SET_END)))
         new = lambda m: F.concat(F.substr("pattern", F.lit(1), at - 1), m, F.substr("pattern", at + F.length("_s") + 1))
         unfolded = first.select("id", F.explode(F.transform("_ms", new)).alias("pattern"))
         out = cut(out.join(first.select("id", "pattern"), ["id", "pattern"], "left_anti").union(unfolded).distinct())
