@@ -17,7 +17,8 @@ SPARK_VIEWS["words"] = "SELECT doc_id, word, p FROM documents LATERAL VIEW posex
 VIEWS["toks"] = f"SELECT CAST(doc_id * 100000 + floor(p / 30) AS BIGINT) AS doc, CAST(p % 30 + 1 AS INT) AS i, word, {PICK(POS, 'length(word)')} AS pos FROM words WHERE word <> ''"
 VIEWS["deps"] = f"SELECT doc, i AS child, CAST(floor(i / 2) AS INT) AS gov, {PICK(RELS, '(length(word) + i)')} AS rel FROM toks WHERE i > 1"
 VIEWS["spans"] = "SELECT doc, i AS start_tok, CAST(i + 2 + i % 3 AS INT) AS end_tok FROM toks WHERE length(word) = 4 AND i < 25"
-VIEWS["names"] = "SELECT DISTINCT concat('C', CAST(length(w) % 5 AS STRING)) AS code, lower(w) AS phrase FROM (SELECT split_part(text, ' ', 3) AS w FROM benchmark UNION ALL SELECT concat(a.word, ' ', b.word) FROM toks a JOIN toks b ON a.doc = b.doc AND b.i = a.i + 1 WHERE length(a.word) = 5 AND length(b.word) = 7)"
+VIEWS["names"] = """SELECT DISTINCT concat('C', CAST(length(w) % 5 AS STRING)) AS code, lower(w) AS phrase FROM (SELECT split_part(text, ' ', 3) AS w FROM benchmark UNION ALL
+    SELECT concat(word, ' ', nxt) FROM (SELECT word, lead(word) OVER (PARTITION BY doc ORDER BY i) AS nxt, lead(i) OVER (PARTITION BY doc ORDER BY i) - i AS gap FROM toks) t WHERE gap = 1 AND length(word) = 5 AND length(nxt) = 7)"""
 VIEWS["pairs"] = "SELECT a.doc, a.i AS src, b.i AS dst FROM toks a JOIN toks b ON a.doc = b.doc WHERE length(a.word) = 3 AND length(b.word) = 6 AND a.i <> b.i"
 SPANS = "SELECT doc, start_tok AS start, end_tok AS end FROM spans"
 
@@ -55,7 +56,14 @@ def e1_normalise_names(v):
     return E.normalise_names(v(PATTERNS))
 
 
-CAND = "SELECT g.doc, g.start, g.stop, g.phrase, n.code FROM (SELECT doc, i AS start, i + 1 AS stop, lower(word) AS phrase FROM toks UNION ALL SELECT a.doc, a.i, a.i + 2, lower(concat(a.word, ' ', b.word)) FROM toks a JOIN (SELECT doc, lag(i) OVER (PARTITION BY doc ORDER BY i) AS p, word FROM toks) b ON a.doc = b.doc AND a.i = b.p) g JOIN names n ON n.phrase = g.phrase"
+CAND = "SELECT g.doc, g.start, g.stop, g.phrase, n.code FROM (SELECT doc, i AS start, i + 1 AS stop, lower(word) AS phrase FROM toks UNION ALL SELECT doc, i, i + 2, lower(concat(word, ' ', nxt)) FROM (SELECT doc, i, word, lead(word) OVER (PARTITION BY doc ORDER BY i) AS nxt FROM toks) WHERE nxt IS NOT NULL) g JOIN names n ON n.phrase = g.phrase"
+#: From left to right the longest candidate that begins behind the one before.
+GREEDY = f"""SELECT c.doc, c.start, c.stop, c.phrase, c.code FROM (WITH RECURSIVE cand AS MATERIALIZED ({CAND}), b AS MATERIALIZED (SELECT doc, start, max(stop) AS stop FROM cand GROUP BY doc, start),
+    pick AS (SELECT doc, min(start) AS start, arg_min(stop, start) AS stop FROM b GROUP BY doc UNION ALL SELECT p.doc, min(b.start), arg_min(b.stop, b.start) FROM pick p JOIN b ON b.doc = p.doc AND b.start >= p.stop GROUP BY p.doc)
+    SELECT cand.* FROM cand JOIN pick ON pick.doc = cand.doc AND pick.start = cand.start AND pick.stop = cand.stop) c"""
+#: A governor is at most half its token's number, so spans of two words are headed by their first; a nominal governor by one amod or nn arc is the top.
+MENTIONS = f"""SELECT m.doc, m.start, m.stop, m.phrase, m.code, m.start AS head, coalesce(t.top, m.start) AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc, start ORDER BY code) AS r FROM ({GREEDY})) m
+    LEFT JOIN (SELECT d.doc, d.child, max(d.gov) AS top FROM deps d JOIN toks g ON g.doc = d.doc AND g.i = d.gov WHERE d.rel IN ('amod', 'nn') AND g.pos IN ('NN', 'PRP') GROUP BY 1, 2) t ON t.doc = m.doc AND t.child = m.start WHERE m.r = 1"""
 
 
 @query(CAND)
@@ -63,7 +71,7 @@ def e2_match_names(v):
     return E.name_candidates(v("toks"), v("names"), 2).withColumnRenamed("end", "stop")
 
 
-@query()
+@query(GREEDY)
 def e2_match_names_greedy(v):
     return E.match_names(E.name_candidates(v("toks"), v("names"), 2)).withColumnRenamed("end", "stop")
 
@@ -90,12 +98,12 @@ def e5_promote_nominal_head(v):
     return E.promote_head(v("SELECT doc, i AS head FROM toks"), v("deps"), v("toks"))
 
 
-@query()
+@query(MENTIONS)
 def e6_annotate_mentions(v):
     return E.annotate_mentions(v("toks"), v("deps"), v("names"), 2).withColumnRenamed("end", "stop")
 
 
-@query()
+@query(f"SELECT doc, count(*) AS mentions, count(CASE WHEN top <> head THEN 1 END) AS moved FROM ({MENTIONS}) GROUP BY doc")
 def e7_mention_report(v):
     return E.mention_report(E.annotate_mentions(v("toks"), v("deps"), v("names"), 2))
 
@@ -138,12 +146,22 @@ def e14_drop_governed(v):
     return E.drop_governed(paths(v), v("deps"), v("toks")).select("doc", "src", "dst")
 
 
-@query()
+#: Paths (doc, src, dst, arcs, nodes) in JSON: arcs, and between them the words.
+KEYED = """SELECT p.doc, p.src, p.dst, concat('[', string_agg(concat(CASE WHEN k > 1 THEN concat('["W",', CAST(to_json(lower(t.word)) AS VARCHAR), ',"', CASE t.pos WHEN 'NN' THEN 'noun' WHEN 'VBD' THEN 'verb' WHEN 'JJ' THEN 'adj' WHEN 'PRP' THEN 'pron' ELSE 'adp' END, '"],') ELSE '' END, '["A","', regexp_replace(arc, '(->|<-)$', ''), '","', right(arc, 2), '"]'), ',' ORDER BY k), ']') AS path
+    FROM (SELECT doc, src, dst, unnest(string_split(arcs, ' ')) AS arc, unnest(string_split(nodes, ' ')[:-2]) AS node, unnest(range(1, len(string_split(arcs, ' ')) + 1)) AS k FROM ({}) WHERE length > 0) p LEFT JOIN toks t ON t.doc = p.doc AND t.i = CAST(p.node AS INT) GROUP BY p.doc, p.src, p.dst"""
+
+
+@query(KEYED.format(SHORTEST))
 def e15_path_key(v):
     return E.path_keys(paths(v), v("toks")).select("doc", "src", "dst", "path")
 
 
-@query()
+TOPS = f"SELECT DISTINCT a.doc, a.top AS src, b.top AS dst, a.code AS src_code, b.code AS rec_code FROM mention a JOIN mention b ON b.doc = a.doc AND a.top < b.top AND a.code <> b.code"
+GOVERNED = "EXISTS (SELECT 1 FROM deps e JOIN toks g ON g.doc = e.doc AND g.i = e.gov WHERE e.doc = p.doc AND g.pos = 'VBD' AND e.rel NOT LIKE 'conj%' AND list_contains(string_split(p.nodes, ' '), CAST(e.child AS STRING)) AND NOT list_contains(string_split(p.nodes, ' '), CAST(e.gov AS STRING)))"
+
+
+@query(f"""SELECT * FROM (WITH mention AS MATERIALIZED ({MENTIONS}), coded_pairs AS MATERIALIZED ({TOPS}), strict AS MATERIALIZED (SELECT *, len(string_split(arcs, ' ')) AS length, row_number() OVER (PARTITION BY doc ORDER BY src, dst) - 1 AS n FROM ({STRICT.replace(SHORTEST, SHORTEST.replace("FROM pairs", "FROM (SELECT DISTINCT doc, src, dst FROM coded_pairs)"))})),
+    free AS MATERIALIZED (SELECT * FROM strict p WHERE NOT {GOVERNED}) SELECT f.doc, f.n, c.src_code, c.rec_code, k.path FROM free f JOIN ({KEYED.format("SELECT * FROM free")}) k ON k.doc = f.doc AND k.src = f.src AND k.dst = f.dst JOIN coded_pairs c ON c.doc = f.doc AND c.src = f.src AND c.dst = f.dst)""")
 def e16_extract_tuples(v):
     return E.extract_tuples(v("toks"), v("deps"), v("names"))
 
