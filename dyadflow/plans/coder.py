@@ -141,13 +141,15 @@ def k30_problem_table(v):
     return N.problem_table(records, v("SELECT DISTINCT docid AS doc FROM coded WHERE docid % 11 = 3"), hard, raw, v("SELECT docid AS doc FROM coded WHERE source <> target AND n % 4 = 0 AND docid % 3 = 1"))
 
 
-#: Every word of the texts is an entry, by its length.
-ENTRIES = "SELECT lower(word) AS phrase, CASE length(word) WHEN 4 THEN 'actor' WHEN 5 THEN 'verb' WHEN 6 THEN 'noun' WHEN 7 THEN 'agent' ELSE 'word' END AS wtype, concat('C', CAST(length(word) % 4 AS STRING)) AS code, CAST(length(word) AS INT) AS ord FROM toks GROUP BY lower(word), length(word)"
+#: Every word of the texts that stands there twice is an entry, by its length; _ and = mean something in entries.
+ENTRIES = "SELECT lower(word) AS phrase, CASE length(word) WHEN 4 THEN 'actor' WHEN 5 THEN 'verb' WHEN 6 THEN 'noun' WHEN 7 THEN 'agent' ELSE 'word' END AS wtype, concat('C', CAST(length(word) % 4 AS STRING)) AS code, CAST(length(word) AS INT) AS ord FROM toks WHERE instr(word, '_') = 0 AND instr(word, '=') = 0 GROUP BY lower(word), length(word) HAVING count(*) > 1"
+ENDS = ", ".join(f"('{t}', '{e.replace(chr(39), chr(39) * 2)}')" for t, es in {**N.ENDINGS, "word": ("",)}.items() for e in es)
 
 
-@query()
+@query(f"""SELECT t.doc, t.i, t.i + 1 AS stop, t.word AS text, coalesce(f.wtype, CASE WHEN t.word = ',' THEN 'comma' WHEN regexp_matches(t.word, '^[0-9][0-9.]*$') THEN 'number' ELSE 'word' END) AS wtype, f.code FROM toks t
+    LEFT JOIN (SELECT form, arg_min(wtype, k) AS wtype, arg_min(code, k) AS code FROM (SELECT concat(phrase, e.ending) AS form, wtype, code, struct_pack(n := length(e.ending), o := ord) AS k FROM ({ENTRIES}) d JOIN (VALUES {ENDS}) e(kind, ending) ON e.kind = d.wtype) WHERE instr(form, ',') = 0 GROUP BY form) f ON f.form = lower(t.word)""")
 def k2_type_tokens(v):
-    return N.type_tokens(v("SELECT doc, i, word FROM toks"), v(f"{ENTRIES} HAVING count(*) > 1"), 2)
+    return N.type_tokens(v("SELECT doc, i, word FROM toks"), v(ENTRIES), 2).drop("places")
 
 
 @query("SELECT id, replace(replace(p, '&KIN', m), '&ODD', o) AS pattern FROM (SELECT n_nationkey AS id, concat(n_name, '_&KIN') AS p FROM nation) n CROSS JOIN (VALUES ('ALLY'), ('OLD_&ODD')) AS a(m) CROSS JOIN (VALUES ('FOE'), ('RIVAL')) AS b(o) GROUP BY ALL")
