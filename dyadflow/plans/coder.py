@@ -131,14 +131,19 @@ def k28_format_events(v):
     return N.format_events(events, v("SELECT n AS doc, CAST(n % 400 AS INT) AS day FROM coded GROUP BY n"), v(LABELS))
 
 
-@query("""SELECT r.doc, CASE WHEN r.doc % 50 = 7 THEN 'record contains no text' WHEN r.doc % 11 = 3 THEN 'discard code in text' WHEN r.doc % 7 = 2 THEN 'complex text: verbs' WHEN m.doc IS NULL THEN 'no events' WHEN m.allnull THEN 'only null events' WHEN m.disc THEN 'discard code in pattern' ELSE 'no valid events' END AS problem
-    FROM (SELECT DISTINCT docid AS doc FROM coded) r LEFT JOIN (SELECT docid AS doc, bool_and(code = '---') AS allnull, bool_or(code = '###') AS disc FROM coded WHERE docid % 5 > 0 AND n % 3 = 0 GROUP BY 1) m ON m.doc = r.doc
-    WHERE r.doc NOT IN (SELECT docid FROM coded WHERE source <> target AND n % 4 = 0 AND docid % 3 = 1)""")
+#: Records of the orders' and of the customers' numbers, of which those have no events; of some orders all codes are null, and lines that are still open have no valid event.
+RECORDS = "SELECT DISTINCT docid AS doc, CASE WHEN docid % 50 = 7 THEN ' ' ELSE 'x' END AS text FROM coded UNION ALL SELECT c_custkey + 1000000000, 'y' FROM customer"
+RAW = "SELECT docid AS doc, CASE WHEN docid % 5 = 0 THEN '---' WHEN docid % 13 = 5 AND n % 3 = 0 THEN '+++' ELSE code END AS code FROM coded"
+VALID = "SELECT docid AS doc FROM coded WHERE source <> target AND status <> 'O' AND docid % 5 > 0"
+DISCARDED = "SELECT DISTINCT docid AS doc FROM coded WHERE docid % 11 = 3"
+HARD = "SELECT DISTINCT docid AS doc, 'verbs' AS reason FROM coded WHERE docid % 7 = 2"
+
+
+@query(f"""SELECT r.doc, CASE WHEN trim(r.text) = '' THEN 'record contains no text' WHEN r.doc IN (SELECT doc FROM ({DISCARDED})) THEN 'discard code in text' WHEN h.reason IS NOT NULL THEN concat('complex text: ', h.reason) WHEN m.doc IS NULL THEN 'no events' WHEN m.allnull THEN 'only null events'
+    WHEN m.disc THEN 'discard code in pattern' WHEN m.hard THEN 'complex code in pattern' ELSE 'no valid events' END AS problem FROM ({RECORDS}) r LEFT JOIN ({HARD}) h ON h.doc = r.doc
+    LEFT JOIN (SELECT doc, bool_and(code = '---') AS allnull, bool_or(code = '###') AS disc, bool_or(code = '+++') AS hard FROM ({RAW}) GROUP BY 1) m ON m.doc = r.doc WHERE r.doc NOT IN (SELECT doc FROM ({VALID}))""")
 def k30_problem_table(v):
-    records = v("SELECT DISTINCT docid AS doc, CASE WHEN docid % 50 = 7 THEN '' ELSE 'x' END AS text FROM coded")
-    hard = v("SELECT DISTINCT docid AS doc, 'verbs' AS reason FROM coded WHERE docid % 7 = 2")
-    raw = v("SELECT docid AS doc, code FROM coded WHERE docid % 5 > 0 AND n % 3 = 0")
-    return N.problem_table(records, v("SELECT DISTINCT docid AS doc FROM coded WHERE docid % 11 = 3"), hard, raw, v("SELECT docid AS doc FROM coded WHERE source <> target AND n % 4 = 0 AND docid % 3 = 1"))
+    return N.problem_table(v(RECORDS), v(DISCARDED), v(HARD), v(RAW), v(VALID))
 
 
 #: Every word of the texts that stands there twice is an entry, by its length; _ and = mean something in entries.

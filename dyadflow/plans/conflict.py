@@ -33,7 +33,7 @@ def v1_label_periods(v):
     return labels(v)
 
 
-CTX = "SELECT src, rec, CAST(o AS INT) AS index, n FROM (SELECT src, rec, z + 1 AS o, count(*) AS n FROM tuples WHERE src < 'NATION_2' GROUP BY 1, 2, 3)"
+CTX = "SELECT src, rec, CAST(o AS INT) AS index, n FROM (SELECT src, rec, CASE WHEN src < 'NATION_2' THEN z + 1 ELSE z + 1001 END AS o, count(*) AS n FROM tuples GROUP BY 1, 2, 3)"
 
 
 @query(f"SELECT c.src, c.rec, c.index, c.n, l.label FROM ({CTX}) c LEFT JOIN ({LABELS}) l ON l.src = c.src AND l.rec = c.rec AND l.index = c.index")
@@ -41,7 +41,7 @@ def v2_align_labels(v):
     return V.align_labels(labels(v), v(CTX))
 
 
-THETA = "SELECT src, rec, CAST(1 + z AS INT) AS index, CAST(length(path) % 4 AS INT) AS frame, CAST(count(*) AS DOUBLE) / 8 AS value FROM tuples WHERE length(path) % 5 < 4 GROUP BY 1, 2, 3, 4"
+THETA = "SELECT src, rec, CAST(1 + z AS INT) AS index, CAST(length(path) % 4 AS INT) AS frame, CAST(count(*) AS DOUBLE) / 8 AS value FROM tuples GROUP BY 1, 2, 3, 4"
 WIDE = f"SELECT src, rec, index, {', '.join(f'max(CASE WHEN frame = {k} THEN value ELSE 0 END) AS x{k}' for k in range(4))} FROM ({THETA}) GROUP BY 1, 2, 3"
 
 
@@ -78,7 +78,7 @@ def v7_balance_weights(v):
     return V.balance_weights(v("labelled"), "label").select("doc_id", F.round("weight", 6).alias("weight"))
 
 
-ROWS = "SELECT user_id % 300 AS key, event_id % 3 AS s, CASE WHEN event_id % 10 < 4 THEN 'train' WHEN event_id % 10 < 6 THEN 'tune' ELSE 'test' END AS part, CASE WHEN value > 20 + event_id % 17 THEN 1 ELSE 0 END AS y, value / 100 AS x0, (event_id % 17) / 17.0 AS x1, (event_id % 5) / 5.0 AS x2, event_id AS id FROM events"
+ROWS = "SELECT user_id % 300 AS key, event_id % 3 AS s, CASE WHEN event_id % 10 < 4 THEN 'train' WHEN event_id % 10 < 6 THEN 'tune' ELSE 'test' END AS part, CAST(user_id % 2 AS INT) AS y, value / 100 + (user_id % 2) * 0.1 AS x0, (event_id % 17) / 17.0 AS x1, (event_id % 5) / 5.0 AS x2, event_id AS id FROM events"
 
 
 def rows(v):

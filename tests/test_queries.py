@@ -9,9 +9,6 @@ from dyadflow import plans
 from dyadflow.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-#: Model fits and long path searches, which the queries of the same family cover.
-SLOW = {"v8_fit_l1_path", "v12_evaluate_timesplit", "v14_dyad_holdout"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -43,7 +40,20 @@ def test_same_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - SLOW))
-def test_runs(spark, name):
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
+def test_rows_without_sql(spark, name):
+    """What SQL can't say is tested by itself elsewhere; here each such query gives rows, every column of which says something, twice the same."""
     df = plans.QUERIES[name](spark, SF)
-    assert df.count() >= 0 and df.columns
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    empty = {c for c in df.columns if all(r[c] is None for r in rows)}
+    assert empty <= MAY_BE_EMPTY.get(name, set())
+    if name not in MODELS:
+        again = plans.QUERIES[name](spark, SF).collect()
+        assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+#: Columns that these tables leave empty: no record has reporters or slots with places.
+MAY_BE_EMPTY = {"k32_code_events": {"attrib", "source_at", "target_at"}}
+#: Fits that take long; tests/test_runs.py repeats smaller ones.
+MODELS = {"m17_fit", "m17_fit_smoothed", "m17_fit_scaled", "m24_run_chains", "v8_fit_l1_path", "v12_evaluate_timesplit", "v14_dyad_holdout", "k32_code_events", "k32_problems"}
