@@ -224,3 +224,11 @@ def code_agreement(paths: DataFrame, min_n: int = 5) -> DataFrame:
     """Rank correlation of fine scores with coarse scores of paths (code, score, n) seen min_n times."""
     rows = paths.filter(F.col("n") >= min_n).withColumn("coarse", coarse_score(F.col("code"))).filter("coarse IS NOT NULL AND score IS NOT NULL")
     return rank_correlation(rows, "score", "coarse", "n")
+
+
+def within_prefix_difference(paths: DataFrame) -> DataFrame:
+    """Mean |s1 - s2| (difference) over count-weighted ordered pairs of paths (code, score, n) whose codes share their first two
+    digits, each path also with itself. Prefixes weigh by the squares of their counts, as pairs do; sums are prefix sums in the order of scores."""
+    cells = paths.filter("score IS NOT NULL").groupBy(F.substring("code", 1, 2).alias("prefix"), "score").agg(F.sum("n").cast("double").alias("c")).withColumn("cs", F.col("c") * F.col("score"))
+    sums = running_sum(cells, "score", ["c", "cs"], ["prefix"]).groupBy("prefix").agg((2 * F.sum(F.col("c") * (F.col("score") * F.col("c_before") - F.col("cs_before")))).alias("above"), F.sum("c").alias("all"))
+    return sums.agg((F.sum("above") / F.nullif(F.sum(F.col("all") * F.col("all")), F.lit(0.0))).alias("difference"))

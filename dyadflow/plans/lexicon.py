@@ -190,3 +190,8 @@ AGREE = f"SELECT code, CAST(length(code) * 3 + id % 7 AS DOUBLE) AS score, CAST(
 @query(tau_sql(f"SELECT score AS x, CASE WHEN code = '010' THEN 0 WHEN {TWO} BETWEEN '01' AND '08' THEN 1 ELSE -1 END AS y, n AS w FROM ({AGREE}) WHERE n >= 5 AND (code = '010' OR {TWO} BETWEEN '01' AND '08' OR {TWO} BETWEEN '10' AND '20')"))
 def l20_code_agreement(v):
     return L.code_agreement(v(AGREE)).select(F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT round(sum(a.n * b.n * abs(a.score - b.score)) / sum(a.n * b.n), 6) AS difference FROM ({AGREE}) a JOIN ({AGREE}) b ON substr(a.code, 1, 2) = substr(b.code, 1, 2)")
+def l20_within_prefix_difference(v):
+    return L.within_prefix_difference(v(AGREE)).select(F.round("difference", 6).alias("difference"))
