@@ -230,8 +230,8 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
 
     Sets outside a bucket's main component (strays) are held against the centres of the others. The members of a centre's
     star are covered without listing pairs: what a stray x and a member y have in common lies in the centre c or outside it.
-    Either c holds too little for the link, and they share some of what is rarest in both outside of it; or both have
-    enough in c, which bounds the size of each by a number of the other, and they share some of what is rarest in both at all (`_sharing`)."""
+    Either c holds too little for the link, and they share some of what is rarest in both outside of it (`_sharing`); or both
+    have enough in c for the link, which bounds the size of each by a number of the other, and few pass the bounds of a star."""
     open_ = left.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
     left = materialise(left.join(open_, "bucket", "left_semi"), "left")
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
@@ -267,8 +267,7 @@ def _apart(left: DataFrame, known: DataFrame, links: DataFrame, reps: DataFrame,
     bound = lambda df, c: df.groupBy("c").agg(F.min(f"n_{c}").alias(f"least_{c}"), F.max(f"most_{c}").alias(f"bound_{c}"))
     low_x = x.filter("star").join(bound(y, "y"), "c").filter((F.col("most_x") >= F.col("least_y")) & (F.col("n_x") <= F.col("bound_y"))).select("c", "x", "of_x", "n_x", "most_x")
     low_y = y.join(bound(low_x, "x"), "c").filter((F.col("most_y") >= F.col("least_x")) & (F.col("n_y") <= F.col("bound_x"))).select("c", "y", "of_y", "n_y", "most_y")
-    whole = lambda df, c: sided(df.join(full.select(F.col("node").alias(c), "full"), c), c, F.col("full"), F.col(f"n_{c}") - share(c) + 1)
-    inner = _sharing(whole(low_x, "x").unionByName(whole(low_y, "y")), percent)
+    inner = low_x.join(low_y, "c").filter((F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & (F.col("of_x") != F.col("of_y"))).select("x", "y")
     pairs = rare.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
     return straight.unionByName(_linked(materialise(pairs, "apart"), reps, full_sets, percent))
 
