@@ -92,12 +92,12 @@ def sketches(measured: DataFrame, resolution: int = 50) -> DataFrame:
     )
 
 
-def limits(sketch: DataFrame, resolution: int = 50, spread: float = 4.0, min_docs: int = 100) -> DataFrame:
+def limits(sketch: DataFrame, resolution: int = 50, spread: float = 4.0, prior: float = 100.0) -> DataFrame:
     """Lower and upper limit of each measure for each (language, source).
 
     The limits lie `spread` interquartile ranges outside the quartiles, the range being no less than LEAST_RANGE, so
-    that a group without outliers loses nothing. Groups of fewer than `min_docs`
-    documents use their language's merged sketch, and small languages the sketch of all."""
+    that a group without outliers loses nothing. A source's limits are drawn to those of its language's merged sketch, which
+    weigh as `prior` documents, and a language's likewise to those of all: one document more never changes whose limits hold."""
     mid = F.when(F.col("bucket") == -(1 << 30), F.lit(0.0)).otherwise(F.exp((F.col("bucket") + 0.5) / resolution))
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("mid")))
     from pyspark.sql import Window as W
@@ -118,7 +118,8 @@ def limits(sketch: DataFrame, resolution: int = 50, spread: float = 4.0, min_doc
     at = lambda level, alias: wide.filter(F.col("level") == level).select(*[F.col(c).alias(f"{alias}_{c}") for c in ("lang", "source", "docs", *names)])
     s, g, a = at("source", "s"), at("lang", "g"), at("all", "a")
     joined = s.join(g, F.col("s_lang").eqNullSafe(F.col("g_lang")), "left").join(a, F.lit(True), "left")
-    pick = lambda c: F.when(F.col("s_docs") >= min_docs, F.col(f"s_{c}")).when(F.col("g_docs") >= min_docs, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
+    drawn = lambda docs, own, to: (F.col(docs) * own + prior * to) / (F.col(docs) + prior)
+    pick = lambda c: drawn("s_docs", F.col(f"s_{c}"), drawn("g_docs", F.col(f"g_{c}"), F.col(f"a_{c}")))
     return joined.select(F.col("s_lang").alias("limit_lang"), F.col("s_source").alias("limit_source"), *[pick(c).alias(c) for c in names])
 
 
@@ -141,13 +142,14 @@ def judge(measured: DataFrame, by: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
-def quality_rules(docs: DataFrame, spread: float = 4.0, min_docs: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 4.0, prior: float = 100.0) -> DataFrame:
     """doc_id, the counts, the measures, base_failed and kept of every row of docs (doc_id, text, lang, source).
 
     Documents that fail the base rules shape no limits. A null text counts as empty and fails; null languages and
-    sources form groups of their own; repeated rows each get a row; an empty table gives none; other columns are ignored."""
+    sources form groups of their own; repeated rows each get a row; a text of any length is counted whole; an empty table gives
+    none; other columns are ignored."""
     from .common import materialise
 
     measured = materialise(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    by = limits(sketches(measured.filter(~F.col("base_failed"))), spread=spread, min_docs=min_docs)
+    by = limits(sketches(measured.filter(~F.col("base_failed"))), spread=spread, prior=prior)
     return judge(measured, by).select("doc_id", *SHOWN, "base_failed", "kept", *MEASURES)
