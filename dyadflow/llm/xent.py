@@ -27,33 +27,55 @@ MARK = np.uint64(0x6D61726B | 1)
 BUCKET_PARTS = 8
 
 
-def parts_of(docs: DataFrame, target_ids: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(part, doc_id, text, target): a row for each part, with lists of its rows' doc_ids, texts, and whether each is a target."""
-    chosen = target_ids.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
+def parts_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(part, doc_id, texts): a row for each part, with its rows' doc_ids and its texts, packed (texts_of unpacks them)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def row() -> pa.RecordBatch:
-            lists = [pa.array([[x for piece in held for x in piece[j]]], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.string(), pa.bool_()))]
-            return pa.RecordBatch.from_arrays([pa.array([part]), *lists], names=["part", "doc_id", "text", "target"])
+            ids, texts = (pa.concat_arrays([piece[j] for piece in held]) for j in (0, 1))
+            lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            data = zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(texts.cast(pa.large_binary()).to_pylist()))
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "doc_id", "texts"])
 
         for batch in batches:
-            cols = [batch.column(j).to_pylist() for j in range(3)]
-            each = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            ids, texts = batch.column(0), strings(batch.column(1))
+            each = pc.binary_length(texts).to_pylist()
             at = 0
             for i, k in enumerate(each):
                 if size and size + k > part_bytes:
-                    held.append([c[at:i] for c in cols])
+                    held.append((ids[at:i], texts[at:i]))
                     yield row()
                     part, held, size, at = part + 1, [], 0, i
                 size += k
-            held.append([c[at:] for c in cols])
-        if any(piece[0] for piece in held):
+            held.append((ids[at:], texts[at:]))
+        if any(len(piece[0]) for piece in held):
             yield row()
 
-    return materialise(marked.mapInArrow(deal, "part long, doc_id array<long>, text array<string>, target array<boolean>"), "parts")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "part long, doc_id array<long>, texts binary"), "parts")
+
+
+def texts_of(parts: pa.Table | pa.RecordBatch) -> pa.Array:
+    """The texts of the one part in this table."""
+    n = len(parts["doc_id"][0])
+    raw = zstandard.ZstdDecompressor().decompress(parts["texts"][0].as_py())
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n))])
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[8 * n :])])
+
+
+def marks_of(parts: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(part, places): where the target's rows stand in a part, counted from 0. Only ids travel, not texts."""
+    chosen = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    rows = parts.select("part", F.posexplode("doc_id").alias("place", "doc_id")).filter("doc_id IS NOT NULL")
+    return rows.join(chosen, "doc_id", "left_semi").groupBy("part").agg(F.collect_list("place").alias("places"))
+
+
+def _target(n: int, marks: pa.Table) -> np.ndarray:
+    found = np.zeros(n, bool)
+    if len(marks):
+        found[np.array(marks["places"][0].as_py(), np.int64)] = True
+    return found
 
 
 def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,25 +123,18 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
 
 
-def counted(parts: DataFrame, buckets: int) -> DataFrame:
+def counted(parts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, part, keys, counts): a part's distinct keys in each bucket, in order, and their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                text, target = _of(batch, i)
-                _, keys, own = own_counts(text, target)
-                at = bounds(keys, buckets)
-                used = np.flatnonzero(np.diff(at))
-                cut = [slice(at[k], at[k + 1]) for k in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch.column(0)[i].as_py())), pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([packed(own[c].astype(np.uint32)) for c in cut], pa.binary())], names=["bucket", "part", "keys", "counts"])
-
-    return parts.select("part", "text", "target").mapInArrow(run, "bucket long, part long, keys binary, counts binary")
-
+    def run(part: pa.Table, marked: pa.Table) -> pa.Table:
+        text = texts_of(part)
+        _, keys, own = own_counts(text, _target(len(text), marked))
+        at = bounds(keys, buckets)
+        used = np.flatnonzero(np.diff(at))
+        cut = [slice(at[k], at[k + 1]) for k in used]
+        return pa.table([pa.array(used), pa.array(np.full(len(used), part["part"][0].as_py())), pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([packed(own[c].astype(np.uint32)) for c in cut], pa.binary())], names=["bucket", "part", "keys", "counts"])
 
-def _of(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and target marks of a part."""
-    return strings(pa.array(batch["text"][i].as_py(), pa.string())), np.array(batch["target"][i].as_py(), bool)
+    return parts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(run, "bucket long, part long, keys binary, counts binary")
 
 
 def totals(bucket: pa.Table) -> pa.Table:
@@ -138,41 +153,62 @@ def totals(bucket: pa.Table) -> pa.Table:
     return pa.table([pa.array([number] * len(rows), pa.int64()), pa.array([*bucket["part"].to_pylist(), None], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "part", "totals"])
 
 
+def in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its own row."""
+    order = np.lexsort((keys, row))
+    first = np.flatnonzero((np.diff(keys[order], prepend=0) != 0) | (np.diff(row[order], prepend=-1) != 0))
+    size = np.diff(np.append(first, len(keys)))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
 def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = 0.1, weight: float = 0.5, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, ce_background, ce_target and score (target minus background, nats a word; lower is more like the
     target) for every row of docs (doc_id, text). The background is all of docs, the target the rows whose doc_id is in
-    target_ids (doc_id); both models have every word and every pair of the corpus.
+    target_ids (doc_id); the vocabulary of both is that of the corpus. A row of the target is scored by what the other
+    rows of the target say: its own words and pairs are left out of the target's counts, so that it has no advantage over
+    rows that are not labelled. The background has every row's own.
 
     A word's probability is that of the word, counted with `alpha` more of each of the vocabulary's words, interpolated with
     its share after the word before it, which has `weight`. Texts without words, null ones too, have 0 tokens and null
-    scores; repeated rows each count and get a row; a null doc_id is never a target; other columns are ignored; empty tables
-    give no rows; without targets the target model gives each word an equal share."""
-    parts = parts_of(docs, target_ids, part_bytes)
+    scores; a text of any length is scored whole; repeated rows each count and get a row; a null doc_id is never a target;
+    other columns are ignored; empty tables give no rows; without targets the target model gives each word an equal share."""
+    parts = parts_of(docs, part_bytes)
+    marks = materialise(marks_of(parts, target_ids), "marks")
     # A bucket's keys are those of BUCKET_PARTS parts at most, and a hot key has one row in each part.
     buckets = max(1, -(-parts.count() // BUCKET_PARTS))
-    replies = materialise(counted(parts, buckets).groupBy("bucket").applyInArrow(totals, "bucket long, part long, totals binary"), "totals")
+    replies = materialise(counted(parts, marks, buckets).groupBy("bucket").applyInArrow(totals, "bucket long, part long, totals binary"), "totals", "none")
     # Three numbers a bucket: the size of the vocabulary and of both collections.
     sizes = np.array([np.frombuffer(r.totals, "<i8") for r in replies.filter("part IS NULL").select("totals").toLocalIterator()], np.int64).reshape(-1, 3).sum(0)
     vocabulary, total = max(1, int(sizes[0])), sizes[1:].astype(np.float64)
 
     def score(part: pa.Table, replied: pa.Table) -> pa.Table:
-        text, target = _of(part, 0)
-        (word, pair, row), keys, own = own_counts(text, target)
-        order = np.argsort(replied["bucket"].to_numpy())
-        if len(order):
-            own = np.concatenate([unpacked(replied["totals"][int(i)].as_py(), np.int64).reshape(-1, 2) for i in order])
+        text = texts_of(part)
+        word, pair, row = words_of(text)
         n = np.bincount(row, minlength=len(text))
         loss = np.zeros((len(word), 2))
         if len(word):
-            of = lambda k: own[np.searchsorted(keys, k)].astype(np.float64)
+            keys = np.unique(np.concatenate([word, pair, np.array([MARK])]))
+            places = [np.array(p.as_py(), np.int64) for p in replied["places"] if p.is_valid]
+            member = np.zeros((len(text), 2), bool)
+            member[np.concatenate([np.empty(0, np.int64), *places]), 1] = True
+            sent = replied.filter(replied["totals"].is_valid())
+            whole = np.concatenate([unpacked(sent["totals"][int(i)].as_py(), np.int64).reshape(-1, 2) for i in np.argsort(sent["bucket"].to_numpy())])
+            # The target's counts without the row's own.
+            of = lambda k: (whole[np.searchsorted(keys, k)] - in_row(k, row)[:, None] * member[row]).astype(np.float64)
             single = of(word)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
             before = np.empty_like(single)
             before[1:] = single[:-1]
-            before[np.flatnonzero(np.diff(row, prepend=-1))] = of(np.array([MARK]))
+            before[first] = whole[np.searchsorted(keys, MARK)] - member[row[first]]
             share = np.divide(of(pair), before, out=np.zeros_like(before), where=before > 0)
-            loss = -np.log((1 - weight) * (single + alpha) / (total + alpha * vocabulary) + weight * share)
+            rest = total - n[row][:, None] * member[row]
+            loss = -np.log((1 - weight) * (single + alpha) / (rest + alpha * vocabulary) + weight * share)
         none = n == 0
         ce = [np.bincount(row, loss[:, i], minlength=len(text)) / np.maximum(n, 1) for i in (0, 1)]
         return pa.table([pa.array(part["doc_id"][0].as_py(), pa.int64()), pa.array(n.astype(np.int64)), pa.array(ce[0], mask=none), pa.array(ce[1], mask=none), pa.array(ce[1] - ce[0], mask=none)], names=["doc_id", "n_tokens", "ce_background", "ce_target", "score"])
 
-    return parts.groupBy("part").cogroup(replies.filter("part IS NOT NULL").groupBy("part")).applyInArrow(score, "doc_id long, n_tokens long, ce_background double, ce_target double, score double")
+    sent = replies.filter("part IS NOT NULL").select("part", "bucket", "totals", F.lit(None).cast("array<int>").alias("places"))
+    sent = sent.unionByName(marks.select("part", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "places"))
+    return parts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(score, "doc_id long, n_tokens long, ce_background double, ce_target double, score double")

@@ -25,10 +25,15 @@ def test_like_models_by_hand(spark):
     for r in xent.score_documents(docs, ids, part_bytes=20_000).collect():
         words = split[r.doc_id]
         want = [0.0, 0.0]
+        # What the document itself adds to the target is left out when it is scored.
+        own, own_pairs = Counter(words), Counter(zip([None, *words], words, strict=False))
+        own[None] = 1
+        within = [0, r.doc_id in chosen]
         for a, b in zip([None, *words], words, strict=False):
             for m in (0, 1):
-                share = pairs[m][a, b] / single[m][a] if single[m][a] else 0
-                want[m] -= math.log(0.5 * (single[m][b] + 0.1) / (size[m] + 0.1 * v) + 0.5 * share)
+                before = single[m][a] - own[a] * within[m]
+                share = (pairs[m][a, b] - own_pairs[a, b] * within[m]) / before if before else 0
+                want[m] -= math.log(0.5 * (single[m][b] - own[b] * within[m] + 0.1) / (size[m] - len(words) * within[m] + 0.1 * v) + 0.5 * share)
         assert r.n_tokens == len(words)
         if words:
             assert math.isclose(r.ce_background, want[0] / len(words), rel_tol=1e-9) and math.isclose(r.ce_target, want[1] / len(words), rel_tol=1e-9)
