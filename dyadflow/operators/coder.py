@@ -119,10 +119,10 @@ def swap_passive(events: DataFrame) -> DataFrame:
 
 
 def attribution(units: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """(doc, attrib, code): the reporter by the last attribution phrase with a code: the actor in slot @ of the phrase's best pattern,
+    """(doc, attrib, code, named): the reporter by the last attribution phrase with a code: the actor in slot @ of the phrase's best pattern,
     else the nearest actor before it with no comma between, else the sentence's first actor. A phrase's code is its own, or
     with patterns (root, ord, pattern, code), whose roots it names, that of the best match (none: passed over); a discard (###) or complex (+++) code reports
-    nobody and stands in `code`."""
+    nobody and stands in `code`, while `named` is whom such a phrase names too."""
     actor = F.col("wtype") == "actor"
     near = F.max_by("code", F.when(actor, F.col("i"))).over(back())
     stop, last = F.max(F.when(F.col("wtype") == "comma", F.col("i"))).over(back()), F.max(F.when(actor, F.col("i"))).over(back())
@@ -136,7 +136,7 @@ def attribution(units: DataFrame, patterns: DataFrame | None = None) -> DataFram
         at = at.join(hit, ["doc", "i"]).join(who, ["doc", "rep_i"], "left").select("doc", "i", F.coalesce("_slot", "_who").alias("_who"), F.col("_code").alias("code"))
     at = at.filter("code IS NOT NULL AND code <> '---'").groupBy("doc").agg(F.max_by(F.struct("_who", "code"), "i").alias("_l")).select("doc", "_l.*")
     marks = F.col("code").isin("###", "+++")
-    return at.select("doc", F.when(~marks, F.col("_who")).alias("attrib"), F.when(marks, F.col("code")).alias("code"))
+    return at.select("doc", F.when(~marks, F.col("_who")).alias("attrib"), F.when(marks, F.col("code")).alias("code"), F.col("_who").alias("named"))
 
 
 def issues(units: DataFrame, dictionary: DataFrame, categories: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -405,7 +405,7 @@ def code_events(records: DataFrame, known: Dictionaries, options: Options = Opti
     paired = K.expand_compounds(K.split_paired(K.resolve_precedence(plain, list(options.dominant), list(options.subordinate)).filter("source IS NOT NULL AND target IS NOT NULL")))
     valid = K.drop_self_and_dups(paired, options.allow_self).join(raw.drop("sent", "source", "target", "code"), ["doc", "n"])
     idle = non_events(kept, raw.filter("code <> '---'"), options.mode)
-    events = valid.join(days.drop("mark"), "doc").join(reported.drop("code"), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", F.coalesce("reporter", "attrib").alias("attrib"), "source_at", "target_at", "verb_at")
+    events = valid.join(days.drop("mark"), "doc").join(reported.select("doc", "attrib"), "doc", "left").select("doc", "n", "day", "source", "target", "code", "pattern", F.coalesce("reporter", "attrib").alias("attrib"), "source_at", "target_at", "verb_at")
     tables = {"events": events.limit(0) if options.mode == "only" else events, "non_events": idle, "problems": problem_table(records.select("doc", "text"), out, hard, raw, valid)}
     if known.issues is not None:
         tables["issues"] = issues(kept, known.issues, options.categories)
