@@ -138,24 +138,31 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the least node reachable over edges (a, b); alternating large-star and small-star rounds, each
-    written to the shared folder. Neighbour lists are never gathered: a round is a minimum per node and a join."""
+    """(node, component): the least node reachable over edges (a, b), for all nodes but these least ones; alternating
+    large-star and small-star rounds, each written to the shared folder. Neighbour lists are never gathered: a round is a
+    minimum per node and a join. Rounds keep what is connected, so they end, or never begin, where every node but a
+    component's least one has one edge, to that one."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct(), "edges")
-    seen = None
+    ends = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
+        if _stars(edges):
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+        both = edges.select(F.explode(F.array(ends("hi", "lo"), ends("lo", "hi"))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi > lo")
         edges = materialise(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node")
-        seen = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges (hi, lo) down, or edges both down and up."""
+    end = lambda c, down: F.struct(F.col(c).alias("node"), F.lit(down).alias("down"))
+    nodes = edges.select(F.explode(F.array(end("hi", 1), end("lo", 0))).alias("e")).groupBy("e.node").agg(F.sum("e.down").alias("downs"), F.min("e.down").alias("least"))
+    return not nodes.agg(F.max((F.col("downs") > 1) | ((F.col("downs") > 0) & (F.col("least") == 0)))).first()[0]
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
