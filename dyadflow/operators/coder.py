@@ -163,6 +163,14 @@ def non_events(units: DataFrame, events: DataFrame, mode: str = "also") -> DataF
     return found.limit(0) if mode == "off" else found
 
 
+def silent_sentences(sentences: DataFrame) -> DataFrame:
+    """non_events of sentences (doc, units, busy), a row each: units in order as structs (i, wtype, code), busy saying whether
+    there is an event. No row leaves its task."""
+    codes = F.array_distinct(F.transform(F.filter("units", lambda u: (u["wtype"] == "actor") & u["code"].isNotNull()), lambda u: u["code"]))
+    at = sentences.filter(~F.coalesce("busy", F.lit(False))).select("doc", codes.alias("_c")).filter(F.size("_c") > 1)
+    return at.select("doc", F.col("_c")[0].alias("source"), F.col("_c")[1].alias("target"))
+
+
 def complexity_filter(units: DataFrame, limits: dict[str, int | bool]) -> DataFrame:
     """(doc, reason) of sentences at or over a limit, all reasons in order: verbs, actors, pronouns, conjunctions (outside
     compounds), "verb position" (of the first verb of a code, from 0), and whether to demand "actor before verb", "actor after

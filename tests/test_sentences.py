@@ -50,3 +50,8 @@ def test_odd_texts(spark, odd, name):
 def test_only_texts_are_shuffled(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("RepartitionByExpression", plan)) == 1 and not re.search("Join|Aggregate|Window", plan)
+
+
+def test_silent_sentences_stay_in_their_task(spark):
+    plan = plans.QUERIES["k24_non_events"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1 and not re.search("Join|Aggregate|Window", plan)
